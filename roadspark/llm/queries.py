@@ -23,20 +23,49 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digest(encode_decode(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model")))
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadspark.llm.secrets import scan_secrets, secret_digest
+
+    return secret_digest(scan_secrets(_documents(spark, sf_dir))[0])
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadspark.llm.packing import pack_documents
+
+    return pack_documents(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), 2048)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadspark.llm.pii import find_pii, pii_digest
 
     return pii_digest(find_pii(_documents(spark, sf_dir)))
 
 
+def op8_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadspark.llm.lz_fingerprint import fingerprint_digest, fingerprint_with_next
+
+    return fingerprint_digest(fingerprint_with_next(_documents(spark, sf_dir)))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadspark.llm.token_counts import count_tokens
 
     return count_tokens(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from roadspark.llm.chat import chat_digest, format_windows, read_windows
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    return chat_digest(read_windows(format_windows(turns.unionByName(extra))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_sentencepiece, op7_pii, op9_token_counts)
+    f.__name__: f for f in (op1_secret_scans, op3_sentencepiece, op5_best_fit_packing, op7_pii, op8_lz_fingerprints, op9_token_counts, op10_chat_formatting)
 }
 
 ORACLE_SQL: dict[str, str] = {}
