@@ -29,6 +29,13 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(_documents(spark, sf_dir))[0])
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadspark.llm.toxicity import fit, score_toxicity, toxicity_digest
+
+    docs = _documents(spark, sf_dir)
+    return toxicity_digest(score_toxicity(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadspark.llm.packing import pack_documents
 
@@ -65,7 +72,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scans, op3_sentencepiece, op5_best_fit_packing, op7_pii, op8_lz_fingerprints, op9_token_counts, op10_chat_formatting)
+    f.__name__: f for f in (op1_secret_scans, op3_sentencepiece, op4_toxicity, op5_best_fit_packing, op7_pii, op8_lz_fingerprints, op9_token_counts, op10_chat_formatting)
 }
 
 ORACLE_SQL: dict[str, str] = {}
