@@ -17,6 +17,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadspark.llm.ngram_join import ngram_components
+
+    return ngram_components(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadspark.llm.sentencepiece_codec import codec_digest, encode_decode
 
@@ -72,7 +78,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scans, op3_sentencepiece, op4_toxicity, op5_best_fit_packing, op7_pii, op8_lz_fingerprints, op9_token_counts, op10_chat_formatting)
+    f.__name__: f for f in (op1_secret_scans, op2_ngram_jaccard, op3_sentencepiece, op4_toxicity, op5_best_fit_packing, op7_pii, op8_lz_fingerprints, op9_token_counts, op10_chat_formatting)
 }
 
 ORACLE_SQL: dict[str, str] = {}
