@@ -78,6 +78,17 @@ def scan_blobs(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     return scanned.select("blob", "s.rule", "s.version", "s.spans")
 
 
+def _hits(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> tuple[DataFrame, DataFrame]:
+    """(blob, spans) of the blobs with findings, spans by start and rule; the new ledger rows."""
+    new = scan_blobs(blobs, ledger, rules)
+    known = new
+    if ledger is not None:
+        current = F.array(*(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
+        old = ledger.where(F.array_contains(current, F.struct("rule", F.col("version").cast("int").alias("version"))))
+        known = new.unionByName(old.select("blob", "rule", "version", "spans"))
+    return known.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")), new
+
+
 def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings, new ledger rows). Findings: doc_id, blob, spans(start, rank, end, kind), one row per row of docs.
 
@@ -86,17 +97,26 @@ def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     as they are and no other column is read. Append the new rows to the ledger to make the next scan incremental.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", blob_of(F.col("text")))
-    new = scan_blobs(rows.select("blob", "text").dropDuplicates(["blob"]), ledger, rules)
-    known = new
-    if ledger is not None:
-        current = F.array(*(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
-        old = ledger.where(F.array_contains(current, F.struct("rule", F.col("version").cast("int").alias("version"))))
-        known = new.unionByName(old.select("blob", "rule", "version", "spans"))
-    hits = known.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    hits, new = _hits(rows.select("blob", "text").dropDuplicates(["blob"]), ledger, rules)
     found = rows.select("doc_id", "blob").join(hits, "blob", "left")
     return found.select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans")), new
 
 
+def mask_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs with the secrets in their texts masked (and length_col, if there, set anew for those); other rows as they are."""
+    at, found = "__blob", "__spans"
+    rows = docs.withColumn(at, blob_of(F.coalesce(F.col(text_col), F.lit(""))))
+    blobs = rows.where(F.col(text_col).isNotNull()).select(F.col(at).alias("blob"), F.col(text_col).alias("text")).dropDuplicates(["blob"])
+    hits = _hits(blobs, ledger, rules)[0].select(F.col("blob").alias(at), F.col("spans").alias(found))
+    joined = rows.join(hits, at, "left")
+    clean = F.col(found).isNull()
+    masked = joined.withColumn(text_col, F.when(clean, F.col(text_col)).otherwise(redact(F.col(text_col), F.col(found))))
+    if length_col in docs.columns:
+        kind = docs.schema[length_col].dataType
+        masked = masked.withColumn(length_col, F.when(clean, F.col(length_col)).otherwise(F.char_length(text_col).cast(kind)))
+    return masked.select(*docs.columns)
+
+
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """text with every span (or run of overlapping spans) replaced by mark."""
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

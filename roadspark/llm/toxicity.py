@@ -231,6 +231,17 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_run(model), "doc_id long, score double")
 
 
+def reject_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text scores threshold or more; all columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            yield batch.filter(pa.array(score_texts(texts, model) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity_digest(scored: DataFrame) -> DataFrame:
     predicted = F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"))
