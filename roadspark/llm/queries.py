@@ -48,6 +48,18 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), 2048)
 
 
+def op6_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The opening turn of every conversation, played; those with an id divisible by 20 are searched for by an excerpt."""
+    from roadspark.llm.common import stored
+    from roadspark.llm.media import fingerprint_audio, recordings, search_report
+
+    first = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 0").select("conv_id", "text")
+    media = recordings(first, "conv_id", "text")
+    index = stored(fingerprint_audio(media), "index")
+    queries = stored(fingerprint_audio(media.where("rec_id % 20 = 0"), audio_col="sample"), "queries")
+    return search_report(index, queries).withColumnRenamed("rec_id", "conv_id")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadspark.llm.pii import find_pii, pii_digest
 
@@ -78,7 +90,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scans, op2_ngram_jaccard, op3_sentencepiece, op4_toxicity, op5_best_fit_packing, op7_pii, op8_lz_fingerprints, op9_token_counts, op10_chat_formatting)
+    f.__name__: f for f in (op1_secret_scans, op2_ngram_jaccard, op3_sentencepiece, op4_toxicity, op5_best_fit_packing, op6_media_fingerprints, op7_pii, op8_lz_fingerprints, op9_token_counts, op10_chat_formatting)
 }
 
 ORACLE_SQL: dict[str, str] = {}
