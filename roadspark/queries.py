@@ -180,7 +180,7 @@ def nearest_node(s, d):
 
 @query("nearest_way", """WITH c AS (SELECT i.incident_id AS id, s.way_id, i.x, i.y, s.*, greatest(0, least(1, ((i.x - ax) * (zx - ax) + (i.y - ay) * (zy - ay)) / nullif((zx - ax)^2 + (zy - ay)^2, 0))) AS t FROM inc i, seg s),
     e AS (SELECT id, way_id, min(sqrt((x - ax - t * (zx - ax))^2 + (y - ay - t * (zy - ay))^2)) AS d FROM c GROUP BY id, way_id)
-    SELECT id, arg_min(way_id, (d, way_id)) AS way_id, round(min(d), 4) AS dist_m FROM e WHERE d <= 25 GROUP BY id""")
+    SELECT id, arg_min(way_id, (round(d, 6), way_id)) AS way_id, round(min(d), 4) AS dist_m FROM e WHERE d <= 25 GROUP BY id""")
 def nearest_way(s, d):
     return J.nearest_way(_points(s, d), X.ways(s, d), X.nodes(s, d), 25.0).select("id", "way_id", *r4("dist_m"))
 
