@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from roadspark.functions import constants as C
 from roadspark.functions.tags import lookup
 
-_ZERO = F.lit  # a literal, for short
-
-
 def _pair_cycle(k: int):
     return 4 * F.greatest(F.lit(1.0), F.coalesce(F.col("paired.pairs")[k]["stepSec"], F.lit(C.PAIRED_STEP_SEC)))
 
@@ -153,3 +150,37 @@ def preempt_episodes(requests: DataFrame, gap: float = C.PREEMPT_GAP_SEC, clear:
     fresh = F.coalesce((F.col("t") - F.lag("t").over(w) >= gap).cast("int"), F.lit(1))
     islands = requests.withColumn("fresh", fresh).withColumn("episode", F.sum("fresh").over(w))
     return islands.groupBy("junction_id", "episode").agg(F.min("t").alias("start"), (F.min("t") + clear).alias("clear_until"), (F.max("t") + gap).alias("hold_until"), F.max_by("way_id", F.struct("t", "way_id")).alias("way_id"))
+
+
+def approaches(signals: DataFrame, nodes: DataFrame, ways: DataFrame, incoming_only: bool = False) -> DataFrame:
+    """junction_id, way_id, dx, dy, bearing, rank: the legs of signalled nodes, by bearing.
+
+    A leg points to the way's next node, at its end to the one before. With incoming_only, one-way legs that lead away
+    from the node are left out.
+    """
+    from roadspark.functions.tags import tag
+    from roadspark.operators.mapbuild import located
+
+    w = Window.partitionBy("way_id").orderBy("seq")
+    path = located(ways, nodes).withColumns({"ox": F.coalesce(F.lead("x").over(w), F.lag("x").over(w)), "oy": F.coalesce(F.lead("y").over(w), F.lag("y").over(w)), "n": F.max("seq").over(Window.partitionBy("way_id"))})
+    legs = path.join(signals.select("node_id"), "node_id", "left_semi").join(ways.select("way_id", F.lower(F.trim(F.coalesce(tag("oneway"), F.lit("")))).alias("one")), "way_id")
+    if incoming_only:
+        legs = legs.where(~(((F.col("one") == "yes") & (F.col("seq") == 0)) | ((F.col("one") == "-1") & (F.col("seq") == F.col("n")))))
+    length = F.greatest(F.lit(1e-6), F.sqrt((F.col("ox") - F.col("x")) ** 2 + (F.col("oy") - F.col("y")) ** 2))
+    turned = legs.withColumn("bearing", F.atan2(F.col("oy") - F.col("y"), F.col("ox") - F.col("x")))
+    rank = F.row_number().over(Window.partitionBy("node_id").orderBy("bearing", "way_id"))
+    return turned.select(F.col("node_id").alias("junction_id"), "way_id", ((F.col("ox") - F.col("x")) / length).alias("dx"), ((F.col("oy") - F.col("y")) / length).alias("dy"), "bearing", rank.alias("rank"))
+
+
+def signal_groups_build(nodes: DataFrame, signals: DataFrame, selection: DataFrame, turn_sec: float = C.GROUP_TURN_SEC, direction: str = "cw") -> DataFrame:
+    """group_id, member_ids, turn_sec, direction: two signalled nodes or more, in order round their centre; ccw turns it about.
+
+    A node in several selected groups stays in the one with the greatest id.
+    """
+    own = selection.join(signals.select("node_id"), "node_id", "left_semi").groupBy("node_id").agg(F.max("group_id").alias("group_id")).join(nodes.select("node_id", "x", "y"), "node_id")
+    round_it = Window.partitionBy("group_id")
+    placed = own.withColumn("turn", F.round(F.atan2(F.col("x") - F.avg("x").over(round_it), F.col("y") - F.avg("y").over(round_it)), 9))
+    members = F.transform(F.array_sort(F.collect_list(F.struct("turn", "node_id"))), lambda e: e["node_id"])
+    made = placed.groupBy("group_id").agg(members.alias("member_ids")).where("size(member_ids) >= 2")
+    ordered = F.reverse("member_ids") if direction == "ccw" else F.col("member_ids")
+    return made.select("group_id", ordered.alias("member_ids"), F.lit(max(1.0, turn_sec)).alias("turn_sec"), F.lit(direction).alias("direction"))

@@ -132,3 +132,25 @@ def dispatch_top(incidents: DataFrame, vehicles: DataFrame, n: int, reach_m: flo
     near = a.join(b, ["cx", "cy"]).withColumn("d2", (F.col("x") - F.col("vx")) ** 2 + (F.col("y") - F.col("vy")) ** 2).where(F.col("d2") <= reach_m**2)
     rank = F.row_number().over(Window.partitionBy("incident_id", "type").orderBy("d2", "vehicle_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= n).select("incident_id", "type", "vehicle_id", "rank", F.sqrt("d2").alias("dist_m"))
+
+
+def lane_vision_cost(states: DataFrame, reach_m: float = 50.0) -> DataFrame:
+    """t, id, lane, cost: what slower vehicles ahead in the lane cost, by how much slower and how near they are."""
+    cell = F.floor(F.col("dist") / reach_m)
+    a = states.select("t", F.col("vehicle_id").alias("id"), "edge", "lane", "dist", F.col("speed_mps").alias("v"), F.explode(F.array(cell, cell + 1)).alias("cell"))
+    b = states.select("t", "edge", "lane", F.col("dist").alias("ahead"), F.col("speed_mps").alias("u"), cell.alias("cell"))
+    gap = F.col("ahead") - F.col("dist")
+    near = a.join(b, ["t", "edge", "lane", "cell"]).where((gap > 0) & (gap < reach_m))
+    return near.groupBy("t", "id", "lane").agg(F.sum(F.greatest(F.lit(0.0), F.col("v") - F.col("u")) * (1 - gap / reach_m)).alias("cost"))
+
+
+def incident_lifecycle(incidents: DataFrame, events: DataFrame) -> DataFrame:
+    """incident_id, status, t_responding, t_resolved: pending, responding after the first dispatch, resolved when all responders arrived or were recalled.
+
+    events: vehicle_id, incident_id, event (dispatch, incident_arrival, recall), t.
+    """
+    per = events.groupBy("incident_id", "vehicle_id").agg(F.min(F.when(F.col("event") == "dispatch", F.col("t"))).alias("out"), F.min(F.when(F.col("event").isin("incident_arrival", "recall"), F.col("t"))).alias("there")).where("out is not null")
+    all_ = per.groupBy("incident_id").agg(F.min("out").alias("t_responding"), F.bool_and(F.col("there").isNotNull()).alias("done"), F.max("there").alias("last"))
+    j = incidents.join(all_, "incident_id", "left")
+    status = F.when(F.col("t_responding").isNull(), "pending").when(F.col("done"), "resolved").otherwise("responding")
+    return j.select("incident_id", status.alias("status"), "t_responding", F.when(F.col("done"), F.col("last")).alias("t_resolved"))
