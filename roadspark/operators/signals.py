@@ -184,3 +184,33 @@ def signal_groups_build(nodes: DataFrame, signals: DataFrame, selection: DataFra
     made = placed.groupBy("group_id").agg(members.alias("member_ids")).where("size(member_ids) >= 2")
     ordered = F.reverse("member_ids") if direction == "ccw" else F.col("member_ids")
     return made.select("group_id", ordered.alias("member_ids"), F.lit(max(1.0, turn_sec)).alias("turn_sec"), F.lit(direction).alias("direction"))
+
+
+def lamp_state(asks: DataFrame, overrides: DataFrame, streamed: DataFrame, plans: DataFrame) -> DataFrame:
+    """asks (node_id, way_id, movement, t) with color and source: override, then streamed lamp, then the plan's color.
+
+    overrides: node_id, way_id, movement of green lamps; every other lamp of an overridden node is red. streamed: node_id,
+    way_id, movement, color; a node with streamed lamps shows green where the asked movement has none. plans: the asks'
+    keys with color.
+    """
+    lamp = ["node_id", "way_id", "movement"]
+    held = overrides.select("node_id").distinct().withColumn("held", F.lit(True))
+    lit = overrides.select(*lamp).distinct().withColumn("lit", F.lit(True))
+    sent = streamed.select("node_id").distinct().withColumn("sent", F.lit(True))
+    colors = streamed.groupBy(*lamp).agg(F.min("color").alias("shown"))
+    j = asks.join(held, "node_id", "left").join(lit, lamp, "left").join(sent, "node_id", "left").join(colors, lamp, "left").join(plans.select(*lamp, "t", F.col("color").alias("planned")), [*lamp, "t"], "left")
+    color = F.when(F.col("held"), F.when(F.col("lit"), "green").otherwise("red")).when(F.col("sent"), F.coalesce("shown", F.lit("green"))).otherwise(F.coalesce("planned", F.lit("red")))
+    source = F.when(F.col("held"), "override").when(F.col("sent"), "streamed").otherwise("plan")
+    return j.select(*asks.columns, color.alias("color"), source.alias("source"))
+
+
+def signal_clock(holds: DataFrame, asks: DataFrame) -> DataFrame:
+    """asks (node_id, t) with clock_sec: t without the time that any hold (node_id, since, until; null: open) froze before it."""
+    w = Window.partitionBy("node_id").orderBy("since", "until")
+    end = F.coalesce("until", F.lit(1 << 60))
+    known = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce((F.col("since") > known).cast("int"), F.lit(1))
+    islands = holds.withColumn("end", end).withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).groupBy("node_id", "island").agg(F.min("since").alias("a"), F.max("end").alias("b"))
+    j = asks.join(islands, "node_id", "left")
+    frozen = F.greatest(F.lit(0), F.least("b", "t") - F.col("a"))
+    return j.groupBy(*asks.columns).agg(F.sum(F.coalesce(frozen, F.lit(0))).alias("f")).select(*asks.columns, (F.col("t") - F.col("f")).alias("clock_sec"))

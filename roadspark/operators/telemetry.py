@@ -154,3 +154,48 @@ def incident_lifecycle(incidents: DataFrame, events: DataFrame) -> DataFrame:
     j = incidents.join(all_, "incident_id", "left")
     status = F.when(F.col("t_responding").isNull(), "pending").when(F.col("done"), "resolved").otherwise("responding")
     return j.select("incident_id", status.alias("status"), "t_responding", F.when(F.col("done"), F.col("last")).alias("t_resolved"))
+
+
+def lane_change_safe(gaps: DataFrame, ahead_m: float = 5.0, behind_m: float = 6.0, wide_m: float = 2.15, wide_scale: float = 1.5) -> DataFrame:
+    """t, vehicle_id, safe: whether the gaps to the target lane's neighbours are wide enough; wider vehicles need half as much again.
+
+    gaps: t, vehicle_id, gap_m, ahead_width, gap_behind_m, behind_width; a missing neighbour is no obstacle.
+    """
+    need = lambda gap, width, least: F.col(gap).isNull() | (F.col(gap) >= F.when(F.coalesce(F.col(width), F.lit(0.0)) > wide_m, least * wide_scale).otherwise(least))
+    return gaps.select("t", "vehicle_id", (need("gap_m", "ahead_width", ahead_m) & need("gap_behind_m", "behind_width", behind_m)).alias("safe"))
+
+
+def vehicle_destination(states: DataFrame, homes: DataFrame, amenities: DataFrame) -> DataFrame:
+    """t, vehicle_id, amenity_id, name, x, y: the home depot of vehicles on their way back (phase 2)."""
+    back = states.where("phase = 2").select("t", "vehicle_id").distinct()
+    return back.join(homes.select("vehicle_id", "amenity_id").dropDuplicates(["vehicle_id"]), "vehicle_id").join(amenities.select("amenity_id", F.try_element_at("tags", F.lit("name")).alias("name"), "x", "y"), "amenity_id").select("t", "vehicle_id", "amenity_id", "name", "x", "y")
+
+
+def live_edge_cost(edges: DataFrame, live: DataFrame) -> DataFrame:
+    """edge_id, cost_sec: length over the live speed (2 m/s at least; its own speed where none is known)."""
+    return edges.join(live, "edge_id", "left").select("edge_id", (F.col("length_m") / F.greatest(F.lit(2.0), F.coalesce("live_mps", "speed_mps"))).alias("cost_sec"))
+
+
+def remaining_cost(steps: DataFrame, costs: DataFrame) -> DataFrame:
+    """trip_id, step, cost_sec: what is left of each trip's route from a step on. steps: trip_id, step, edge_id."""
+    from_here = Window.partitionBy("trip_id").orderBy("step").rowsBetween(0, Window.unboundedFollowing)
+    return steps.join(costs, "edge_id").select("trip_id", "step", F.sum("cost_sec").over(from_here).alias("cost_sec"))
+
+
+def reroute_decisions(current: DataFrame, fresh: DataFrame, factor: float = 0.85) -> DataFrame:
+    """vehicle_id, current_sec, new_sec, switch: a new route is taken only if it costs less than factor of what is left."""
+    return current.join(fresh, "vehicle_id", "left").select("vehicle_id", "current_sec", "new_sec", F.coalesce(F.col("new_sec") < factor * F.col("current_sec"), F.lit(False)).alias("switch"))
+
+
+def queue_members(states: DataFrame, gates: DataFrame) -> DataFrame:
+    """t, vehicle_id, edge, lane, since, waited_sec: vehicles standing in a lane that is held at its end.
+
+    gates: t, edge, lane of lanes that are held. A wait begins at the first tick a vehicle stands in a held lane and
+    begins anew when it moves or the gate opens.
+    """
+    held = states.join(gates.select("t", "edge", "lane").distinct().withColumn("held", F.lit(True)), ["t", "edge", "lane"], "left")
+    w = Window.partitionBy("vehicle_id").orderBy("t")
+    on = held.withColumn("on", F.coalesce("held", F.lit(False)) & (F.col("speed_mps") < C.STUCK_SPEED_MPS))
+    runs = on.withColumn("run", F.row_number().over(w) - F.row_number().over(Window.partitionBy("vehicle_id", "on").orderBy("t"))).where("on")
+    since = F.min("t").over(Window.partitionBy("vehicle_id", "run"))
+    return runs.select("t", "vehicle_id", "edge", "lane", since.alias("since"), (F.col("t") - since).alias("waited_sec"))

@@ -58,3 +58,76 @@ def trip_summary(trips: DataFrame, nodes: DataFrame) -> DataFrame:
     a, b = (nodes.select(F.col("node_id").alias(f"{p}_node"), F.col("x").alias(f"{p}_x"), F.col("y").alias(f"{p}_y")) for p in ("start", "end"))
     d = trips.join(a, "start_node").join(b, "end_node").withColumn("d", F.sqrt((F.col("start_x") - F.col("end_x")) ** 2 + (F.col("start_y") - F.col("end_y")) ** 2))
     return d.groupBy("vehicle_type").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("min_m"), F.max("d").alias("max_m"), F.avg("d").alias("avg_m"))
+
+
+MODULUS = 2147483648
+
+
+def drawn(*parts, seed: int = 1):
+    """A number in [0, 2^31) that follows from the given whole-number columns and the seed, the same in any engine."""
+    mixed = F.lit(seed).cast("long")
+    for part, prime in zip(parts, (7919, 104729, 1299709), strict=False):
+        mixed = mixed + part * F.lit(prime).cast("long")
+    return (mixed % F.lit(MODULUS).cast("long") * F.lit(1103515245).cast("long") + 12345) % MODULUS
+
+
+def uniform(low, high, *parts, seed: int = 1):
+    return low + (high - low) * (drawn(*parts, seed=seed) / F.lit(float(MODULUS)))
+
+
+def sample_endpoints(ids: DataFrame, nodes: DataFrame, seed: int, min_m: float, tries: int = 50) -> DataFrame:
+    """id, start_node, end_node: for each id the first drawn pair of different nodes at least min_m apart, else the last different one."""
+    from roadspark.plans.store import numbered
+
+    order = numbered(nodes.select("node_id", "x", "y"), "node_id")
+    n = order.count()
+    pairs = ids.select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tries - 1).cast("long"))).alias("try"))
+    pick = lambda which: F.floor(drawn(F.col("id"), F.col("try"), F.lit(which), seed=seed) * F.lit(n).cast("long") / MODULUS)
+    a, b = (order.select(F.col("idx").alias(f"i{k}"), F.col("node_id").alias(f"n{k}"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")) for k in (0, 1))
+    drawn_pairs = pairs.withColumns({"i0": pick(0), "i1": pick(1)}).where("i0 <> i1").join(a, "i0").join(b, "i1")
+    far = (F.col("x0") - F.col("x1")) ** 2 + (F.col("y0") - F.col("y1")) ** 2 >= min_m**2
+    best = drawn_pairs.groupBy("id").agg(F.min_by(F.struct("n0", "n1"), F.when(far, F.col("try"))).alias("good"), F.max_by(F.struct("n0", "n1"), "try").alias("last"))
+    chosen = best.withColumn("p", F.coalesce("good", "last"))
+    return chosen.select("id", F.col("p.n0").alias("start_node"), F.col("p.n1").alias("end_node"))
+
+
+# Per vehicle type, the range of each attribute.
+PROFILES = {
+    "car": {"length": (4.0, 5.1), "width": (1.6, 1.95), "height": (1.35, 1.65), "weight_kg": (1000, 1900), "max_speed_kmh": (90, 120), "accel_mps2": (2.2, 3.2)},
+    "motorcycle": {"length": (1.8, 2.3), "width": (0.65, 0.9), "height": (1.05, 1.4), "weight_kg": (110, 260), "max_speed_kmh": (80, 110), "accel_mps2": (3.0, 4.5)},
+    "bus": {"length": (7.0, 10.0), "width": (2.4, 2.6), "height": (3.0, 3.6), "weight_kg": (8000, 14000), "max_speed_kmh": (60, 85), "accel_mps2": (0.8, 1.4)},
+    "truck": {"length": (6.0, 12.0), "width": (2.3, 2.6), "height": (2.5, 3.8), "weight_kg": (5000, 16000), "max_speed_kmh": (60, 80), "accel_mps2": (0.7, 1.3)},
+    "ambulance": {"length": (5.5, 6.5), "width": (2.0, 2.3), "height": (2.4, 2.85), "weight_kg": (2500, 4500), "max_speed_kmh": (100, 130), "accel_mps2": (2.6, 3.6)},
+    "firetruck": {"length": (8.5, 11.0), "width": (2.4, 2.6), "height": (3.0, 3.4), "weight_kg": (12000, 20000), "max_speed_kmh": (80, 100), "accel_mps2": (1.6, 2.4)},
+    "police": {"length": (4.5, 5.0), "width": (1.8, 2.0), "height": (1.45, 1.65), "weight_kg": (1600, 2200), "max_speed_kmh": (110, 140), "accel_mps2": (3.0, 4.2)},
+}
+MIN_AGE, MAX_AGE = 16, 80
+
+
+def vehicle_attributes(vehicles: DataFrame, seed: int) -> DataFrame:
+    """vehicles (id, type) with length, width, height, weight_kg, max_speed_kmh, accel_mps2 drawn from the type's ranges, and driver_age."""
+    from roadspark.functions.tags import lookup
+
+    out = {}
+    for k, name in enumerate(next(iter(PROFILES.values()))):
+        low, high = (lookup({t: float(p[name][e]) for t, p in PROFILES.items()}, F.col("type")) for e in (0, 1))
+        out[name] = F.round(uniform(low, high, F.col("id"), F.lit(k), seed=seed), 0 if name == "weight_kg" else 2)
+    age = MIN_AGE + F.floor(drawn(F.col("id"), F.lit(9), seed=seed) * F.lit(MAX_AGE - MIN_AGE + 1) / MODULUS)
+    return vehicles.withColumns(out | {"driver_age": age})
+
+
+def response_time(vehicles: DataFrame, seed: int) -> DataFrame:
+    """vehicles (id, type, driver_age) with response_time_sec: slower for the very young and the old, faster for emergency drivers."""
+    base = F.when(F.col("type").isin(*C.EMERGENCY_TYPES), 0.55).otherwise(0.75)
+    age = F.col("driver_age")
+    base = base + F.when(age < 21, 0.15 * (21 - age) / 5).when(age > 65, 0.10 * (age - 65) / 10).otherwise(0.0)
+    spread = uniform(F.lit(-0.1), F.lit(0.15), F.col("id"), F.lit(10), seed=seed)
+    return vehicles.withColumn("response_time_sec", F.round(F.greatest(F.lit(0.35), F.least(F.lit(2.0), base + spread)), 3))
+
+
+def fleet_vehicles(amenities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fleet_vehicles, duplicates[vehicle_id, n]): amenities' fleets (id, vehicleType, vehicles(id, ...)) flattened."""
+    fleets = amenities.select("amenity_id", F.explode_outer("fleets").alias("f"))
+    flat = fleets.select("amenity_id", F.col("f.id").alias("fleet_id"), F.col("f.vehicleType").alias("vehicle_type"), F.explode_outer("f.vehicles").alias("v"))
+    rows = flat.select("amenity_id", "fleet_id", "vehicle_type", F.col("v.id").alias("vehicle_id"), "v.length", "v.maxSpeed")
+    return rows, rows.where("vehicle_id is not null").groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

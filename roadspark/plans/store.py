@@ -23,3 +23,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
+    """df with the place of each row in the order of key, from 0, without gathering rows in one task.
+
+    Rows are dealt into ranges of the key and stored; the driver sees one count per range.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    dealt = stored(df.repartitionByRange(key).withColumn("__part", F.spark_partition_id()), "ranges")
+    offsets, at = [(-1, 0)], 0
+    for part, n in sorted(tuple(r) for r in dealt.groupBy("__part").count().collect()):
+        offsets.append((part, at))
+        at += n
+    table = F.create_map(*(F.lit(x) for kv in offsets for x in kv))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1 + F.element_at(table, F.col("__part")).cast("long")
+    return dealt.withColumn(name, place).drop("__part")

@@ -222,3 +222,62 @@ def incident_lifecycle(s, d):
     e = t.select(F.col("trip_id").alias("vehicle_id"), F.expr("trip_id div 3").alias("incident_id"), F.explode(steps).alias("e")).select("vehicle_id", "incident_id", "e.event", "e.t").where("event is not null")
     return run(e.select("incident_id").distinct(), e).select("incident_id", "status", "t_responding")
 
+
+
+_DRAW = "((({s} + {a} * 7919 + {b} * 104729 + {c} * 1299709) % 2147483648) * 1103515245 + 12345) % 2147483648"
+
+
+@query("sample_endpoints", """WITH o AS (SELECT node_id, x, y, row_number() OVER (ORDER BY node_id) - 1 AS idx FROM nd), n AS (SELECT count(*) AS n FROM nd),
+    p AS (SELECT trip_id AS id, t, ((((5 + trip_id * 7919 + t * 104729 + 0 * 1299709) % 2147483648) * 1103515245 + 12345) % 2147483648) * n.n // 2147483648 AS i0, ((((5 + trip_id * 7919 + t * 104729 + 1299709) % 2147483648) * 1103515245 + 12345) % 2147483648) * n.n // 2147483648 AS i1 FROM tr, range(0, 12) AS z(t), n),
+    q AS (SELECT id, t, a.node_id AS s, b.node_id AS e, (a.x - b.x)^2 + (a.y - b.y)^2 >= 200 * 200 AS far FROM p JOIN o a ON a.idx = i0 JOIN o b ON b.idx = i1 WHERE i0 <> i1)
+    SELECT id, coalesce(arg_min(s, t) FILTER (far), arg_max(s, t)) AS start_node, coalesce(arg_min(e, t) FILTER (far), arg_max(e, t)) AS end_node FROM q GROUP BY id""")
+def sample_endpoints(s, d):
+    from roadspark.operators.trips import sample_endpoints as run
+
+    return run(X.trips(s, d).select(F.col("trip_id").alias("id")), X.nodes(s, d), 5, 200.0, 12)
+
+
+@query("vehicle_attributes", f"""SELECT trip_id AS id, vehicle_type AS type, CAST(16 + ({_DRAW.format(s=3, a='trip_id', b=9, c=0)}) * 65 // 2147483648 AS BIGINT) AS driver_age,
+    round(CASE vehicle_type WHEN 'car' THEN 4.0 WHEN 'motorcycle' THEN 1.8 WHEN 'bus' THEN 7.0 WHEN 'truck' THEN 6.0 WHEN 'ambulance' THEN 5.5 WHEN 'firetruck' THEN 8.5 ELSE 4.5 END::DOUBLE + CASE vehicle_type WHEN 'car' THEN 5.1 - 4.0 WHEN 'motorcycle' THEN 2.3 - 1.8 WHEN 'bus' THEN 3.0 WHEN 'truck' THEN 6.0 WHEN 'ambulance' THEN 1.0 WHEN 'firetruck' THEN 2.5 ELSE 0.5 END::DOUBLE * (({_DRAW.format(s=3, a='trip_id', b=0, c=0)}) / 2147483648.0::DOUBLE), 2) AS length FROM tr WHERE trip_id % 4 = 0""")
+def vehicle_attributes(s, d):
+    from roadspark.operators.trips import vehicle_attributes as run
+
+    v = X.trips(s, d).where("trip_id % 4 = 0").select(F.col("trip_id").alias("id"), F.col("vehicle_type").alias("type"))
+    return run(v, 3).select("id", "type", "driver_age", "length")
+
+
+@query("response_time", f"""WITH v AS (SELECT trip_id AS id, vehicle_type AS type, 16 + trip_id % 65 AS age, -0.1 + 0.25 * (({_DRAW.format(s=3, a='trip_id', b=10, c=0)}) / 2147483648.0::DOUBLE) AS u FROM tr)
+    SELECT id, round(greatest(0.35, least(2.0, CASE WHEN type IN ('ambulance', 'firetruck', 'police') THEN 0.55 ELSE 0.75 END + CASE WHEN age < 21 THEN 0.15 * (21 - age) / 5 WHEN age > 65 THEN 0.10 * (age - 65) / 10 ELSE 0 END + u))::DOUBLE, 3) AS response_time_sec FROM v""")
+def response_time(s, d):
+    from roadspark.operators.trips import response_time as run
+
+    v = X.trips(s, d).selectExpr("trip_id AS id", "vehicle_type AS type", "16 + trip_id % 65 AS driver_age")
+    return run(v, 3).select("id", "response_time_sec")
+
+
+@query("queue_members", """WITH h AS (SELECT *, speed_mps < 0.5 AND t % 20 < 15 AND edge % 2 = 0 AS on_ FROM st), gq AS (SELECT *, t - row_number() OVER (PARTITION BY vehicle_id ORDER BY t) AS k FROM h WHERE on_)
+    SELECT t, vehicle_id, min(t) OVER (PARTITION BY vehicle_id, k) AS since FROM gq""")
+def queue_members(s, d):
+    from roadspark.operators.telemetry import queue_members as run
+
+    st = X.states(s, d)
+    return run(st, st.where("t % 20 < 15 and edge % 2 = 0").select("t", "edge", "lane")).select("t", "vehicle_id", "since")
+
+
+@query("signal_clock", """WITH hold AS (SELECT 'n' || (event_id % 20) AS node_id, event_id AS a, event_id + 3 + user_id % 40 AS b FROM events WHERE event_type = 'click' AND event_id < 2000), ask AS (SELECT 'n' || k AS node_id, t FROM range(0, 20) AS q(k), range(100, 2100, 100) AS z(t))
+    SELECT node_id, t, t - (SELECT count(*) FROM range(0, 2100) AS s(v) WHERE v < t AND EXISTS (SELECT 1 FROM hold WHERE hold.node_id = ask.node_id AND v >= a AND v < b)) AS clock_sec FROM ask""")
+def signal_clock(s, d):
+    from roadspark.operators.signals import signal_clock as run
+
+    holds = s.read.parquet(f"{d}/events.parquet").where("event_type = 'click' and event_id < 2000").selectExpr("concat('n', event_id % 20) AS node_id", "event_id AS since", "event_id + 3 + user_id % 40 AS until")
+    asks = s.range(20).select(F.concat(F.lit("n"), "id").alias("node_id"), F.explode(F.sequence(F.lit(100), F.lit(2000), F.lit(100)).cast("array<bigint>")).alias("t"))
+    return run(holds, asks)
+
+
+@query("live_edge_cost", "SELECT way_id || ':' || seq || ':' || CASE WHEN f THEN 'f' ELSE 'b' END AS edge_id, round(d / greatest(2.0, CASE WHEN seq % 3 = 0 THEN seq % 7 ELSE mps END), 4) AS cost_sec FROM edge")
+def live_edge_cost(s, d):
+    from roadspark.operators.telemetry import live_edge_cost as run
+
+    e = G.chain_edges(X.nodes(s, d), X.ways(s, d))
+    seq = F.split("edge_id", ":")[1].cast("int")
+    return run(e, e.where(seq % 3 == 0).select("edge_id", (seq % 7).cast("double").alias("live_mps"))).select("edge_id", *r4("cost_sec"))
