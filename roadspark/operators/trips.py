@@ -68,7 +68,9 @@ def drawn(*parts, seed: int = 1):
     mixed = F.lit(seed).cast("long")
     for part, prime in zip(parts, (7919, 104729, 1299709), strict=False):
         mixed = mixed + part * F.lit(prime).cast("long")
-    return (mixed % F.lit(MODULUS).cast("long") * F.lit(1103515245).cast("long") + 12345) % MODULUS
+    step = lambda x: (x % F.lit(MODULUS).cast("long") * F.lit(1103515245).cast("long") + 12345) % MODULUS
+    once = step(mixed)
+    return step(once.bitwiseXOR(F.shiftright(once, 15)))  # without the shift, draws of neighbouring parts would differ by a constant
 
 
 def uniform(low, high, *parts, seed: int = 1):
