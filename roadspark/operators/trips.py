@@ -133,3 +133,25 @@ def fleet_vehicles(amenities: DataFrame) -> tuple[DataFrame, DataFrame]:
     flat = fleets.select("amenity_id", F.col("f.id").alias("fleet_id"), F.col("f.vehicleType").alias("vehicle_type"), F.explode_outer("f.vehicles").alias("v"))
     rows = flat.select("amenity_id", "fleet_id", "vehicle_type", F.col("v.id").alias("vehicle_id"), "v.length", "v.maxSpeed")
     return rows, rows.where("vehicle_id is not null").groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def generate_trips(spark: SparkSession, nodes: DataFrame, depots: DataFrame, count: int, seed: int, min_m: float = 200.0, mix: dict[str, float] | None = None) -> DataFrame:
+    """id, type, start_node, end_node, home_depot and attributes of count vehicles: types in exact numbers, in shuffled order.
+
+    Emergency vehicles start at their depot, whatever the distance to their end; others get endpoints min_m apart. nodes
+    are the ones that trips may use (the largest strong component).
+    """
+    from roadspark.plans.store import numbered
+
+    sizes = [(r["type"], r["n"]) for r in apportion_counts(spark, count, mix).collect()]  # a row per vehicle type
+    shuffled = numbered(spark.range(count).withColumn("key", drawn(F.col("id"), F.lit(11), seed=seed) * F.lit(MODULUS).cast("long") + F.col("id")), "key", "place")
+    kind, upto = F.lit(None).cast("string"), count
+    for name, n in reversed(sizes):
+        kind = F.when(F.col("place") < upto, name).otherwise(kind) if n else kind
+        upto -= n
+    vehicles = shuffled.select("id", kind.alias("type"))
+    ends = sample_endpoints(vehicles.select("id"), nodes, seed, min_m)
+    home = assign_depots(vehicles, depots).withColumnRenamed("start_node", "home_node")
+    placed = vehicles.join(ends, "id", "left").join(home, "id", "left")
+    moved = placed.select("id", "type", F.coalesce("home_node", "start_node").alias("start_node"), "end_node", F.col("depot_id").alias("home_depot"))
+    return response_time(vehicle_attributes(moved, seed), seed)

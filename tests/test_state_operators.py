@@ -57,3 +57,34 @@ def test_endpoints_differ_and_are_far(spark):
     nodes = spark.createDataFrame([(f"n{k}", float(k), 0.0) for k in range(50)], "node_id string, x double, y double")
     got = trips.sample_endpoints(spark.range(40), nodes, 3, 10.0, 20).collect()
     assert len(got) == 40 and all(abs(int(r.start_node[1:]) - int(r.end_node[1:])) >= 10 for r in got)
+
+
+def test_generated_trips(spark):
+    nodes = spark.createDataFrame([(f"n{k}", 50.0 * k, 0.0) for k in range(60)], "node_id string, x double, y double")
+    depots = spark.createDataFrame([("ambulance", "h1", "n1"), ("ambulance", "h2", "n2"), ("police", "p", "n3"), ("firetruck", "p", "n3")], "type string, depot_id string, node_id string")
+    got = trips.generate_trips(spark, nodes, depots, 200, 7).collect()
+    count = {k: sum(r.type == k for r in got) for k in trips.PROFILES}
+    assert len({r.id for r in got}) == len(got) == 200
+    assert count == {r.type: r.n for r in trips.apportion_counts(spark, 200).collect()}
+    for r in got:
+        assert trips.PROFILES[r.type]["length"][0] <= r.length <= trips.PROFILES[r.type]["length"][1] and 16 <= r.driver_age <= 80
+        assert (r.home_depot is not None) == (r.type in trips.C.EMERGENCY_TYPES)
+        if r.home_depot is None:
+            assert abs(int(r.start_node[1:]) - int(r.end_node[1:])) >= 4
+    assert {r.home_depot for r in got if r.type == "ambulance"} == {"h1", "h2"}
+
+
+def test_preemption_asks_for_the_next_signal(spark):
+    from roadspark.operators import routes
+
+    steps = spark.createDataFrame([("v", 0, 50.0, None), ("v", 1, 10.0, "J1"), ("v", 2, 30.0, None), ("v", 3, 10.0, "J2")], "vehicle_id string, step int, length_m double, junction_id string")
+    states = spark.createDataFrame([(0, "v", 0, 50.0, 10.0, True, 0.0), (1, "v", 0, 50.0, 1.0, True, 0.0), (2, "v", 1, 5.0, 0.0, True, 9.0), (3, "v", 2, 20.0, 10.0, True, 6.0), (4, "v", 2, 20.0, 10.0, False, 0.0), (5, "v", 2, 20.0, 10.0, True, 0.0)], "t long, vehicle_id string, step int, left_m double, speed_mps double, responding boolean, stuck_for double")
+    assert rows(routes.preempt_requests(states, steps)) == [(0, "v", "J1", 5.0), (2, "v", "J1", 0.0), (5, "v", "J2", 2.0)]
+
+
+def test_path_metrics(spark):
+    from roadspark.operators import routes
+
+    nodes = spark.createDataFrame([("a", 0.0, 0.0), ("b", 3.0, 4.0), ("c", 3.0, 10.0)], "node_id string, x double, y double")
+    paths = spark.createDataFrame([(1, ["a", "b#fwd", "c"]), (2, ["a"])], "od_id long, path array<string>")
+    assert rows(routes.path_metrics(paths, nodes)) == [(1, 11.0, 3), (2, 0.0, 1)]
