@@ -25,7 +25,7 @@ WORD = re.compile(r"[^\W\d_]+")
 WORD_CHARS = 80
 ORDINARY_BYTES = 300
 TOXIC_BYTES = 2_000
-GRAM = (4, 5, 6, 8, 10, 12)
+GRAM = range(4, 13)
 #: The frame: its matching beginning makes zstandard write a compressed block; it doesn't search a block's last 8 bytes.
 FRAME_START, FRAME_END = bytes(range(1, 9)) + bytes(range(14, 22)), bytes(range(8, 0, -1))
 FOLDS, HELD_OUT = 3, 1
@@ -48,6 +48,13 @@ def words_of(text: str) -> list[str]:
     return [w[k : k + WORD_CHARS] for w in found for k in range(0, len(w), WORD_CHARS)]
 
 
+def _grams(word: str) -> set[str]:
+    """Beginnings and ends of a word, with the space before or after it."""
+    padded = f" {word} "
+    sizes = [n for n in GRAM if n <= len(padded)]
+    return {padded[:n] for n in sizes} | {padded[-n:] for n in sizes} | {padded[1 : n + 1] for n in sizes if n < len(padded)}
+
+
 def _segments(toxic: list[str], ordinary: list[str]) -> list[str]:
     """Segments of words that many toxic texts have and ordinary ones lack, by the bytes they cover, most first."""
     import ahocorasick
@@ -67,16 +74,16 @@ def _segments(toxic: list[str], ordinary: list[str]) -> list[str]:
                 holders[w].add(k)
             last = w
     least = max(4, len(toxic) // 100)
-    grams = {w: {p[i : i + n] for p in (f" {w} ",) for n in GRAM for i in range(len(p) - n + 1)} for w in contexts}
     count: Counter = Counter()
-    for w, gs in grams.items():
-        for g in gs:
-            count[g] += len(contexts[w])
+    for w, cs in contexts.items():
+        for g in _grams(w):
+            count[g] += len(cs)
     frequent = {g for g, n in count.items() if n >= least}
+    del count
     where: dict[str, set[tuple[str, str]]] = defaultdict(set)
     texts: dict[str, set[int]] = defaultdict(set)
-    for w, gs in grams.items():
-        for g in gs & frequent:
+    for w in contexts:
+        for g in _grams(w) & frequent:
             where[g].update((c, w) for c in contexts[w])
             texts[g] |= holders[w]
     texts = {g: ks for g, ks in texts.items() if len(ks) >= least}
@@ -179,6 +186,7 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     most_t, most_o = (np.array([s.max(initial=0) for s in x]) for x in (saved_t, saved_o))
     least = max(range(1, 8), key=lambda k: ((most_t >= k).mean() - (most_o >= k).mean(), -k))
     w = _logistic(features(saved_t + saved_o, least), y)
+    _savings.clear()
     return Model(content, both, least, tuple(float(v) for v in w))
 
 
