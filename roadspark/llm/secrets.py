@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspark.llm.common import count_kind, span_text
@@ -106,9 +106,19 @@ def mask_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     """docs with the secrets in their texts masked (and length_col, if there, set anew for those); other rows as they are."""
     at, found = "__blob", "__spans"
     rows = docs.withColumn(at, blob_of(F.coalesce(F.col(text_col), F.lit(""))))
-    blobs = rows.where(F.col(text_col).isNotNull()).select(F.col(at).alias("blob"), F.col(text_col).alias("text")).dropDuplicates(["blob"])
-    hits = _hits(blobs, ledger, rules)[0].select(F.col("blob").alias(at), F.col("spans").alias(found))
-    joined = rows.join(hits, at, "left")
+    if ledger is None:
+        # one shuffle of the texts: a blob's first row is scanned, the rows after it take its spans over
+        order = Window.partitionBy(at).orderBy(F.length(F.col(text_col)).desc_nulls_last())
+        first = rows.withColumn("__row", F.row_number().over(order))
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        spans = F.array_sort(F.concat(*(_spans(text, r, k) for k, r in enumerate(rules))))
+        scanned = first.withColumn("__own", F.when(F.col("__row") == 1, spans))
+        upto = Window.partitionBy(at).orderBy("__row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        joined = scanned.withColumn(found, F.first("__own", ignorenulls=True).over(upto)).withColumn(found, F.when((F.size(found) > 0) & F.col(text_col).isNotNull(), F.col(found)))
+    else:
+        blobs = rows.where(F.col(text_col).isNotNull()).select(F.col(at).alias("blob"), F.col(text_col).alias("text")).dropDuplicates(["blob"])
+        hits = _hits(blobs, ledger, rules)[0].select(F.col("blob").alias(at), F.col("spans").alias(found))
+        joined = rows.join(hits, at, "left")
     clean = F.col(found).isNull()
     masked = joined.withColumn(text_col, F.when(clean, F.col(text_col)).otherwise(redact(F.col(text_col), F.col(found))))
     if length_col in docs.columns:
