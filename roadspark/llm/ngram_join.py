@@ -31,6 +31,7 @@ CELL_BITS, CHUNK_BITS = 24, 12  # members are counted in 2^24 cells by the first
 SATURATED = 255
 BIT_PRIME = 67_108_859
 SALTS = 32
+LEAST = 9  # smaller sets link only with equal ones; one of 9 links with one of 10 that holds it
 SUBSET_LIMIT = 18  # up to this size one member is all that linked sets can differ by
 LIST_WEIGHT = 9  # a list entry's cost against a subset's: it may have to be verified
 FULL, LESS_ONE = -2, -1  # "positions" of subset rows
@@ -203,7 +204,7 @@ def _lists(cells, light: int):
 
             for s in shingle_sets(batch.column(1)):
                 n = len(s)
-                if n < 10:
+                if n < LEAST:
                     continue
                 key = _key(s)[0]
                 if key in seen:
@@ -306,7 +307,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     told = stored(rows.mapInArrow(_describe, _ONE_SQL), "sets")
     described = told.where("n is not null").select("doc_id", "n", "key", "check")
     classes = stored(
-        told.where("n >= 10").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.max("n").alias("n2"), F.min("check").alias("c"), F.max("check").alias("c2"), F.min("sketch").alias("sketch")), "classes"
+        told.where(f"n >= {LEAST}").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.max("n").alias("n2"), F.min("check").alias("c"), F.max("check").alias("c2"), F.min("sketch").alias("sketch")), "classes"
     )
     if not classes.where("n <> n2 or c <> c2").isEmpty():
         raise RuntimeError("two different sets share a 64-bit key; choose other hash constants")

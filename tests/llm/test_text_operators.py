@@ -251,6 +251,21 @@ def test_ngram_join(spark):
     assert ngram_components(empty(spark)).count() == 0
 
 
+def test_ngram_join_links_sets_of_nine_with_sets_of_ten(spark):
+    from roadspark.llm.ngram_join import ngram_components
+
+    rng = random.Random(12)
+    rows = []
+    for size in (9, 10, 11, 12):
+        for _ in range(3):
+            base = [f"v{rng.randrange(400)}" for _ in range(size)]
+            rows += [" ".join(x) for x in (base, [*base, "end"], ["start", *base], base[:-1])]
+    rows = list(enumerate(rows))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert sum(n == 9 and c != d for d, (n, c) in got.items()) > 0
+
+
 def test_components(spark):
     from roadspark.llm.components import components
 
