@@ -21,14 +21,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the least id of each component; rows without words all stay. Of rows that repeat an id, one stays."""
-    from roadspark.llm.ngram_join import ngram_components
-
-    found = stored(ngram_components(docs).select("doc_id", "component_id"), "components")
-    kept = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "kept_id")
-    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    repeated = not kept.where("rows > 1 and kept_id is not null").isEmpty()
-    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null")) if repeated else out
+    """One row of each component at five words and 0.8: the least id, null ids last; rows without words all stay."""
+    from roadspark.llm.ngram_join import drop_near_copies
+
+    return drop_near_copies(docs, words=5, similarity=0.8)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,26 +13,26 @@ tested pair by pair, so a group of copies costs no pairs within itself and no li
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspark.llm.common import stored
 from roadspark.llm.components import components
 from roadspark.llm.lz_fingerprint import _powers, mix
 
-WORDS = 3
 CHUNK_BYTES = 1 << 20
+SLICE = 1000  # rows worked on together
 BLOCK = 8_000_000  # members counted together
 CELL_BITS, CHUNK_BITS = 24, 12  # members are counted in 2^24 cells by the first bits of their hash, 2^12 cells to a row
 SATURATED = 255
 BIT_PRIME = 67_108_859
 SALTS = 32
-LEAST = 9  # smaller sets link only with equal ones; one of 9 links with one of 10 that holds it
-SUBSET_LIMIT = 18  # up to this size one member is all that linked sets can differ by
 LIST_WEIGHT = 9  # a list entry's cost against a subset's: it may have to be verified
 FULL, LESS_ONE = -2, -1  # "positions" of subset rows
 LOWEST = -(1 << 63)
@@ -41,12 +41,43 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def required(n: int) -> int:
-    """Members that a set of size n shares with any partner at a similarity of 0.9, at least."""
-    return -(-9 * n // 10)
+class Rule(NamedTuple):
+    """Sets of shingles of so many words link at a Jaccard similarity of p / q."""
 
+    words: int = 3
+    p: int = 9
+    q: int = 10
 
-def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    def required(self, n: int) -> int:
+        """Members that a set of size n shares with any partner, at least."""
+        return -(-self.p * n // self.q)
+
+    @property
+    def least(self) -> int:
+        """Smaller sets link only with equal ones: the least i with i / (i + 1) >= p / q."""
+        return -(-self.p // (self.q - self.p))
+
+    @property
+    def subset_limit(self) -> int:
+        """Up to this size one member is all that linked sets can differ by: the least i with i / (i + 2) >= p / q."""
+        return -(-2 * self.p // (self.q - self.p))
+
+
+def rule_of(words: int, similarity: float) -> Rule:
+    share = Fraction(str(similarity))
+    if words < 1 or not 0 < share < 1:
+        raise ValueError("shingles have at least one word, similarities lie between 0 and 1")
+    return Rule(words, share.numerator, share.denominator)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces, so that what is held for a piece stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text. Works on bytes: only A-Z are lowered, words end at the six ASCII blanks."""
     texts = column.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -54,11 +85,20 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1)
-        yield from _chunk(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        yield from _chunk(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], words)
         at = to
 
 
-def _chunk(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+def _chain(word: np.ndarray, words: int) -> np.ndarray:
+    """The hash of each run of so many words."""
+    count = len(word) - words + 1
+    out = mix(word[words - 1 :] * (_A, _B, _C)[(words - 1) % 3])
+    for j in range(words - 2, -1, -1):
+        out = mix(word[j : j + count] * (_A, _B, _C)[j % 3] + out)
+    return out
+
+
+def _chunk(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
     empty = np.empty(0, dtype=np.uint64)
     if not len(data):
         yield from (empty for _ in range(len(offsets) - 1))
@@ -77,13 +117,13 @@ def _chunk(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     np.cumsum(_BYTE[low] * power[: len(data)], out=total[1:])
     word = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * _C)
     first = np.searchsorted(start, offsets)
-    three = mix(word[:-2] * _A + mix(word[1:-1] * _B + mix(word[2:] * _C))) if len(word) > 2 else empty
+    runs = _chain(word, words) if len(word) >= words else empty
     for a, b in zip(first, first[1:], strict=False):
-        if b - a >= WORDS:
-            h = np.sort(three[a : b - 2])
+        if b - a >= words:
+            h = np.sort(runs[a : b - words + 1])
             yield h[np.append(True, h[1:] != h[:-1])]
         elif b > a:
-            yield mix(np.array([word[a:b].astype(object).dot([int(_B), int(_A)][: b - a]) % (1 << 64)], dtype=np.uint64) + np.uint64(b - a))
+            yield mix(_chain(word[a:b], int(b - a)) + np.uint64(b - a))
         else:
             yield empty
 
@@ -94,8 +134,8 @@ def _key(members: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(a, dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(b).view(np.int64)) if len(b) else 0
 
 
-_ONE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary()), ("chunk", pa.int64()), ("cells", pa.binary())])
-_ONE_SQL = "doc_id long, n long, key long, check long, sketch binary, chunk long, cells binary"
+_ONE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary()), ("chunk", pa.int64()), ("cells", pa.binary())])
+_ONE_SQL = "doc_id long, row long, n long, key long, check long, sketch binary, chunk long, cells binary"
 
 
 def _sketch(members: np.ndarray) -> bytes:
@@ -105,7 +145,7 @@ def _sketch(members: np.ndarray) -> bytes:
     return np.minimum(cells, SATURATED).astype(np.uint8).tobytes()
 
 
-def _may_link(sketch_a: bytes, sketch_b: bytes, n: int) -> bool:
+def _may_link(sketch_a: bytes, sketch_b: bytes, n: int, rule: Rule) -> bool:
     """False only if the cells' differences, at most the symmetric difference, rule a link out. n: both sizes together."""
     a, b = (np.frombuffer(s, dtype=np.uint8).astype(np.int32) for s in (sketch_a, sketch_b))
     if a.max() == SATURATED or b.max() == SATURATED:
@@ -113,45 +153,49 @@ def _may_link(sketch_a: bytes, sketch_b: bytes, n: int) -> bool:
     if len(a) != len(b):
         a, b = sorted((a, b), key=len)
         b = b.reshape(len(a), -1).sum(axis=1)
-    return 19 * int(np.abs(a - b).sum()) <= n
+    return (rule.p + rule.q) * int(np.abs(a - b).sum()) <= (rule.q - rule.p) * n
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(words: int):
     """A row per document; then rows with the cell counts of the members of all distinct sets, compressed."""
-    block: list[np.ndarray] = []
-    held, seen = 0, set()
-
-    def counted() -> pa.RecordBatch:
-        cell, n = np.unique(np.concatenate(block) >> np.uint64(64 - CELL_BITS), return_counts=True)
-        rows = []
-        ends = np.searchsorted(cell >> np.uint64(CHUNK_BITS), np.arange((1 << (CELL_BITS - CHUNK_BITS)) + 1, dtype=np.uint64))
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for a, b in zip(ends, ends[1:], strict=False):
-            counts = np.zeros(1 << CHUNK_BITS, dtype=np.uint16)
-            counts[(cell[a:b] & np.uint64((1 << CHUNK_BITS) - 1)).astype(np.int64)] = np.minimum(n[a:b], 65_535)
-            rows.append(pack((counts & 255).astype(np.uint8).tobytes() + (counts >> 8).astype(np.uint8).tobytes()))
-        none = pa.nulls(len(rows))
-        return pa.RecordBatch.from_arrays([none.cast(f.type) for f in list(_ONE)[:5]] + [pa.array(np.arange(len(rows))), pa.array(rows, pa.binary())], schema=_ONE)
 
-    for batch in batches:
-        rows = []
-        for members in shingle_sets(batch.column(1)):
-            key, check = _key(members)
-            rows.append((len(members), key, check, _sketch(members)))
-            if key not in seen and len(members):
-                seen.add(key)
-                block.append(members)
-                held += len(members)
-            if held >= BLOCK:
-                yield counted()
-                block.clear()
-                held = 0
-                seen.clear()
-        n, key, check, sketch = ([r[k] for r in rows] for k in range(4))
-        none = pa.nulls(len(rows))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(sketch, pa.binary()), none.cast(pa.int64()), none.cast(pa.binary())], schema=_ONE)
-    if block:
-        yield counted()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[np.ndarray] = []
+        held, seen = 0, set()
+
+        def counted() -> pa.RecordBatch:
+            cell, n = np.unique(np.concatenate(block) >> np.uint64(64 - CELL_BITS), return_counts=True)
+            rows = []
+            ends = np.searchsorted(cell >> np.uint64(CHUNK_BITS), np.arange((1 << (CELL_BITS - CHUNK_BITS)) + 1, dtype=np.uint64))
+            pack = zstandard.ZstdCompressor(level=3).compress
+            for a, b in zip(ends, ends[1:], strict=False):
+                counts = np.zeros(1 << CHUNK_BITS, dtype=np.uint16)
+                counts[(cell[a:b] & np.uint64((1 << CHUNK_BITS) - 1)).astype(np.int64)] = np.minimum(n[a:b], 65_535)
+                rows.append(pack((counts & 255).astype(np.uint8).tobytes() + (counts >> 8).astype(np.uint8).tobytes()))
+            none = pa.nulls(len(rows))
+            return pa.RecordBatch.from_arrays([none.cast(f.type) for f in list(_ONE)[:6]] + [pa.array(np.arange(len(rows))), pa.array(rows, pa.binary())], schema=_ONE)
+
+        for batch in _slices(batches):
+            rows = []
+            for members in shingle_sets(batch.column(1), words):
+                key, check = _key(members)
+                rows.append((len(members), key, check, _sketch(members)))
+                if key not in seen and len(members):
+                    seen.add(key)
+                    block.append(members)
+                    held += len(members)
+                if held >= BLOCK:
+                    yield counted()
+                    block.clear()
+                    held = 0
+                    seen.clear()
+            n, key, check, sketch = ([r[k] for r in rows] for k in range(4))
+            none = pa.nulls(len(rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(sketch, pa.binary()), none.cast(pa.int64()), none.cast(pa.binary())], schema=_ONE)
+        if block:
+            yield counted()
+
+    return run
 
 
 def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,13 +231,13 @@ def _rareness(told: DataFrame) -> np.ndarray:
 _LIST = pa.schema([("member", pa.int64()), ("key", pa.int64()), ("size_pos", pa.int64()), ("parity", pa.int64())])
 
 
-def _lists(cells, light: int):
+def _lists(cells, light: int, rule: Rule):
     """Inverted-list entries of heavy sets (and of light ones that a heavy one may link to), and subset rows of light sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = cells.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[list[np.ndarray]] = [[], [], [], []]
 
             def put(member: np.ndarray, key: int, n: int, pos: np.ndarray, parity: int) -> None:
@@ -202,9 +246,9 @@ def _lists(cells, light: int):
                 out[2].append((n << 32) + pos)  # noqa: B023
                 out[3].append(np.full(len(member), parity))  # noqa: B023
 
-            for s in shingle_sets(batch.column(1)):
+            for s in shingle_sets(batch.column(1), rule.words):
                 n = len(s)
-                if n < LEAST:
+                if n < rule.least:
                     continue
                 key = _key(s)[0]
                 if key in seen:
@@ -216,8 +260,8 @@ def _lists(cells, light: int):
                     less = np.uint64(key & 0xFFFFFFFFFFFFFFFF) - mix(s ^ _A)
                     hashes = mix(np.append(np.array([key], dtype=np.int64).view(np.uint64), less) + _C * np.append(n, np.full(n, n - 1)).astype(np.uint64))
                     put(hashes.view(np.int64), key, n, np.append(FULL, np.full(n, LESS_ONE)), 0)
-                if n > light or 10 * n >= 9 * (light + 1):
-                    k = n - required(n) + 1
+                if n > light or rule.q * n >= rule.p * (light + 1):
+                    k = n - rule.required(n) + 1
                     parity = int(np.bitwise_xor.reduce(np.uint64(1) << (s & np.uint64(63))).view(np.int64))
                     # s is in order of hashes, so a stable sort orders by rareness, then hash
                     rare = s[np.argsort(scale[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")[:k]]
@@ -228,98 +272,102 @@ def _lists(cells, light: int):
     return run
 
 
-def _members_of(bits):
+def _members_of(bits, words: int):
     """(key, members) of the documents whose id is marked in bits, a bitmap of fixed size."""
     schema = pa.schema([("key", pa.int64()), ("members", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = bits.value
-        for batch in batches:
+        for batch in _slices(batches):
             h = np.mod(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), BIT_PRIME)
             wanted = np.flatnonzero(marks[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1))
             if len(wanted):
-                sets = list(shingle_sets(batch.column(1).take(pa.array(wanted))))
+                sets = list(shingle_sets(batch.column(1).take(pa.array(wanted)), words))
                 yield pa.RecordBatch.from_arrays([pa.array([_key(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
     return run
 
 
-def _sketch_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch_filter(rule: Rule):
     """Drops the pairs whose sketches rule a link out."""
-    for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "n_a", "n_b"))
-        keep = pa.array([_may_link(a, b, n + m) for a, b, n, m in zip(*columns, strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "rep_a", "rep_b")], names=["a", "b", "rep_a", "rep_b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            columns = (batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "n_a", "n_b"))
+            keep = pa.array([_may_link(a, b, n + m, rule) for a, b, n, m in zip(*columns, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "rep_a", "rep_b")], names=["a", "b", "rep_a", "rep_b"])
+
+    return run
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _verify(rule: Rule):
     """Rows by (a, salt), the set a itself first (b null): (a, b) of the pairs that link."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    centre, of = np.empty(0, np.uint64), None
-    for batch in batches:
-        u, v = [], []
-        for a, b, members in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "members")), strict=True):
-            s = np.frombuffer(members, dtype=np.uint64)
-            if b is None:
-                centre, of = s, a
-            elif a == of and len(s) and len(centre):
-                at = np.minimum(np.searchsorted(centre, s), len(centre) - 1)
-                if 19 * int((centre[at] == s).sum()) >= 9 * (len(s) + len(centre)):
-                    u.append(a)
-                    v.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
-
-
-def _linked(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(u, v) of the pairs (a, b) of class keys whose sets are 0.9 similar. Sketches first, then whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, of = np.empty(0, np.uint64), None
+        for batch in _slices(batches):
+            u, v = [], []
+            for a, b, members in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "members")), strict=True):
+                s = np.frombuffer(members, dtype=np.uint64)
+                if b is None:
+                    centre, of = s, a
+                elif a == of and len(s) and len(centre):
+                    at = np.minimum(np.searchsorted(centre, s), len(centre) - 1)
+                    if (rule.p + rule.q) * int((centre[at] == s).sum()) >= rule.p * (len(s) + len(centre)):
+                        u.append(a)
+                        v.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
+
+    return run
+
+
+def _linked(rows: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """(u, v) of the pairs (a, b) of class keys whose sets are similar enough. Sketches first, then whole sets."""
     spark = rows.sparkSession
     a, b = (classes.select(F.col("key").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    near = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_sketch_filter, "a long, b long, rep_a long, rep_b long"), "pairs")
+    near = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_sketch_filter(rule), "a long, b long, rep_a long, rep_b long"), "pairs")
     marks = near.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).select(F.pmod("rep", F.lit(BIT_PRIME)).alias("h")).distinct()
     words = marks.groupBy(F.shiftright("h", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).collect()
     bits = np.zeros((BIT_PRIME >> 6) + 1, dtype=np.uint64)
     for w, x in words:
         bits[w] = np.uint64(x & 0xFFFFFFFFFFFFFFFF)
-    sets = rows.mapInArrow(_members_of(spark.sparkContext.broadcast(bits)), "key long, members binary")
+    sets = rows.mapInArrow(_members_of(spark.sparkContext.broadcast(bits), rule.words), "key long, members binary")
     dealt = near.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
     centres = dealt.select("a", "salt").distinct().withColumn("b", F.lit(None).cast("long"))
     both = dealt.select("a", "b", "salt", F.col("b").alias("key")).unionByName(centres.select("a", "b", "salt", F.col("a").alias("key")))
     shipped = both.join(sets, "key").select("a", "salt", "b", "members").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return shipped.select("a", "b", "members").mapInArrow(_verify, "u long, v long")
+    return shipped.select("a", "b", "members").mapInArrow(_verify(rule), "u long, v long")
 
 
-def _boundary(sizes: dict[int, int]) -> int:
+def _boundary(sizes: dict[int, int], rule: Rule) -> int:
     """The largest light size, by cost: n + 1 subset rows against list entries that may need verifying."""
-    cost = lambda x: sum(c * (n + 1 if n <= x else LIST_WEIGHT * (n - required(n) + 1)) for n, c in sizes.items())
-    return min(range(9, SUBSET_LIMIT + 1), key=lambda x: (cost(x), x))
+    cost = lambda x: sum(c * (n + 1 if n <= x else LIST_WEIGHT * (n - rule.required(n) + 1)) for n, c in sizes.items())
+    return min(range(rule.least, rule.subset_limit + 1), key=lambda x: (cost(x), x))
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class_key, component_id: one row per row of docs.
-
-    Sets of 3-word shingles (fewer words: the sequence as one); links at a Jaccard similarity of 0.9; component_id is
-    the least id reachable. Null, empty and blank texts have empty sets, link with nothing and are components of their
-    own. Equal sets link, whatever their texts; repeated ids stay as they are; a null id gets the least id of its
-    component, null if there is none. Whole texts count; other columns are not read; an empty table gives an empty one.
-    """
+def _placed(docs: DataFrame, rule: Rule, id_col: str, text_col: str, row: Column) -> DataFrame:
+    """doc_id (LOWEST for null), row, n, key, component (the least key of the linked sets) of every row of docs."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc_id"), F.col(text_col).alias("text"))
-    told = stored(rows.mapInArrow(_describe, _ONE_SQL), "sets")
-    described = told.where("n is not null").select("doc_id", "n", "key", "check")
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc_id"), F.col(text_col).alias("text"), row.cast("long").alias("row"))
+    rows = keyed.select("doc_id", "text")
+    told = stored(keyed.mapInArrow(_describe(rule.words), _ONE_SQL), "sets")
+    described = told.where("n is not null").select("doc_id", "row", "n", "key")
     classes = stored(
-        told.where(f"n >= {LEAST}").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.max("n").alias("n2"), F.min("check").alias("c"), F.max("check").alias("c2"), F.min("sketch").alias("sketch")), "classes"
+        told.where(f"n >= {rule.least}").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.max("n").alias("n2"), F.min("check").alias("c"), F.max("check").alias("c2"), F.min("sketch").alias("sketch")), "classes"
     )
     if not classes.where("n <> n2 or c <> c2").isEmpty():
         raise RuntimeError("two different sets share a 64-bit key; choose other hash constants")
-    sizes = {r["n"]: r["count"] for r in classes.where(f"n <= {2 * SUBSET_LIMIT}").groupBy("n").count().collect()}
-    light = _boundary(sizes)
-    entries = rows.mapInArrow(_lists(spark.sparkContext.broadcast(_rareness(told)), light), "member long, key long, size_pos long, parity long")
+    sizes = {r["n"]: r["count"] for r in classes.where(f"n <= {2 * rule.subset_limit}").groupBy("n").count().collect()}
+    light = _boundary(sizes, rule)
+    entries = rows.mapInArrow(_lists(spark.sparkContext.broadcast(_rareness(told)), light, rule), "member long, key long, size_pos long, parity long")
     n, pos = F.shiftright("size_pos", 32), F.expr("cast(cast(size_pos & 4294967295 as bigint) - if((size_pos & 2147483648) <> 0, 4294967296, 0) as int)")
     # subset rows have negative positions: size_pos is (n << 32) + pos, so undo the borrow
     entries = entries.select("member", "key", "parity", F.when(pos < 0, n + 1).otherwise(n).cast("int").alias("n"), pos.alias("pos"))
     by_list = Window.partitionBy("member")
     ordered = by_list.orderBy("pos", "n", "key")
-    may = "10 * least({n}, {m}) >= 9 * greatest({n}, {m}) and 19 * least({n} - {i}, {m} - {j}) >= 9 * ({n} + {m}) and 19 * bit_count({p} ^ {q}) <= {n} + {m}"
+    p, q = rule.p, rule.q
+    may = f"{q} * least({{n}}, {{m}}) >= {p} * greatest({{n}}, {{m}}) and {p + q} * least({{n}} - {{i}}, {{m}} - {{j}}) >= {p} * ({{n}} + {{m}}) and {p + q} * bit_count({{p}} ^ {{q}}) <= {q - p} * ({{n}} + {{m}})"
     tested = F.expr("pos >= 0 and centre.pos >= 0 and key <> centre.key and " + may.format(n="n", m="centre.n", i="pos", j="centre.pos", p="parity", q="centre.parity"))
     proven = F.expr(f"pos = {LESS_ONE} and centre.pos = {FULL}")
     listed = entries.withColumns({"least": F.min("key").over(by_list), "most": F.max("key").over(by_list), "centre": F.first(F.struct("key", "n", "pos", "parity")).over(ordered)}).where("least <> most")
@@ -327,7 +375,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     subset_links = live.where(f"pos = {LESS_ONE} and c_key is not null").select(F.col("c_key").alias("u"), F.col("key").alias("v"))
     lists = live.where("pos >= 0")
     first = lists.where("c_key is not null").select(F.col("c_key").alias("a"), F.col("key").alias("b")).distinct()
-    links = stored(subset_links.unionAll(_linked(rows, classes, first)), "links")
+    links = stored(subset_links.unionAll(_linked(rows, classes, first, rule)), "links")
     part = stored(components(links), "components")
     # lists that still hold several components: every pair across them, but for pairs within the list's largest component
     placed = lists.select("member", "key", "parity", "n", "pos").join(part.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -338,11 +386,43 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     across = left.join(placed, "member").where("component <> l_component and (component = main or l_key < key)")
     across = across.where(may.format(n="n", m="l_n", i="pos", j="l_pos", p="parity", q="l_parity"))
     second = across.select(F.col("l_key").alias("a"), F.col("key").alias("b")).distinct()
-    more = _linked(rows, classes, second)
+    more = _linked(rows, classes, second, rule)
     ends = part.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more)
     final = components(ends).withColumnRenamed("node", "key")
-    joined = described.join(final, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    return described.join(final, "key", "left").withColumn("component", F.coalesce("component", "key"))
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, similarity: float = 0.9) -> DataFrame:
+    """doc_id, n_shingles, class_key, component_id: one row per row of docs.
+
+    Sets of shingles of so many words (fewer words: the sequence as one); links at that Jaccard similarity; component_id
+    is the least id reachable. Null, empty and blank texts have empty sets, link with nothing and are components of their
+    own. Equal sets link, whatever their texts; repeated ids stay as they are; a null id gets the least id of its
+    component, null if there is none. Whole texts count; other columns are not read; an empty table gives an empty one.
+    """
+    joined = _placed(docs, rule_of(words, similarity), id_col, text_col, F.lit(None))
     own = F.nullif(F.col("doc_id"), F.lit(LOWEST))
     least = joined.where("n > 0").groupBy("component").agg(F.min(own).alias("least"))
     out = joined.join(least, "component", "left")
     return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), F.when(F.col("n") > 0, F.col("least")).otherwise(own).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ngram_components, and all rows without words.
+
+    Kept is the row with the least id, null ids last; among rows of one id the one with the least hash of all columns, so
+    that neither null nor repeated ids keep copies or lose texts. Of rows that are equal in all columns one stays.
+    """
+    row = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+    found = stored(_placed(docs, rule_of(words, similarity), id_col, text_col, row).select("doc_id", "row", "n", "component"), "placed")
+    equal = found.where("n > 0").groupBy("component", "doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
+    order = F.struct((F.col("doc_id") == LOWEST).alias("none"), "doc_id", "row", "copies")
+    kept = equal.groupBy("component").agg(F.min(order).alias("k")).select("k.doc_id", "k.row", "k.copies")
+    kept = stored(kept.unionAll(found.where("n = 0").select("doc_id", "row", F.lit(1).cast("long").alias("copies")).distinct()), "kept")
+    marked = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)), "__row": row})
+    keys = kept.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("copies").alias("__copies"))
+    if kept.where("copies > 1").isEmpty():
+        return marked.join(keys, ["__id", "__row"], "left_semi").select(*docs.columns)
+    out = marked.join(keys, ["__id", "__row"])
+    once = out.where("__copies > 1").dropDuplicates(["__id", "__row"])
+    return out.where("__copies = 1").unionAll(once).select(*docs.columns)

@@ -266,6 +266,49 @@ def test_ngram_join_links_sets_of_nine_with_sets_of_ten(spark):
     assert sum(n == 9 and c != d for d, (n, c) in got.items()) > 0
 
 
+def test_near_duplicate_stage_at_five_words_and_four_fifths(spark, tmp_path):
+    import corpus_pipeline
+    from roadspark.llm.ngram_join import ngram_components
+
+    rng = random.Random(13)
+    texts = ["", " ", None, "one two", "One  two", "three words here now"]
+    for size in (8, 9, 10, 11, 12, 13, 14, 16, 20, 30, 60, 150):
+        for _ in range(2):
+            base = [f"u{rng.randrange(500)}" for _ in range(size)]
+            texts.append(" ".join(base))
+            for edits in (0, 1, 1, 2, 4):
+                copy = base[:]
+                for _ in range(edits * max(1, size // 60)):
+                    copy[rng.choice([0, 1, size - 1, rng.randrange(size)])] = f"u{rng.randrange(500)}"
+                texts.append(" ".join(copy + [f"x{rng.randrange(9)}"] * rng.randrange(2)))
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set())
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and sets[b] and label[a] != label[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(docs, words=5, similarity=0.8).collect()}
+    assert got == {k: (len(sets[k]), label[k]) for k in got} and len(got) == len(texts)
+    kept = corpus_pipeline.ngram_jaccard(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [k for k, x in enumerate(label) if x == k]
+
+
+def test_near_duplicate_stage_keeps_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(None, a), (None, a + " more"), (None, b), (7, c), (7, d), (7, d), (9, d), (None, d), (None, None), (None, None), (3, ""), (3, "")]
+    kept = corpus_pipeline.ngram_jaccard(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    left = sorted(((r.doc_id, r.text) for r in kept if r.text != a + " more" and r.text != a), key=str)
+    assert left == sorted([(None, b), (7, c), (7, d), (None, None), (None, None), (3, ""), (3, "")], key=str)
+    assert sum(r.text in (a, a + " more") for r in kept) == 1
+
+
 def test_components(spark):
     from roadspark.llm.components import components
 
