@@ -5,14 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (local mode)."""
+    """spark.checkpoint.dir; where it is unset, a folder of our own in local mode and an error on a cluster."""
     sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -22,7 +25,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that stored() returned, once nothing that is still to run reads them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
@@ -30,9 +42,6 @@ def numbered(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
 
     Rows are dealt into ranges of the key and stored; the driver sees one count per range.
     """
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     dealt = stored(df.repartitionByRange(key).withColumn("__part", F.spark_partition_id()), "ranges")
     offsets, at = [(-1, 0)], 0
     for part, n in sorted(tuple(r) for r in dealt.groupBy("__part").count().collect()):
