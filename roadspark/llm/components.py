@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadspark.llm.common import stored
+from roadspark.plans.store import discard, stored
 
 MOST_ROUNDS = 60
 
@@ -35,6 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now[0] == 0 or tuple(now) == before:
             return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = tuple(now)
+        before, last = tuple(now), state
         state = stored(_small_star(_large_star(state).distinct()).distinct(), "edges")
+        discard(last)
     raise RuntimeError("components did not settle")

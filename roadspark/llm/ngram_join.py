@@ -22,19 +22,21 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadspark.llm.common import stored
+from roadspark.llm.common import bitmap, discard, marked, stored
 from roadspark.llm.components import components
 from roadspark.llm.lz_fingerprint import _powers, mix
 
 CHUNK_BYTES = 1 << 20
 SLICE = 1000  # rows worked on together
 BLOCK = 8_000_000  # members counted together
+ENTRIES = 2_000_000  # list entries packed together
+PART_ENTRIES = 500_000  # list entries that are looked through together, about
 CELL_BITS, CHUNK_BITS = 24, 12  # members are counted in 2^24 cells by the first bits of their hash, 2^12 cells to a row
-SATURATED = 255
-BIT_PRIME = 67_108_859
+LIST_BITS = 48  # bits of a member's hash that name its list; lists that share a name only bring in pairs that then fail
 SALTS = 32
+SHORT = 8  # lists of up to so many entries are paired off where they are gathered
+FEW = 1_000_000  # up to so many rows of keys are broadcast, some 60 MB
 LIST_WEIGHT = 9  # a list entry's cost against a subset's: it may have to be verified
-FULL, LESS_ONE = -2, -1  # "positions" of subset rows
 LOWEST = -(1 << 63)
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -133,27 +135,32 @@ def _key(members: np.ndarray) -> tuple[int, int]:
     a, b = mix(members ^ _A), mix(members ^ _B)
     return int(np.add.reduce(a, dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(b).view(np.int64)) if len(b) else 0
 
+def _parity(members: np.ndarray) -> int:
+    """Which of 64 classes of hashes hold an odd number of members."""
+    return int(np.bitwise_xor.reduce(np.uint64(1) << (members & np.uint64(63))).view(np.int64)) if len(members) else 0
 
-_ONE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary()), ("chunk", pa.int64()), ("cells", pa.binary())])
-_ONE_SQL = "doc_id long, row long, n long, key long, check long, sketch binary, chunk long, cells binary"
+
+_ONE_SQL = "doc_id long, row long, n long, key long, check long, parity long, sketch binary, chunk long, cells binary"
+_ONE = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in _ONE_SQL.split(", ")])
 
 
 def _sketch(members: np.ndarray) -> bytes:
-    """Counts of members in cells by the first bits of their hash, about a cell for every two members."""
-    bits = min(13, max(6, (len(members) // 2).bit_length()))
-    cells = np.bincount((members >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return np.minimum(cells, SATURATED).astype(np.uint8).tobytes()
+    """Counts of members, modulo 16 and two to a byte, in cells by the first bits of their hash: a cell for about four."""
+    bits = min(13, max(6, (len(members) // 4).bit_length()))
+    cells = np.bincount((members >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 15
+    return (cells[::2] | cells[1::2] << 4).astype(np.uint8).tobytes()
+
+
+def _cells(sketch: bytes) -> np.ndarray:
+    packed = np.frombuffer(sketch, dtype=np.uint8).astype(np.int32)
+    return np.stack([packed & 15, packed >> 4], axis=1).reshape(-1)
 
 
 def _may_link(sketch_a: bytes, sketch_b: bytes, n: int, rule: Rule) -> bool:
     """False only if the cells' differences, at most the symmetric difference, rule a link out. n: both sizes together."""
-    a, b = (np.frombuffer(s, dtype=np.uint8).astype(np.int32) for s in (sketch_a, sketch_b))
-    if a.max() == SATURATED or b.max() == SATURATED:
-        return True
-    if len(a) != len(b):
-        a, b = sorted((a, b), key=len)
-        b = b.reshape(len(a), -1).sum(axis=1)
-    return (rule.p + rule.q) * int(np.abs(a - b).sum()) <= (rule.q - rule.p) * n
+    a, b = sorted((_cells(sketch_a), _cells(sketch_b)), key=len)
+    differ = (a - b.reshape(len(a), -1).sum(axis=1)) & 15
+    return (rule.p + rule.q) * int(np.minimum(differ, 16 - differ).sum()) <= (rule.q - rule.p) * n
 
 
 def _describe(words: int):
@@ -173,13 +180,13 @@ def _describe(words: int):
                 counts[(cell[a:b] & np.uint64((1 << CHUNK_BITS) - 1)).astype(np.int64)] = np.minimum(n[a:b], 65_535)
                 rows.append(pack((counts & 255).astype(np.uint8).tobytes() + (counts >> 8).astype(np.uint8).tobytes()))
             none = pa.nulls(len(rows))
-            return pa.RecordBatch.from_arrays([none.cast(f.type) for f in list(_ONE)[:6]] + [pa.array(np.arange(len(rows))), pa.array(rows, pa.binary())], schema=_ONE)
+            return pa.RecordBatch.from_arrays([none.cast(f.type) for f in list(_ONE)[:7]] + [pa.array(np.arange(len(rows))), pa.array(rows, pa.binary())], schema=_ONE)
 
         for batch in _slices(batches):
             rows = []
             for members in shingle_sets(batch.column(1), words):
-                key, check = _key(members)
-                rows.append((len(members), key, check, _sketch(members)))
+                key = _key(members)
+                rows.append((len(members), *key, _parity(members), _sketch(members)))
                 if key not in seen and len(members):
                     seen.add(key)
                     block.append(members)
@@ -189,9 +196,9 @@ def _describe(words: int):
                     block.clear()
                     held = 0
                     seen.clear()
-            n, key, check, sketch = ([r[k] for r in rows] for k in range(4))
+            own = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(_ONE)[2:7])]
             none = pa.nulls(len(rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(sketch, pa.binary()), none.cast(pa.int64()), none.cast(pa.binary())], schema=_ONE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *own, none.cast(pa.int64()), none.cast(pa.binary())], schema=_ONE)
         if block:
             yield counted()
 
@@ -228,62 +235,205 @@ def _rareness(told: DataFrame) -> np.ndarray:
     return scale.reshape(-1)
 
 
-_LIST = pa.schema([("member", pa.int64()), ("key", pa.int64()), ("size_pos", pa.int64()), ("parity", pa.int64())])
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length, the first ascending and kept as differences; byte plane by byte plane, compressed."""
+    steps = np.diff(columns[0], prepend=np.uint64(0))
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in (steps, *columns[1:])]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def _lists(cells, light: int, rule: Rule):
-    """Inverted-list entries of heavy sets (and of light ones that a heavy one may link to), and subset rows of light sets."""
+def _unpack(blob: bytes, types: tuple[str, ...]) -> list[np.ndarray]:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
+    sizes = [np.dtype(t).itemsize for t in types]
+    n, out, at = len(data) // sum(sizes), [], 0
+    for t, size in zip(types, sizes, strict=True):
+        out.append(np.ascontiguousarray(data[at : at + n * size].reshape(size, n).T).view(t).reshape(-1))
+        at += n * size
+    out[0] = np.cumsum(out[0], dtype=np.uint64)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scale = cells.value
-        seen: set[int] = set()
-        for batch in _slices(batches):
-            out: list[list[np.ndarray]] = [[], [], [], []]
 
-            def put(member: np.ndarray, key: int, n: int, pos: np.ndarray, parity: int) -> None:
-                out[0].append(member)  # noqa: B023
-                out[1].append(np.full(len(member), key))  # noqa: B023
-                out[2].append((n << 32) + pos)  # noqa: B023
-                out[3].append(np.full(len(member), parity))  # noqa: B023
+ASKED, LONG, SUBSETS = 0, 1, 2  # kinds of blobs
+_ENTRY, _SUBSET = ("<u8", "<u8", "<u4", "<u4"), ("<u8", "<i8", "<u4")
+_PART = pa.schema([("part", pa.int64()), ("kind", pa.int64()), ("blob", pa.binary())])
+
+
+def _runs(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start, and their lengths."""
+    first = np.flatnonzero(np.append(True, ascending[1:] != ascending[:-1]))
+    return first, np.diff(np.append(first, len(ascending)))
+
 
+class _Block:
+    """List entries (list, short set name, position, size) and subset rows of many sets, packed for the parts of the lists' range.
+
+    Entries of lists that more than SHORT sets of the block share go on as they are, dealt evenly, and of such a list only
+    its name goes to its part. So a list of very many sets meets no task as a whole here.
+    """
+
+    def __init__(self, parts: int, short_bits: int):
+        self.parts, self.short_bits, self.size = parts, short_bits, 0
+        self.entries: list[tuple[np.ndarray, int, int]] = []
+        self.subsets: list[tuple[np.ndarray, int, int]] = []
+
+    def prefix(self, members: np.ndarray, node: int, n: int) -> None:
+        self.entries.append((members >> np.uint64(64 - LIST_BITS), (node & 0xFFFFFFFFFFFFFFFF) >> (64 - self.short_bits), n))
+        self.size += len(members)
+
+    def subset(self, hashes: np.ndarray, node: int, n: int) -> None:
+        """hashes: of the set itself, then of its subsets."""
+        self.subsets.append((hashes, node, n))
+        self.size += len(hashes)
+
+    def _part(self, lists: np.ndarray) -> np.ndarray:
+        return (lists * np.uint64(self.parts)) >> np.uint64(LIST_BITS)
+
+    def flush(self) -> pa.RecordBatch:
+        rows: list[tuple[int, int, bytes]] = []
+
+        def by_part(kind: int, lists: np.ndarray, *columns: np.ndarray) -> None:
+            part = self._part(lists)
+            cuts = np.append(np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1))), len(part)) if len(part) else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                rows.append((int(part[a]), kind, _pack(*(c[a:b] for c in columns))))
+
+        if self.entries:
+            lists = np.concatenate([m for m, _, _ in self.entries])
+            held = [len(m) for m, _, _ in self.entries]
+            short = np.repeat(np.array([s for _, s, _ in self.entries], dtype=np.uint64), held)
+            size = np.repeat(np.array([n for _, _, n in self.entries], dtype=np.uint32), held)
+            pos = np.concatenate([np.arange(n, dtype=np.uint32) for n in held])
+            order = np.argsort(lists, kind="stable")
+            lists, short, pos, size = lists[order], short[order], pos[order], size[order]
+            first, length = _runs(lists)
+            long = np.repeat(length > SHORT, length)
+            asked = ~long
+            asked[first] = True  # every long list once, with size 0
+            by_part(ASKED, lists[asked], lists[asked], short[asked], pos[asked], np.where(long, np.uint32(0), size)[asked])
+            own = lists[long], short[long], pos[long], size[long]
+            for a in range(0, len(own[0]), 1 << 14):
+                piece = [c[a : a + (1 << 14)] for c in own]
+                rows.append((self.parts + int(piece[0][0] ^ piece[1][0]) % self.parts, LONG, _pack(*piece)))
+        if self.subsets:
+            hashes = np.concatenate([h for h, _, _ in self.subsets])
+            node = np.concatenate([np.full(len(h), k, dtype=np.int64) for h, k, _ in self.subsets])
+            full = np.concatenate([np.append(np.uint32(1), np.zeros(len(h) - 1, np.uint32)) for h, _, _ in self.subsets])
+            order = np.argsort(hashes, kind="stable")
+            by_part(SUBSETS, hashes[order] >> np.uint64(64 - LIST_BITS), hashes[order], node[order], full[order])
+        self.entries, self.subsets, self.size = [], [], 0
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_PART)], schema=_PART)
+
+
+def _lists(shared, light: int, rule: Rule, parts: int, short_bits: int):
+    """Packed list entries of heavy sets (and of light ones that a heavy one may link to), and subset rows of light sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scale, clashes = shared.value
+        block = _Block(parts, short_bits)
+        seen: set[tuple[int, int]] = set()
+        for batch in _slices(batches):
             for s in shingle_sets(batch.column(1), rule.words):
                 n = len(s)
                 if n < rule.least:
                     continue
-                key = _key(s)[0]
+                key = _key(s)
                 if key in seen:
                     continue
                 seen.add(key)
                 if len(seen) > 1_000_000:
                     seen.clear()
+                node = clashes.get(key, key[0])
                 if n <= light:
-                    less = np.uint64(key & 0xFFFFFFFFFFFFFFFF) - mix(s ^ _A)
-                    hashes = mix(np.append(np.array([key], dtype=np.int64).view(np.uint64), less) + _C * np.append(n, np.full(n, n - 1)).astype(np.uint64))
-                    put(hashes.view(np.int64), key, n, np.append(FULL, np.full(n, LESS_ONE)), 0)
+                    less = np.uint64(key[0] & 0xFFFFFFFFFFFFFFFF) - mix(s ^ _A)
+                    block.subset(mix(np.append(np.array(key[:1], dtype=np.int64).view(np.uint64), less) + _C * np.append(n, np.full(n, n - 1)).astype(np.uint64)), node, n)
                 if n > light or rule.q * n >= rule.p * (light + 1):
-                    k = n - rule.required(n) + 1
-                    parity = int(np.bitwise_xor.reduce(np.uint64(1) << (s & np.uint64(63))).view(np.int64))
                     # s is in order of hashes, so a stable sort orders by rareness, then hash
-                    rare = s[np.argsort(scale[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")[:k]]
-                    put(rare.view(np.int64), key, n, np.arange(len(rare)), parity)
-            arrays = [pa.array(np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64)) for x in out]
-            yield pa.RecordBatch.from_arrays(arrays, schema=_LIST)
+                    k = n - rule.required(n) + 1
+                    block.prefix(s[np.argsort(scale[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")[:k]], node, n)
+                if block.size >= ENTRIES:
+                    yield block.flush()
+        if block.size:
+            yield block.flush()
+
+    return run
+
+
+_FOUND_SQL = "list long, short long, pos long, other long, key long, full long"
+_FOUND = pa.schema([(x.split()[0], pa.int64()) for x in _FOUND_SQL.split(", ")])
+
+
+def _found(n: int, **columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name].astype(np.int64)) if f.name in columns else pa.nulls(n, pa.int64()) for f in _FOUND], schema=_FOUND)
+
+
+def _shared(rule: Rule):
+    """Blobs by part and kind -> candidate pairs of short lists, entries of long ones, and subset rows that several sets have."""
+
+    def asked(lists: np.ndarray, short: np.ndarray, pos: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first, length = _runs(lists)
+        is_long = (length > SHORT) | (np.minimum.reduceat(size, first) == 0)
+        entry = np.repeat(is_long & (length > 1), length) & (size > 0)
+        for at in range(0, len(lists), 100_000):
+            keep = entry[at : at + 100_000]
+            if keep.any():
+                yield _found(int(keep.sum()), **{k: c[at : at + 100_000][keep] for k, c in (("list", lists), ("short", short), ("pos", pos))})
+        keep = np.repeat(~is_long & (length > 1), length)
+        lists, short, pos, size = lists[keep], short[keep], pos[keep].astype(np.int64), size[keep].astype(np.int64)
+        pairs = [np.empty((0, 2), np.uint64)]
+        for d in range(1, SHORT):
+            a, b = slice(None, -d), slice(d, None)
+            n, m = size[a], size[b]
+            near = (lists[a] == lists[b]) & (short[a] != short[b]) & (rule.q * np.minimum(n, m) >= rule.p * np.maximum(n, m))
+            near &= (rule.p + rule.q) * np.minimum(n - pos[a], m - pos[b]) >= rule.p * (n + m)
+            pairs.append(np.sort(np.stack([short[a][near], short[b][near]], axis=1), axis=1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        if len(pairs):
+            yield _found(len(pairs), short=pairs[:, 0], other=pairs[:, 1])
+
+    def subsets(hashes: np.ndarray, node: np.ndarray, full: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first, length = _runs(hashes)
+        keep = np.repeat(length > 1, length)
+        yield _found(int(keep.sum()), list=hashes[keep].view(np.int64), key=node[keep], full=full[keep])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple[int, int] | None = None
+        held: list[bytes] = []
+
+        def gathered() -> Iterator[pa.RecordBatch]:
+            types, done = (_SUBSET, subsets) if at[1] == SUBSETS else (_ENTRY, asked)
+            columns = [np.concatenate(c) for c in zip(*(_unpack(b, types) for b in held), strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            yield from done(*(c[order] for c in columns))
+
+        for batch in batches:
+            for part, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "blob")), strict=True):
+                if kind == LONG:
+                    lists, short, pos, _ = _unpack(blob, _ENTRY)
+                    yield _found(len(lists), list=lists, short=short, pos=pos)
+                    continue
+                if (part, kind) != at:
+                    if held:
+                        yield from gathered()
+                    at, held = (part, kind), []
+                held.append(blob)
+        if held:
+            yield from gathered()
 
     return run
 
 
-def _members_of(bits, words: int):
-    """(key, members) of the documents whose id is marked in bits, a bitmap of fixed size."""
-    schema = pa.schema([("key", pa.int64()), ("members", pa.binary())])
+def _members_of(words: int):
+    """(key, check, members) of the rows' sets."""
+    schema = pa.schema([("key", pa.int64()), ("check", pa.int64()), ("members", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = bits.value
+        seen: set[tuple[int, int]] = set()
         for batch in _slices(batches):
-            h = np.mod(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), BIT_PRIME)
-            wanted = np.flatnonzero(marks[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1))
-            if len(wanted):
-                sets = list(shingle_sets(batch.column(1).take(pa.array(wanted)), words))
-                yield pa.RecordBatch.from_arrays([pa.array([_key(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+            sets = [(*_key(s), s.tobytes()) for s in shingle_sets(batch.column(1), words)]
+            sets = [x for x in sets if x[:2] not in seen and not seen.add(x[:2])]
+            if len(seen) > 1_000_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in sets], f.type) for k, f in enumerate(schema)], schema=schema)
 
     return run
 
@@ -322,21 +472,35 @@ def _verify(rule: Rule):
     return run
 
 
-def _linked(rows: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+def _renamed(df: DataFrame, clashes: dict[tuple[int, int], int]) -> DataFrame:
+    """df (key, check, ...) with the key replaced where two different sets share it: one row for 2^64 pairs of sets, about."""
+    if not clashes:
+        return df
+    table = F.create_map(*(x for (k, c), node in clashes.items() for x in (F.lit(f"{k}/{c}"), F.lit(node))))
+    return df.withColumn("key", F.coalesce(F.try_element_at(table, F.concat_ws("/", "key", "check")), F.col("key")))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A stored or small table of keys, marked for broadcast if its size allows it; joined by a shuffle beyond that."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def _linked(rows: DataFrame, told: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule, clashes: dict) -> DataFrame:
     """(u, v) of the pairs (a, b) of class keys whose sets are similar enough. Sketches first, then whole sets."""
-    spark = rows.sparkSession
-    a, b = (classes.select(F.col("key").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    near = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_sketch_filter(rule), "a long, b long, rep_a long, rep_b long"), "pairs")
-    marks = near.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).select(F.pmod("rep", F.lit(BIT_PRIME)).alias("h")).distinct()
-    words = marks.groupBy(F.shiftright("h", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).collect()
-    bits = np.zeros((BIT_PRIME >> 6) + 1, dtype=np.uint64)
-    for w, x in words:
-        bits[w] = np.uint64(x & 0xFFFFFFFFFFFFFFFF)
-    sets = rows.mapInArrow(_members_of(spark.sparkContext.broadcast(bits), rule.words), "key long, members binary")
+    a, b = (classes.select(F.col("key").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab")
+    near = f"{rule.p + rule.q} * bit_count(parity_a ^ parity_b) <= {rule.q - rule.p} * (n_a + n_b)"
+    sized = stored(pairs.join(a, "a").join(b, "b").where(near).drop("parity_a", "parity_b"), "sized")
+    ends = sized.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("rep_a").alias("doc_id")), F.struct(F.col("b").alias("key"), F.col("rep_b").alias("doc_id")))).alias("e")).select("e.*").distinct()
+    sketches = stored(told.select("key", "doc_id", "sketch").join(ends, ["key", "doc_id"]).select("key", "sketch").dropDuplicates(["key"]), "sketches")
+    for x in "ab":
+        sized = sized.join(sketches.select(F.col("key").alias(x), F.col("sketch").alias(f"sketch_{x}")), x)
+    near = stored(sized.mapInArrow(_sketch_filter(rule), "a long, b long, rep_a long, rep_b long"), "pairs")
+    bits = bitmap(near.select(F.explode(F.array("rep_a", "rep_b")).alias("key")))
+    sets = _renamed(marked(rows, F.col("doc_id"), bits).mapInArrow(_members_of(rule.words), "key long, check long, members binary"), clashes).select("key", "members")
     dealt = near.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
     centres = dealt.select("a", "salt").distinct().withColumn("b", F.lit(None).cast("long"))
     both = dealt.select("a", "b", "salt", F.col("b").alias("key")).unionByName(centres.select("a", "b", "salt", F.col("a").alias("key")))
-    shipped = both.join(sets, "key").select("a", "salt", "b", "members").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    shipped = sets.join(_few(both), "key").select("a", "salt", "b", "members").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return shipped.select("a", "b", "members").mapInArrow(_verify(rule), "u long, v long")
 
 
@@ -346,50 +510,64 @@ def _boundary(sizes: dict[int, int], rule: Rule) -> int:
     return min(range(rule.least, rule.subset_limit + 1), key=lambda x: (cost(x), x))
 
 
+def _clashes(classes: DataFrame) -> dict[tuple[int, int], int]:
+    """(key, check) -> another key, for all but the first of different sets that share a key. With n sets about n^2 / 2^65 rows."""
+    keys = [r["key"] for r in classes.groupBy("key").count().where("count > 1").collect()]
+    first: set[int] = set()
+    again = [tuple(r) for r in classes.where(F.col("key").isin(keys)).select("key", "check").orderBy("key", "check").collect()] if keys else []
+    again = [x for x in again if x[0] in first or first.add(x[0])]
+    return {(k, c): int(mix(np.array([k ^ c], dtype=np.int64).view(np.uint64)).view(np.int64)[0]) for k, c in again}
+
+
 def _placed(docs: DataFrame, rule: Rule, id_col: str, text_col: str, row: Column) -> DataFrame:
     """doc_id (LOWEST for null), row, n, key, component (the least key of the linked sets) of every row of docs."""
     spark = docs.sparkSession
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc_id"), F.col(text_col).alias("text"), row.cast("long").alias("row"))
     rows = keyed.select("doc_id", "text")
     told = stored(keyed.mapInArrow(_describe(rule.words), _ONE_SQL), "sets")
-    described = told.where("n is not null").select("doc_id", "row", "n", "key")
-    classes = stored(
-        told.where(f"n >= {rule.least}").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.max("n").alias("n2"), F.min("check").alias("c"), F.max("check").alias("c2"), F.min("sketch").alias("sketch")), "classes"
-    )
-    if not classes.where("n <> n2 or c <> c2").isEmpty():
-        raise RuntimeError("two different sets share a 64-bit key; choose other hash constants")
+    by_set = told.where(f"n >= {rule.least}").groupBy("key", "check").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("parity").alias("parity"))
+    classes = stored(by_set, "classes")
+    clashes = _clashes(classes)
+    scale = _rareness(told)
+    told, classes = _renamed(told.where("n is not null"), clashes), _renamed(classes, clashes)
     sizes = {r["n"]: r["count"] for r in classes.where(f"n <= {2 * rule.subset_limit}").groupBy("n").count().collect()}
     light = _boundary(sizes, rule)
-    entries = rows.mapInArrow(_lists(spark.sparkContext.broadcast(_rareness(told)), light, rule), "member long, key long, size_pos long, parity long")
-    n, pos = F.shiftright("size_pos", 32), F.expr("cast(cast(size_pos & 4294967295 as bigint) - if((size_pos & 2147483648) <> 0, 4294967296, 0) as int)")
-    # subset rows have negative positions: size_pos is (n << 32) + pos, so undo the borrow
-    entries = entries.select("member", "key", "parity", F.when(pos < 0, n + 1).otherwise(n).cast("int").alias("n"), pos.alias("pos"))
-    by_list = Window.partitionBy("member")
-    ordered = by_list.orderBy("pos", "n", "key")
+    n_classes, n_entries = classes.agg(F.count(F.lit(1)), F.sum(F.expr(f"n - ceil({rule.p} * n / {rule.q}) + 2"))).first()
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_entries or 0) // PART_ENTRIES)
+    parts, short_bits = min(parts, 1 << 15), min(60, n_classes.bit_length() + 8)
+    packed = rows.mapInArrow(_lists(spark.sparkContext.broadcast((scale, clashes)), light, rule, parts, short_bits), "part long, kind long, blob binary")
+    shared = stored(packed.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_shared(rule), _FOUND_SQL), "shared")
+    named = classes.select(F.shiftrightunsigned("key", 64 - short_bits).alias("short"), "key", "n", "parity")
+    lists = stored(shared.where("pos is not null").select("list", "short", "pos").join(named, "short").select("list", "key", "parity", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos")), "lists")
+    pairs = shared.where("other is not null").select("short", "other").distinct().join(named.select("short", F.col("key").alias("a")), "short").join(named.select(F.col("short").alias("other"), F.col("key").alias("b")), "other").select("a", "b")
+    subsets = shared.where("full is not null").select("list", "key", "full")
+    smaller = subsets.where("full = 1").select("list", F.col("key").alias("a")).join(subsets.where("full = 0").select("list", F.col("key").alias("b")), "list").select("a", "b")
     p, q = rule.p, rule.q
     may = f"{q} * least({{n}}, {{m}}) >= {p} * greatest({{n}}, {{m}}) and {p + q} * least({{n}} - {{i}}, {{m}} - {{j}}) >= {p} * ({{n}} + {{m}}) and {p + q} * bit_count({{p}} ^ {{q}}) <= {q - p} * ({{n}} + {{m}})"
-    tested = F.expr("pos >= 0 and centre.pos >= 0 and key <> centre.key and " + may.format(n="n", m="centre.n", i="pos", j="centre.pos", p="parity", q="centre.parity"))
-    proven = F.expr(f"pos = {LESS_ONE} and centre.pos = {FULL}")
-    listed = entries.withColumns({"least": F.min("key").over(by_list), "most": F.max("key").over(by_list), "centre": F.first(F.struct("key", "n", "pos", "parity")).over(ordered)}).where("least <> most")
-    live = stored(listed.select("member", "key", "parity", "n", "pos", F.when(tested | proven, F.col("centre.key")).alias("c_key")), "lists")
-    subset_links = live.where(f"pos = {LESS_ONE} and c_key is not null").select(F.col("c_key").alias("u"), F.col("key").alias("v"))
-    lists = live.where("pos >= 0")
-    first = lists.where("c_key is not null").select(F.col("c_key").alias("a"), F.col("key").alias("b")).distinct()
-    links = stored(subset_links.unionAll(_linked(rows, classes, first, rule)), "links")
+    centres = lists.groupBy("list").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.min(F.struct("pos", "n", "key", "parity")).alias("centre")).where("least <> most")
+    centres = stored(centres.select("list", "centre"), "centres")
+    tested = F.expr("key <> centre.key and " + may.format(n="n", m="centre.n", i="pos", j="centre.pos", p="parity", q="centre.parity"))
+    live = stored(lists.join(centres, "list").select("list", "key", "parity", "n", "pos", F.when(tested, F.col("centre.key")).alias("centre")), "live")
+    discard(lists, centres)
+    first = live.where("centre is not null").select(F.col("centre").alias("a"), F.col("key").alias("b")).unionAll(smaller).unionAll(pairs).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = stored(_linked(rows, told, classes, first, rule, clashes), "links")
+    discard(shared)
     part = stored(components(links), "components")
     # lists that still hold several components: every pair across them, but for pairs within the list's largest component
-    placed = lists.select("member", "key", "parity", "n", "pos").join(part.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = placed.groupBy("member").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("member")
-    placed = stored(placed.join(mixed, "member"), "mixed")
-    main = placed.groupBy("member", "component").count().groupBy("member").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    left = placed.join(main, "member").where("component <> main").select("member", *(F.col(c).alias(f"l_{c}") for c in ("key", "parity", "n", "pos", "component")), "main")
-    across = left.join(placed, "member").where("component <> l_component and (component = main or l_key < key)")
+    placed = live.drop("centre").join(part.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    by_component = stored(placed.groupBy("list", "component").count(), "counts")
+    main = by_component.groupBy("list").agg(F.count(F.lit(1)).alias("several"), F.max_by("component", F.struct("count", "component")).alias("main")).where("several > 1").select("list", "main")
+    placed = stored(placed.join(main, "list"), "mixed")
+    discard(live, by_component)
+    left = placed.where("component <> main").select("list", *(F.col(c).alias(f"l_{c}") for c in ("key", "parity", "n", "pos", "component")))
+    across = left.join(placed, "list").where("component <> l_component and (component = main or l_key < key)")
     across = across.where(may.format(n="n", m="l_n", i="pos", j="l_pos", p="parity", q="l_parity"))
-    second = across.select(F.col("l_key").alias("a"), F.col("key").alias("b")).distinct()
-    more = _linked(rows, classes, second, rule)
+    second = across.select(F.least("l_key", "key").alias("a"), F.greatest("l_key", "key").alias("b")).distinct()
+    more = _linked(rows, told, classes, second, rule, clashes)
     ends = part.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more)
     final = components(ends).withColumnRenamed("node", "key")
-    return described.join(final, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    discard(placed)
+    return told.select("doc_id", "row", "n", "key").join(final, "key", "left").withColumn("component", F.coalesce("component", "key"))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, similarity: float = 0.9) -> DataFrame:
@@ -411,18 +589,19 @@ def drop_near_copies(docs: DataFrame, words: int, similarity: float, id_col: str
     """One row of each component of ngram_components, and all rows without words.
 
     Kept is the row with the least id, null ids last; among rows of one id the one with the least hash of all columns, so
-    that neither null nor repeated ids keep copies or lose texts. Of rows that are equal in all columns one stays.
+    that neither null nor repeated ids keep copies or lose texts. Of rows that are equal in all columns one stays. Rows
+    that a bitmap of the leaving ones doesn't mark pass by; only marked ones are shuffled to be looked up.
     """
     row = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
     found = stored(_placed(docs, rule_of(words, similarity), id_col, text_col, row).select("doc_id", "row", "n", "component"), "placed")
-    equal = found.where("n > 0").groupBy("component", "doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
-    order = F.struct((F.col("doc_id") == LOWEST).alias("none"), "doc_id", "row", "copies")
-    kept = equal.groupBy("component").agg(F.min(order).alias("k")).select("k.doc_id", "k.row", "k.copies")
-    kept = stored(kept.unionAll(found.where("n = 0").select("doc_id", "row", F.lit(1).cast("long").alias("copies")).distinct()), "kept")
-    marked = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)), "__row": row})
-    keys = kept.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("copies").alias("__copies"))
-    if kept.where("copies > 1").isEmpty():
-        return marked.join(keys, ["__id", "__row"], "left_semi").select(*docs.columns)
-    out = marked.join(keys, ["__id", "__row"])
-    once = out.where("__copies > 1").dropDuplicates(["__id", "__row"])
-    return out.where("__copies = 1").unionAll(once).select(*docs.columns)
+    equal = stored(found.where("n > 0").groupBy("component", "doc_id", "row").agg(F.count(F.lit(1)).alias("copies")), "equal")
+    order = F.struct((F.col("doc_id") == LOWEST).alias("none"), "doc_id", "row")
+    kept = stored(equal.groupBy("component").agg(F.min(order).alias("kept")), "kept")
+    stays = F.expr("doc_id = kept.doc_id and row = kept.row")
+    going = stored(equal.join(kept, "component").where(~stays | (F.col("copies") > 1)).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), stays.alias("__kept")), "going")
+    own = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)), "__row": row})
+    at = lambda: F.xxhash64("__id", "__row")
+    bits = bitmap(going.select(at().alias("key")))
+    asked = stored(marked(own, at(), bits).join(_few(going), ["__id", "__row"], "left"), "asked")
+    once = asked.where("__kept").dropDuplicates(["__id", "__row"])
+    return marked(own, at(), bits, False).unionByName(asked.where("__kept is null").unionByName(once).drop("__kept")).select(*docs.columns)
