@@ -1,8 +1,9 @@
 """Secret scans with a blob ledger, in DataFrame functions only.
 
-Every version of a text is addressed by the SHA-256 of its content. A blob is scanned once for each version of each
-rule: the ledger (blob, rule, version, spans) says which pairs were seen, only unseen ones are scanned, and findings
-go back to every path that holds the blob.
+Every version of a text is addressed by the SHA-256 of its content: the history has a row (path, version, blob) for each,
+the ledger a row (blob, rule, version, spans) for each blob and rule version that was scanned. A scan looks at the pairs
+that the ledger lacks, and findings go back to every path that holds the blob. History, ledger and findings are stored
+tables, so a blob that very many paths hold meets them in joins that split.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadspark.llm.common import count_kind, span_text
+from roadspark.llm.common import count_kind, span_text, stored
 
 
 class Rule(NamedTuple):
@@ -35,118 +36,134 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
+PAIR = "struct<rule:string,version:int>"
+LEDGER = f"blob binary, rule string, version int, spans array<{SPAN}>"
+FEW = 200_000  # up to so many blobs with findings are broadcast to the texts that they mask, some 100 MB
 
 
-def _spans(text: Column, rule: Rule, rank: int) -> Column:
-    """Kept matches of one rule. What lies between matches gives their places, so the pattern runs over whole texts."""
-    pattern = F.lit(rule.pattern)
-    value = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"), value.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+def blob_of(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.char_length(part["gap"])
-        end = start + F.coalesce(F.char_length(part["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        kept = F.char_length(part["value"]) >= rule.least
-        return F.struct(end.alias("at"), F.when(kept, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
 
-    found = F.aggregate(parts, empty, step, lambda s: s["found"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+def _pairs(rules: tuple[Rule, ...]) -> Column:
+    return F.array(*(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
 
 
-def blob_of(text: Column) -> Column:
-    return F.unhex(F.sha2(text, 256))
+def history_of(docs: DataFrame, version: Column | int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """path, version, blob: one row per row of docs. Null texts count as empty; null and repeated ids stay as they are."""
+    version = F.lit(version) if isinstance(version, int) else version
+    return docs.select(F.col(id_col).cast("long").alias("path"), version.cast("int").alias("version"), blob_of(F.coalesce(F.col(text_col), F.lit(""))).alias("blob"))
+
+
+def _matches(todo: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """todo (blob, text, seen) -> a row for each unseen pair, with gaps and matches by their lengths alone."""
+    scans = []
+    for k, r in enumerate(rules):
+        pattern = F.lit(r.pattern)
+        text = F.col("text")
+        gaps = F.transform(F.split(text, r.pattern, -1), F.char_length)
+        hits = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.char_length)
+        kept = F.transform(F.regexp_extract_all(text, pattern, F.lit(r.group)), lambda v: F.char_length(v) >= r.least)  # noqa: B023
+        parts = F.when(text.rlike(r.pattern), F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), kept.alias("kept")))
+        scan = F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.lit(k).alias("rank"), parts.alias("parts"))
+        scans.append(F.when(~F.array_contains("seen", F.struct(scan["rule"].alias("rule"), scan["version"].alias("version"))), scan))
+    return todo.select("blob", F.explode(F.filter(F.array(*scans), lambda s: s.isNotNull())).alias("s")).select("blob", "s.*")
 
 
 def scan_blobs(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, text) -> new ledger rows (blob, rule, version, spans) for the pairs that the ledger lacks."""
-    own = F.array(*(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
+    """(blob, text) -> new ledger rows (blob, rule, version, spans) for the pairs that the ledger lacks.
+
+    A match's place is the running sum of what stands before it, taken over rows, so that a text with very many matches
+    costs no more a match than others.
+    """
+    none = F.array().cast(f"array<{PAIR}>")
     if ledger is None:
-        todo = blobs.withColumn("seen", F.array().cast("array<struct<rule:string,version:int>>"))
+        todo = blobs.withColumn("seen", none)
     else:
         seen = ledger.groupBy("blob").agg(F.collect_set(F.struct("rule", F.col("version").cast("int").alias("version"))).alias("seen"))
-        todo = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<struct<rule:string,version:int>>")))
-        todo = todo.where(F.size(F.array_except(own, F.col("seen"))) > 0)
-    text = F.coalesce("text", F.lit(""))
-    scans = []
-    for k, r in enumerate(rules):
-        key = F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"))
-        spans = F.when(~F.array_contains("seen", key), _spans(text, r, k))
-        scans.append(F.struct(key["rule"].alias("rule"), key["version"].alias("version"), spans.alias("spans")))
-    scanned = todo.select("blob", F.explode(F.filter(F.array(*scans), lambda s: s["spans"].isNotNull())).alias("s"))
-    return scanned.select("blob", "s.rule", "s.version", "s.spans")
-
-
-def _hits(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> tuple[DataFrame, DataFrame]:
-    """(blob, spans) of the blobs with findings, spans by start and rule; the new ledger rows."""
-    new = scan_blobs(blobs, ledger, rules)
-    known = new
-    if ledger is not None:
-        current = F.array(*(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
-        old = ledger.where(F.array_contains(current, F.struct("rule", F.col("version").cast("int").alias("version"))))
-        known = new.unionByName(old.select("blob", "rule", "version", "spans"))
-    return known.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")), new
-
-
-def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(findings, new ledger rows). Findings: doc_id, blob, spans(start, rank, end, kind), one row per row of docs.
-
-    Offsets are code points, the end is exclusive; spans go by start, then by rule. Null texts count as empty. Rows with
-    equal texts share one blob and one scan; blobs without findings don't meet the rows again. Null or repeated ids stay
-    as they are and no other column is read. Append the new rows to the ledger to make the next scan incremental.
+        todo = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", none)).where(F.size(F.array_except(_pairs(rules), F.col("seen"))) > 0)
+    scanned = _matches(todo.withColumn("text", F.coalesce("text", F.lit(""))), rules)
+    each = scanned.select("blob", "rule", "version", "rank", F.posexplode_outer("parts").alias("at", "part"))
+    upto = Window.partitionBy("blob", "rule", "version").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("part.gap") + F.coalesce(F.col("part.hit"), F.lit(0))).over(upto).cast("int")
+    span = F.when(F.col("part.kept"), F.struct((F.col("end") - F.col("part.hit")).alias("start"), "rank", "end", F.col("rule").alias("kind")))
+    found = each.withColumn("end", end).select("blob", "rule", "version", span.alias("span"))
+    return found.groupBy("blob", "rule", "version").agg(F.array_sort(F.collect_list("span")).alias("spans")).select("blob", "rule", "version", F.col("spans").cast(f"array<{SPAN}>").alias("spans"))
+
+
+def scan_new(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """New ledger rows for the texts of docs: each unseen blob is scanned once, whatever the number of rows that hold it."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return scan_blobs(docs.select(text.alias("text")).withColumn("blob", blob_of(F.col("text"))).dropDuplicates(["blob"]), ledger, rules)
+
+
+def hits_of(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, spans) of the blobs with findings by the given rule versions; spans by start and rule."""
+    known = ledger.where(F.array_contains(_pairs(rules), F.struct("rule", F.col("version").cast("int").alias("version"))) & (F.size("spans") > 0))
+    return known.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
+def findings(history: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """history with the spans of each row's blob, empty where there are none. Store history and ledger first."""
+    return history.join(stored(hits_of(ledger, rules), "hits"), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
+
+
+def scan_secrets(deliveries: list[DataFrame], ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(findings, ledger) after the deliveries, one after the other. Findings: path, version, blob, spans(start, rank, end, kind).
+
+    Delivery k is version k of its paths; a blob that the ledger or a delivery before it holds isn't scanned again.
+    Findings have one row per row of all deliveries. Offsets are code points, the end is exclusive; spans go by start,
+    then by rule. Null texts count as empty; null or repeated ids stay as they are; no other column is read; empty tables
+    give empty tables. The ledger returned holds the old rows and the new ones; the next scan starts from it.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", blob_of(F.col("text")))
-    hits, new = _hits(rows.select("blob", "text").dropDuplicates(["blob"]), ledger, rules)
-    found = rows.select("doc_id", "blob").join(hits, "blob", "left")
-    return found.select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans")), new
+    history = None
+    for k, docs in enumerate(deliveries):
+        new = stored(scan_new(docs, ledger, rules, text_col), "ledger")
+        ledger = new if ledger is None else ledger.unionByName(new)
+        own = history_of(docs, k + 1, id_col, text_col)
+        history = own if history is None else history.unionByName(own)
+    return findings(stored(history, "history"), ledger, rules), ledger
+
+
+def _gaps(hits: DataFrame) -> DataFrame:
+    """(blob, gaps): what lies outside all spans, as (start, end) with end null for the rest of the text."""
+    each = hits.select("blob", F.explode("spans").alias("s")).select("blob", "s.start", "s.end")
+    before = Window.partitionBy("blob").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = each.withColumn("done", F.coalesce(F.max("end").over(before), F.lit(0)))
+    inner = fresh.where((F.col("start") > F.col("done")) | (F.col("done") == 0)).select("blob", F.struct(F.col("done").alias("start"), F.col("start").alias("end")).alias("gap"))
+    last = each.groupBy("blob").agg(F.max("end").alias("start")).select("blob", F.struct("start", F.lit(None).cast("int").alias("end")).alias("gap"))
+    return inner.unionAll(last).groupBy("blob").agg(F.array_sort(F.collect_list("gap")).alias("gaps"))
+
+
+def redact(text: Column, gaps: Column, mark: str = "[secret]") -> Column:
+    """The text's gaps joined by marks. Cut from four bytes a character, so each piece is found at once."""
+    wide = F.array(F.encode(text, "UTF-32"))
+    piece = lambda b, g: F.decode(F.substring(b, 4 * g["start"] + 1, F.coalesce(4 * (g["end"] - g["start"]), F.octet_length(b))), "UTF-32")
+    return F.get(F.transform(wide, lambda b: F.array_join(F.transform(gaps, lambda g: piece(b, g)), mark)), F.lit(0))
 
 
 def mask_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs with the secrets in their texts masked (and length_col, if there, set anew for those); other rows as they are."""
-    at, found = "__blob", "__spans"
-    rows = docs.withColumn(at, blob_of(F.coalesce(F.col(text_col), F.lit(""))))
-    if ledger is None:
-        # one shuffle of the texts: a blob's first row is scanned, the rows after it take its spans over
-        order = Window.partitionBy(at).orderBy(F.length(F.col(text_col)).desc_nulls_last())
-        first = rows.withColumn("__row", F.row_number().over(order))
-        text = F.coalesce(F.col(text_col), F.lit(""))
-        spans = F.array_sort(F.concat(*(_spans(text, r, k) for k, r in enumerate(rules))))
-        scanned = first.withColumn("__own", F.when(F.col("__row") == 1, spans))
-        upto = Window.partitionBy(at).orderBy("__row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        joined = scanned.withColumn(found, F.first("__own", ignorenulls=True).over(upto)).withColumn(found, F.when((F.size(found) > 0) & F.col(text_col).isNotNull(), F.col(found)))
-    else:
-        blobs = rows.where(F.col(text_col).isNotNull()).select(F.col(at).alias("blob"), F.col(text_col).alias("text")).dropDuplicates(["blob"])
-        hits = _hits(blobs, ledger, rules)[0].select(F.col("blob").alias(at), F.col("spans").alias(found))
-        joined = rows.join(hits, at, "left")
-    clean = F.col(found).isNull()
-    masked = joined.withColumn(text_col, F.when(clean, F.col(text_col)).otherwise(redact(F.col(text_col), F.col(found))))
+    """docs with the secrets in their texts masked (and length_col, if there, set anew for those); other rows as they are.
+
+    Overlapping and touching secrets share one mark. Null and empty texts stay; repeated rows are masked alike. The texts
+    shuffle once, to be scanned; up to FEW blobs with findings are then broadcast, beyond that texts meet them by a shuffle.
+    """
+    new = stored(scan_new(docs, ledger, rules, text_col), "ledger")
+    gaps = stored(_gaps(hits_of(new if ledger is None else ledger.unionByName(new), rules)).select(F.col("blob").alias("__blob"), F.col("gaps").alias("__gaps")), "gaps")
+    rows = docs.withColumn("__blob", F.when(F.col(text_col).isNotNull(), blob_of(F.col(text_col))))
+    joined = rows.join(F.broadcast(gaps) if gaps.count() <= FEW else gaps, "__blob", "left")
+    clean = F.col("__gaps").isNull()
+    masked = joined.withColumn(text_col, F.when(clean, F.col(text_col)).otherwise(redact(F.col(text_col), F.col("__gaps"))))
     if length_col in docs.columns:
         kind = docs.schema[length_col].dataType
         masked = masked.withColumn(length_col, F.when(clean, F.col(length_col)).otherwise(F.char_length(text_col).cast(kind)))
     return masked.select(*docs.columns)
 
 
-def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """text with every span (or run of overlapping spans) replaced by mark."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"),
-        )
-
-    whole = F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
-
-
 def secret_digest(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return found.select(
-        "doc_id",
+        F.col("path").alias("doc_id"),
         *(count_kind(F.col("spans"), k).alias(f"n_{k}") for k in BASE),
         F.sha2(span_text(base), 256).alias("base_sha256"),
         span_text(F.col("spans")).alias("spans"),
