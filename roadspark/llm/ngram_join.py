@@ -28,8 +28,7 @@ from roadspark.llm.lz_fingerprint import _powers, mix
 
 CHUNK_BYTES = 1 << 20
 SLICE = 1000  # rows worked on together
-BLOCK = 8_000_000  # members counted together
-ENTRIES = 2_000_000  # list entries packed together
+ENTRIES = 1_000_000  # list entries packed together
 PART_ENTRIES = 500_000  # list entries that are looked through together, about
 CELL_BITS, CHUNK_BITS = 24, 12  # members are counted in 2^24 cells by the first bits of their hash, 2^12 cells to a row
 LIST_BITS = 48  # bits of a member's hash that name its list; lists that share a name only bring in pairs that then fail
@@ -167,40 +166,33 @@ def _describe(words: int):
     """A row per document; then rows with the cell counts of the members of all distinct sets, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[np.ndarray] = []
-        held, seen = 0, set()
-
-        def counted() -> pa.RecordBatch:
-            cell, n = np.unique(np.concatenate(block) >> np.uint64(64 - CELL_BITS), return_counts=True)
-            rows = []
-            ends = np.searchsorted(cell >> np.uint64(CHUNK_BITS), np.arange((1 << (CELL_BITS - CHUNK_BITS)) + 1, dtype=np.uint64))
-            pack = zstandard.ZstdCompressor(level=3).compress
-            for a, b in zip(ends, ends[1:], strict=False):
-                counts = np.zeros(1 << CHUNK_BITS, dtype=np.uint16)
-                counts[(cell[a:b] & np.uint64((1 << CHUNK_BITS) - 1)).astype(np.int64)] = np.minimum(n[a:b], 65_535)
-                rows.append(pack((counts & 255).astype(np.uint8).tobytes() + (counts >> 8).astype(np.uint8).tobytes()))
-            none = pa.nulls(len(rows))
-            return pa.RecordBatch.from_arrays([none.cast(f.type) for f in list(_ONE)[:7]] + [pa.array(np.arange(len(rows))), pa.array(rows, pa.binary())], schema=_ONE)
-
+        counts: np.ndarray | None = None
+        seen: set[tuple[int, int]] = set()
         for batch in _slices(batches):
-            rows = []
+            rows, new = [], []
             for members in shingle_sets(batch.column(1), words):
                 key = _key(members)
                 rows.append((len(members), *key, _parity(members), _sketch(members)))
                 if key not in seen and len(members):
                     seen.add(key)
-                    block.append(members)
-                    held += len(members)
-                if held >= BLOCK:
-                    yield counted()
-                    block.clear()
-                    held = 0
-                    seen.clear()
+                    new.append(members >> np.uint64(64 - CELL_BITS))
+            if new:
+                if counts is None:
+                    counts = np.zeros(1 << CELL_BITS, dtype=np.uint16)
+                cell, n = np.unique(np.concatenate(new).astype(np.int32), return_counts=True)
+                counts[cell] = np.minimum(counts[cell] + n, 65_535)
+            if len(seen) > 1_000_000:
+                seen.clear()
             own = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(_ONE)[2:7])]
             none = pa.nulls(len(rows))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *own, none.cast(pa.int64()), none.cast(pa.binary())], schema=_ONE)
-        if block:
-            yield counted()
+        if counts is not None:
+            pack = zstandard.ZstdCompressor(level=3).compress
+            chunks = counts.reshape(-1, 1 << CHUNK_BITS)
+            for at in range(0, len(chunks), 256):
+                packed = [pack((c & 255).astype(np.uint8).tobytes() + (c >> 8).astype(np.uint8).tobytes()) for c in chunks[at : at + 256]]
+                none = pa.nulls(len(packed))
+                yield pa.RecordBatch.from_arrays([none.cast(f.type) for f in list(_ONE)[:7]] + [pa.array(np.arange(at, at + len(packed))), pa.array(packed, pa.binary())], schema=_ONE)
 
     return run
 

@@ -22,7 +22,7 @@ from roadspark.llm.common import stored
 
 # The pre-token pattern of byte-level BPE.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 SALT_ROWS = 200_000
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 

@@ -19,7 +19,7 @@ from roadspark.llm.bpe import MergeTable, merge_words
 
 MARK = "▁"
 WORD = re.compile(r" *[^ ]+| +")
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 CHUNK_CHARS = 4_000_000
 SCHEMA = "doc_id long, ids array<int>, decoded string"
 

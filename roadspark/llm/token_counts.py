@@ -23,7 +23,7 @@ from roadspark.llm.bpe import MergeTable, merge_words
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A space inside a longer run of white space: such texts aren't split at single spaces.
 WIDE = re.compile(r"\s \s|  ")
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
 
