@@ -26,10 +26,10 @@ from roadspark.llm.common import bitmap, discard, marked, stored
 from roadspark.llm.components import components
 from roadspark.llm.lz_fingerprint import _powers, mix
 
-CHUNK_BYTES = 1 << 20
-SLICE = 1000  # rows worked on together
-ENTRIES = 1_000_000  # list entries packed together
-PART_ENTRIES = 500_000  # list entries that are looked through together, about
+CHUNK_BYTES = 1 << 18
+SLICE = 500  # rows worked on together
+ENTRIES = 400_000  # list entries packed together
+PART_ENTRIES = 250_000  # list entries that are looked through together, about
 CELL_BITS, CHUNK_BITS = 24, 12  # members are counted in 2^24 cells by the first bits of their hash, 2^12 cells to a row
 LIST_BITS = 48  # bits of a member's hash that name its list; lists that share a name only bring in pairs that then fail
 SALTS = 32

@@ -30,7 +30,7 @@ GRAM = range(4, 13)
 FRAME_START, FRAME_END = bytes(range(1, 9)) + bytes(range(14, 22)), bytes(range(8, 0, -1))
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 
 
 class Model(NamedTuple):
