@@ -27,6 +27,9 @@ class Bits(NamedTuple):
     def place(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.size))
 
+    def marks(self, place: np.ndarray) -> np.ndarray:
+        return (self.words.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Places by chunk -> a row of bits for each chunk."""
@@ -60,13 +63,11 @@ def bitmap(keys: DataFrame) -> Bits:
 
 def marked(df: DataFrame, key: Column, bits: Bits, want: bool = True) -> DataFrame:
     """The rows of df whose key the bitmap marks, or those whose key it doesn't."""
-    words = bits.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            there = (words.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(there == want))
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(bits.marks(place) == want))
 
     return df.withColumn("__place", bits.place(key)).mapInArrow(run, df.schema)
 

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadspark.llm.common import bitmap, discard, marked, stored
+from roadspark.llm.common import Bits, bitmap, discard, marked, stored
 from roadspark.llm.components import components
 from roadspark.llm.lz_fingerprint import _powers, mix
 
@@ -414,13 +414,14 @@ def _shared(rule: Rule):
     return run
 
 
-def _members_of(words: int):
-    """(key, check, members) of the rows' sets."""
+def _members_of(words: int, bits: Bits):
+    """(key, check, members) of the sets of the rows that the bitmap marks. Rows: id, text, place in the bitmap."""
     schema = pa.schema([("key", pa.int64()), ("check", pa.int64()), ("members", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in _slices(batches):
+            batch = batch.filter(pa.array(bits.marks(batch.column(2).to_numpy(zero_copy_only=False))))
             sets = [(*_key(s), s.tobytes()) for s in shingle_sets(batch.column(1), words)]
             sets = [x for x in sets if x[:2] not in seen and not seen.add(x[:2])]
             if len(seen) > 1_000_000:
@@ -488,7 +489,7 @@ def _linked(rows: DataFrame, told: DataFrame, classes: DataFrame, pairs: DataFra
         sized = sized.join(sketches.select(F.col("key").alias(x), F.col("sketch").alias(f"sketch_{x}")), x)
     near = stored(sized.mapInArrow(_sketch_filter(rule), "a long, b long, rep_a long, rep_b long"), "pairs")
     bits = bitmap(near.select(F.explode(F.array("rep_a", "rep_b")).alias("key")))
-    sets = _renamed(marked(rows, F.col("doc_id"), bits).mapInArrow(_members_of(rule.words), "key long, check long, members binary"), clashes).select("key", "members")
+    sets = _renamed(rows.withColumn("place", bits.place(F.col("doc_id"))).mapInArrow(_members_of(rule.words, bits), "key long, check long, members binary"), clashes).select("key", "members")
     dealt = near.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
     centres = dealt.select("a", "salt").distinct().withColumn("b", F.lit(None).cast("long"))
     both = dealt.select("a", "b", "salt", F.col("b").alias("key")).unionByName(centres.select("a", "b", "salt", F.col("a").alias("key")))
