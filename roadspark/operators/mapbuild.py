@@ -73,7 +73,7 @@ def lane_policy(ways: DataFrame) -> DataFrame:
 
 def road_defaults(ways: DataFrame, maxspeed: str = "60", avg_min_speed: str = "20", avg_max_speed: str = "60", lanes: str = "1", lane_width: str = "3.2") -> DataFrame:
     """ways with missing tags filled in: one lane on one-way roads, a divider where a two-way road has two lanes or more."""
-    one = F.coalesce(tag("oneway"), F.lit("")) == "yes"
+    one = F.lower(F.trim(F.coalesce(tag("oneway"), F.lit("")))) == "yes"
     with_lanes = F.coalesce(tag("lanes"), F.when(one, F.lit("1")).otherwise(F.lit(lanes)))
     wide = F.coalesce(F.regexp_extract(with_lanes, r"^\s*([+-]?\d+)", 1).try_cast("int"), F.lit(2))
     values = {"maxspeed": F.lit(maxspeed), "avg_min_speed": F.lit(avg_min_speed), "avg_max_speed": F.lit(avg_max_speed), "lanes": with_lanes, "lane_width": F.lit(lane_width), "divider": F.when(one | (wide < 2), "no").otherwise("yes")}

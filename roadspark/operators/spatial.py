@@ -67,7 +67,7 @@ def nearest_way(points: DataFrame, ways: DataFrame, nodes: DataFrame, tol_m: flo
     """id, way_id, dist_m: the nearest way within tol_m of each point (ties, to a millionth of a metre: the smaller id)."""
     cells = segment_cells(segments(ways, nodes), 4 * tol_m, tol_m)
     near = with_cell(points.select("id", "x", "y"), 4 * tol_m).join(cells, ["cx", "cy"]).withColumn("d", _segment_distance()[1]).where(F.col("d") <= tol_m)
-    return near.groupBy("id").agg(F.min(F.struct(F.round("d", 6).alias("d"), "way_id")).alias("b")).select("id", "b.way_id", F.col("b.d").alias("dist_m"))
+    return near.groupBy("id").agg(F.min(F.struct(F.round("d", 6).alias("near"), "way_id", "d")).alias("b")).select("id", "b.way_id", F.col("b.d").alias("dist_m"))
 
 
 def nearest_amenity(points: DataFrame, amenities: DataFrame, tol_m: float) -> DataFrame:

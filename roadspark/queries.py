@@ -77,10 +77,10 @@ def lane_policy(s, d):
     return M.lane_policy(X.ways(s, d)).select("way_id", tag("lanes").alias("lanes"))
 
 
-@query("road_defaults", """SELECT way_id, coalesce(maxspeed, '60') AS maxspeed, '20' AS avg_min_speed, coalesce(lanes, '1') AS lanes, '3.2' AS lane_width,
+@query("road_defaults", """SELECT way_id, coalesce(maxspeed, '60') AS maxspeed, '20' AS avg_min_speed, '60' AS avg_max_speed, coalesce(lanes, '1') AS lanes, '3.2' AS lane_width,
     coalesce(divider, CASE WHEN oneway = 'yes' OR coalesce(lanes, '1')::INT < 2 THEN 'no' ELSE 'yes' END) AS divider FROM w""")
 def road_defaults(s, d):
-    return M.road_defaults(X.ways(s, d)).select("way_id", *(tag(k).alias(k) for k in ("maxspeed", "avg_min_speed", "lanes", "lane_width", "divider")))
+    return M.road_defaults(X.ways(s, d)).select("way_id", *(tag(k).alias(k) for k in ("maxspeed", "avg_min_speed", "avg_max_speed", "lanes", "lane_width", "divider")))
 
 
 @query("way_geometry", "SELECT way_id, round(sum(d), 4) AS length_m, round(coalesce(max(lanes)::DOUBLE, 2) * 3.2, 4) AS width_m FROM seg JOIN w USING (way_id) GROUP BY way_id")
@@ -180,7 +180,7 @@ def nearest_node(s, d):
 
 @query("nearest_way", """WITH c AS (SELECT i.incident_id AS id, s.way_id, i.x, i.y, s.*, greatest(0, least(1, ((i.x - ax) * (zx - ax) + (i.y - ay) * (zy - ay)) / nullif((zx - ax)^2 + (zy - ay)^2, 0))) AS t FROM inc i, seg s),
     e AS (SELECT id, way_id, min(sqrt((x - ax - t * (zx - ax))^2 + (y - ay - t * (zy - ay))^2)) AS d FROM c GROUP BY id, way_id)
-    SELECT id, arg_min(way_id, (round(d, 6), way_id)) AS way_id, round(min(d), 4) AS dist_m FROM e WHERE d <= 25 GROUP BY id""")
+    SELECT id, arg_min(way_id, (round(d, 6), way_id)) AS way_id, round(arg_min(d, (round(d, 6), way_id)), 4) AS dist_m FROM e WHERE d <= 25 GROUP BY id""")
 def nearest_way(s, d):
     return J.nearest_way(_points(s, d), X.ways(s, d), X.nodes(s, d), 25.0).select("id", "way_id", *r4("dist_m"))
 
@@ -363,10 +363,10 @@ def override_holds(s, d):
     return L.override_holds(X.overrides(s, d))[0]
 
 
-@query("preempt_episodes", """WITH q AS (SELECT user_id % 40 AS junction_id, event_id % 300 AS t, event_type AS way_id FROM events WHERE event_id % 4 = 0), f AS (SELECT *, CASE WHEN t - lag(t) OVER w < 5 THEN 0 ELSE 1 END AS n FROM q WINDOW w AS (PARTITION BY junction_id ORDER BY t, way_id)), e AS (SELECT *, sum(n) OVER (PARTITION BY junction_id ORDER BY t, way_id ROWS UNBOUNDED PRECEDING) AS ep FROM f)
+@query("preempt_episodes", """WITH q AS (SELECT user_id % 40 AS junction_id, event_id % 300 AS t, event_type AS way_id FROM events), f AS (SELECT *, CASE WHEN t - lag(t) OVER w < 5 THEN 0 ELSE 1 END AS n FROM q WINDOW w AS (PARTITION BY junction_id ORDER BY t, way_id)), e AS (SELECT *, sum(n) OVER (PARTITION BY junction_id ORDER BY t, way_id ROWS UNBOUNDED PRECEDING) AS ep FROM f)
     SELECT junction_id, min(t) AS start, min(t) + 5.0::DOUBLE AS clear_until, max(t) + 5.0::DOUBLE AS hold_until, max(way_id) FILTER (t = mt) AS way_id FROM (SELECT *, max(t) OVER (PARTITION BY junction_id, ep) AS mt FROM e) GROUP BY junction_id, ep""")
 def preempt_episodes(s, d):
-    q = s.read.parquet(f"{d}/events.parquet").where("event_id % 4 = 0").selectExpr("user_id % 40 AS junction_id", "event_id % 300 AS t", "event_type AS way_id")
+    q = s.read.parquet(f"{d}/events.parquet").selectExpr("user_id % 40 AS junction_id", "event_id % 300 AS t", "event_type AS way_id")
     return L.preempt_episodes(q).drop("episode")
 
 
@@ -401,9 +401,9 @@ def edge_tumbling_stats(s, d):
     return V.edge_tumbling_stats(X.states(s, d), 20, 10).select("edge", "start", "n", *r4("avg_mps"))
 
 
-@query("lane_neighbors", "SELECT a.t, a.vehicle_id, (SELECT b.vehicle_id FROM st b WHERE b.t = a.t AND b.edge = a.edge AND b.lane = a.lane AND (b.dist, b.vehicle_id) > (a.dist, a.vehicle_id) ORDER BY b.dist, b.vehicle_id LIMIT 1) AS ahead_id FROM st a WHERE a.t < 30")
+@query("lane_neighbors", "SELECT a.t, a.vehicle_id, (SELECT b.vehicle_id FROM st b WHERE b.t = a.t AND b.edge = a.edge AND b.lane = a.lane AND (b.dist, b.vehicle_id) > (a.dist, a.vehicle_id) ORDER BY b.dist, b.vehicle_id LIMIT 1) AS ahead_id FROM st a")
 def lane_neighbors(s, d):
-    return V.lane_neighbors(X.states(s, d).where("t < 30")).select("t", "vehicle_id", "ahead_id")
+    return V.lane_neighbors(X.states(s, d)).select("t", "vehicle_id", "ahead_id")
 
 
 @query("negative_gaps", "WITH n AS (SELECT t, vehicle_id, lead(dist) OVER (PARTITION BY t, edge, lane ORDER BY dist, vehicle_id) - 4.5 - dist AS gap_m FROM st) SELECT * FROM n WHERE gap_m < 0")
@@ -449,16 +449,16 @@ def dispatch_top(s, d):
     return V.dispatch_top(X.incidents(s, d), V.latest_wins_upsert(f, None, "vehicle_id", "t"), 2, 600.0).select("incident_id", "type", "vehicle_id", F.col("rank").cast("long").alias("rank"), *r4("dist_m"))
 
 
-@query("close_pairs", """WITH p AS (SELECT t, vehicle_id AS id, edge * 40.0 + dist AS x, lane * 3.0 AS y FROM st WHERE t < 40) SELECT a.t, a.id AS id_a, b.id AS id_b, round(sqrt((a.x - b.x)^2 + (a.y - b.y)^2), 4) AS dist_m FROM p a JOIN p b ON a.t = b.t AND a.id < b.id WHERE (a.x - b.x)^2 + (a.y - b.y)^2 < 16""")
+@query("close_pairs", """WITH p AS (SELECT t, vehicle_id AS id, edge * 40.0 + dist AS x, lane * 3.0 AS y FROM st) SELECT a.t, a.id AS id_a, b.id AS id_b, round(sqrt((a.x - b.x)^2 + (a.y - b.y)^2), 4) AS dist_m FROM p a JOIN p b ON a.t = b.t AND a.id < b.id WHERE (a.x - b.x)^2 + (a.y - b.y)^2 < 400""")
 def close_pairs(s, d):
-    p = X.states(s, d).where("t < 40").selectExpr("t", "vehicle_id AS id", "CAST(edge * 40 + dist AS DOUBLE) AS x", "CAST(lane * 3 AS DOUBLE) AS y")
-    return J.close_pairs(p, 4.0).select("t", "id_a", "id_b", *r4("dist_m"))
+    p = X.states(s, d).selectExpr("t", "vehicle_id AS id", "CAST(edge * 40 + dist AS DOUBLE) AS x", "CAST(lane * 3 AS DOUBLE) AS y")
+    return J.close_pairs(p, 20.0).select("t", "id_a", "id_b", *r4("dist_m"))
 
 
-@query("vision_cone", """WITH p AS (SELECT t, vehicle_id AS id, edge * 40.0 + dist AS x, lane * 3.0 AS y, 0.1 * (vehicle_id % 60) AS h FROM st WHERE t < 10), q AS (SELECT a.t, a.id, b.id AS other_id, sqrt((a.x - b.x)^2 + (a.y - b.y)^2) AS d, atan2(b.y - a.y, b.x - a.x) - a.h AS u FROM p a JOIN p b ON a.t = b.t AND a.id <> b.id),
+@query("vision_cone", """WITH p AS (SELECT t, vehicle_id AS id, edge * 40.0 + dist AS x, lane * 3.0 AS y, 0.1 * (vehicle_id % 60) AS h FROM st), q AS (SELECT a.t, a.id, b.id AS other_id, sqrt((a.x - b.x)^2 + (a.y - b.y)^2) AS d, atan2(b.y - a.y, b.x - a.x) - a.h AS u FROM p a JOIN p b ON a.t = b.t AND a.id <> b.id),
     z AS (SELECT *, u - 2 * pi() * floor((u + pi()) / (2 * pi())) AS w FROM q WHERE d <= 50) SELECT t, id, other_id, round(d, 4) AS dist_m FROM z WHERE abs(w) <= 0.45""")
 def vision_cone(s, d):
-    p = X.states(s, d).where("t < 10").selectExpr("t", "vehicle_id AS id", "CAST(edge * 40 + dist AS DOUBLE) AS x", "CAST(lane * 3 AS DOUBLE) AS y", "0.1D * (vehicle_id % 60) AS heading")
+    p = X.states(s, d).selectExpr("t", "vehicle_id AS id", "CAST(edge * 40 + dist AS DOUBLE) AS x", "CAST(lane * 3 AS DOUBLE) AS y", "0.1D * (vehicle_id % 60) AS heading")
     return J.vision_cone(p, p, 0.45, 50.0).select("t", "id", "other_id", *r4("dist_m"))
 
 

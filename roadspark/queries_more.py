@@ -78,14 +78,14 @@ def join_groups(s, d):
 
 
 @query("snap_to_edge", """WITH e AS (SELECT way_id || ':' || seq || ':' || CASE WHEN f THEN 'f' ELSE 'b' END AS edge_id, CASE WHEN f THEN ax ELSE zx END AS ax, CASE WHEN f THEN ay ELSE zy END AS ay, CASE WHEN f THEN zx ELSE ax END AS bx, CASE WHEN f THEN zy ELSE ay END AS bz, d FROM seg JOIN rw USING (way_id), (VALUES (true), (false)) AS q(f) WHERE (f AND fwd) OR (NOT f AND bwd)),
-    c AS (SELECT i.event_id AS id, e.*, i.x, i.y, ((i.heading::INT % 360) + 360) % 360 AS h, greatest(0, least(1, ((i.x - ax) * (bx - ax) + (i.y - ay) * (bz - ay)) / (d * d))) AS t FROM fx i, e WHERE i.event_id % 10 = 0 AND i.x BETWEEN least(ax, bx) - 15 AND greatest(ax, bx) + 15 AND i.y BETWEEN least(ay, bz) - 15 AND greatest(ay, bz) + 15),
-    o AS (SELECT *, round(sqrt((x - ax - t * (bx - ax))^2 + (y - ay - t * (bz - ay))^2), 6) AS off, abs(h - ((degrees(atan2(bx - ax, bz - ay)) + 360) % 360)) AS turn FROM c),
+    c AS (SELECT i.event_id AS id, e.*, i.x, i.y, ((i.heading::INT % 360) + 360) % 360 AS h, greatest(0, least(1, ((i.x - ax) * (bx - ax) + (i.y - ay) * (bz - ay)) / (d * d))) AS t FROM fx i, e WHERE i.x BETWEEN least(ax, bx) - 15 AND greatest(ax, bx) + 15 AND i.y BETWEEN least(ay, bz) - 15 AND greatest(ay, bz) + 15),
+    o AS (SELECT *, sqrt((x - ax - t * (bx - ax))^2 + (y - ay - t * (bz - ay))^2) AS off, abs(h - ((degrees(atan2(bx - ax, bz - ay)) + 360) % 360)) AS turn FROM c),
     m AS (SELECT *, coalesce(CASE WHEN turn > 180 THEN 360 - turn ELSE turn END > 100, false) AS wrong FROM o WHERE off <= 15)
-    SELECT id, arg_min(edge_id, (wrong, off, edge_id)) AS edge_id, round(arg_min(off, (wrong, off, edge_id)), 4) AS offset_m, arg_min(wrong, (wrong, off, edge_id)) AS heading_mismatch FROM m GROUP BY id""")
+    SELECT id, arg_min(edge_id, (wrong, round(off, 6), edge_id)) AS edge_id, round(arg_min(off, (wrong, round(off, 6), edge_id)), 4) AS offset_m, arg_min(wrong, (wrong, round(off, 6), edge_id)) AS heading_mismatch FROM m GROUP BY id""")
 def snap_to_edge(s, d):
     n = X.nodes(s, d).select("node_id", "x", "y")
     e = G.chain_edges(X.nodes(s, d), X.ways(s, d)).join(n.select(F.col("node_id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay")), "src").join(n.select(F.col("node_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by")), "dst")
-    p = X.fixes(s, d).where("event_id % 10 = 0").select(F.col("event_id").alias("id"), "x", "y", F.pmod("heading_deg", F.lit(360.0)).alias("heading_deg"))
+    p = X.fixes(s, d).select(F.col("event_id").alias("id"), "x", "y", F.pmod("heading_deg", F.lit(360.0)).alias("heading_deg"))
     return P.snap_to_edge(p, e.select("edge_id", "ax", "ay", "bx", "by", "length_m"), 15.0).select("id", "edge_id", *r4("offset_m"), "heading_mismatch")
 
 
@@ -185,10 +185,10 @@ def live_session_stream(s, d):
     return W.run_once(W.live_session_stream(_fix_stream(s, d)), shared_dir(s)).select("vehicle_id", (F.unix_seconds("start") - 1704067200).alias("start"), "fixes")
 
 
-@query("edge_window_stream", "SELECT user_id % 50 AS edge, z.s AS start, count(*) AS n, round(avg(value::DOUBLE % 60), 4) AS avg_mps FROM events JOIN range(-60, 1000000, 60) AS z(s) ON event_id >= s AND event_id < s + 120 GROUP BY ALL")
+@query("edge_window_stream", "SELECT user_id % 50 AS edge, z.s AS start, count(*) AS n, round(sum(value::DOUBLE % 60), 2) AS sum_mps FROM events JOIN range(-60, 1000000, 60) AS z(s) ON event_id >= s AND event_id < s + 120 GROUP BY ALL")
 def edge_window_stream(s, d):
     out = W.edge_window_stream(_fix_stream(s, d), "120 seconds", "60 seconds")
-    return W.run_once(out, shared_dir(s)).select("edge", (F.unix_seconds("start") - 1704067200).alias("start"), "n", *r4("avg_mps"))
+    return W.run_once(out, shared_dir(s)).select("edge", (F.unix_seconds("start") - 1704067200).alias("start"), "n", F.round(F.col("avg_mps") * F.col("n"), 2).alias("sum_mps"))
 
 
 @query("approaches", """WITH a AS (SELECT n.node_id AS junction_id, n.way_id, n.x, n.y, coalesce(f.x, b.x) AS ox, coalesce(f.y, b.y) AS oy, w.oneway, n.seq, n.n FROM wn n JOIN sg USING (node_id) JOIN w ON w.way_id = n.way_id LEFT JOIN wn f ON f.way_id = n.way_id AND f.seq = n.seq + 1 LEFT JOIN wn b ON b.way_id = n.way_id AND b.seq = n.seq - 1)
@@ -206,11 +206,11 @@ def signal_groups_build(s, d):
     return run(X.nodes(s, d), X.signals(s, d), X.signals(s, d).select("group_id", "node_id")).select("group_id", F.array_join("member_ids", ",").alias("members"))
 
 
-@query("lane_vision_cost", """WITH p AS (SELECT t, vehicle_id AS id, edge, lane, dist, speed_mps FROM st WHERE t < 40) SELECT a.t, a.id, a.lane, round(sum(greatest(0, a.speed_mps - b.speed_mps) * (1 - (b.dist - a.dist) / 50)), 4) AS cost FROM p a JOIN p b ON a.t = b.t AND a.edge = b.edge AND a.lane = b.lane AND b.dist > a.dist AND b.dist - a.dist < 50 GROUP BY ALL""")
+@query("lane_vision_cost", """WITH p AS (SELECT t, vehicle_id AS id, edge, lane, dist, speed_mps FROM st) SELECT a.t, a.id, a.lane, round(sum(greatest(0, a.speed_mps - b.speed_mps) * (1 - (b.dist - a.dist) / 50)), 4) AS cost FROM p a JOIN p b ON a.t = b.t AND a.edge = b.edge AND a.lane = b.lane AND b.dist > a.dist AND b.dist - a.dist < 50 GROUP BY ALL""")
 def lane_vision_cost(s, d):
     from roadspark.operators.telemetry import lane_vision_cost as run
 
-    return run(X.states(s, d).where("t < 40")).select("t", "id", "lane", *r4("cost"))
+    return run(X.states(s, d)).select("t", "id", "lane", *r4("cost"))
 
 
 @query("incident_lifecycle", """SELECT trip_id // 3 AS incident_id, CASE WHEN bool_and(completed) THEN 'resolved' ELSE 'responding' END AS status, min(spawn_t) AS t_responding FROM tr GROUP BY 1""")
@@ -240,11 +240,11 @@ def sample_endpoints(s, d):
 
 
 @query("vehicle_attributes", f"""SELECT trip_id AS id, vehicle_type AS type, CAST(16 + ({_DRAW.format(s=3, a='trip_id', b=9, c=0)}) * 65 // 2147483648 AS BIGINT) AS driver_age,
-    round(CASE vehicle_type WHEN 'car' THEN 4.0 WHEN 'motorcycle' THEN 1.8 WHEN 'bus' THEN 7.0 WHEN 'truck' THEN 6.0 WHEN 'ambulance' THEN 5.5 WHEN 'firetruck' THEN 8.5 ELSE 4.5 END::DOUBLE + CASE vehicle_type WHEN 'car' THEN 5.1 - 4.0 WHEN 'motorcycle' THEN 2.3 - 1.8 WHEN 'bus' THEN 3.0 WHEN 'truck' THEN 6.0 WHEN 'ambulance' THEN 1.0 WHEN 'firetruck' THEN 2.5 ELSE 0.5 END::DOUBLE * (({_DRAW.format(s=3, a='trip_id', b=0, c=0)}) / 2147483648.0::DOUBLE), 2) AS length FROM tr WHERE trip_id % 4 = 0""")
+    round(CASE vehicle_type WHEN 'car' THEN 4.0 WHEN 'motorcycle' THEN 1.8 WHEN 'bus' THEN 7.0 WHEN 'truck' THEN 6.0 WHEN 'ambulance' THEN 5.5 WHEN 'firetruck' THEN 8.5 ELSE 4.5 END::DOUBLE + CASE vehicle_type WHEN 'car' THEN 5.1 - 4.0 WHEN 'motorcycle' THEN 2.3 - 1.8 WHEN 'bus' THEN 3.0 WHEN 'truck' THEN 6.0 WHEN 'ambulance' THEN 1.0 WHEN 'firetruck' THEN 2.5 ELSE 0.5 END::DOUBLE * (({_DRAW.format(s=3, a='trip_id', b=0, c=0)}) / 2147483648.0::DOUBLE), 2) AS length FROM tr""")
 def vehicle_attributes(s, d):
     from roadspark.operators.trips import vehicle_attributes as run
 
-    v = X.trips(s, d).where("trip_id % 4 = 0").select(F.col("trip_id").alias("id"), F.col("vehicle_type").alias("type"))
+    v = X.trips(s, d).select(F.col("trip_id").alias("id"), F.col("vehicle_type").alias("type"))
     return run(v, 3).select("id", "type", "driver_age", "length")
 
 
@@ -266,14 +266,17 @@ def queue_members(s, d):
     return run(st, st.where("t % 20 < 15 and edge % 2 = 0").select("t", "edge", "lane")).select("t", "vehicle_id", "since")
 
 
-@query("signal_clock", """WITH hold AS (SELECT 'n' || (event_id % 20) AS node_id, event_id AS a, event_id + 3 + user_id % 40 AS b FROM events WHERE event_type = 'click' AND event_id < 2000), ask AS (SELECT 'n' || k AS node_id, t FROM range(0, 20) AS q(k), range(100, 2100, 100) AS z(t))
-    SELECT node_id, t, t - (SELECT count(*) FROM range(0, 2100) AS s(v) WHERE v < t AND EXISTS (SELECT 1 FROM hold WHERE hold.node_id = ask.node_id AND v >= a AND v < b)) AS clock_sec FROM ask""")
+@query("signal_clock", """WITH hold AS (SELECT 'n' || (user_id % 500) AS node_id, event_id AS a, event_id + 3 + user_id % 40 AS b FROM events WHERE event_type = 'click'), ask AS (SELECT DISTINCT 'n' || (user_id % 500) AS node_id, event_id AS t FROM events),
+    hf AS (SELECT *, max(b) OVER (PARTITION BY node_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM hold), hg AS (SELECT *, sum(CASE WHEN before >= a THEN 0 ELSE 1 END) OVER (PARTITION BY node_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM hf),
+    stop AS (SELECT node_id, k, min(a) AS a, max(b) AS b FROM hg GROUP BY node_id, k)
+    SELECT ask.node_id, t, CAST(t - coalesce(sum(least(t, b) - a), 0) AS BIGINT) AS clock_sec FROM ask LEFT JOIN stop ON stop.node_id = ask.node_id AND a < t GROUP BY ask.node_id, t""")
 def signal_clock(s, d):
+    """Every click holds its node's clock for a while; the clock is asked for at every event."""
     from roadspark.operators.signals import signal_clock as run
 
-    holds = s.read.parquet(f"{d}/events.parquet").where("event_type = 'click' and event_id < 2000").selectExpr("concat('n', event_id % 20) AS node_id", "event_id AS since", "event_id + 3 + user_id % 40 AS until")
-    asks = s.range(20).select(F.concat(F.lit("n"), "id").alias("node_id"), F.explode(F.sequence(F.lit(100), F.lit(2000), F.lit(100)).cast("array<bigint>")).alias("t"))
-    return run(holds, asks)
+    events = s.read.parquet(f"{d}/events.parquet")
+    holds = events.where("event_type = 'click'").selectExpr("concat('n', user_id % 500) AS node_id", "event_id AS since", "event_id + 3 + user_id % 40 AS until")
+    return run(holds, events.selectExpr("concat('n', user_id % 500) AS node_id", "event_id AS t").distinct())
 
 
 @query("live_edge_cost", "SELECT way_id || ':' || seq || ':' || CASE WHEN f THEN 'f' ELSE 'b' END AS edge_id, round(d / greatest(2.0, CASE WHEN seq % 3 = 0 THEN seq % 7 ELSE mps END), 4) AS cost_sec FROM edge")
