@@ -98,4 +98,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scans, op2_ngram_jaccard, op3_sentencepiece, op4_toxicity, op5_best_fit_packing, op6_media_fingerprints, op7_pii, op8_lz_fingerprints, op9_token_counts, op10_chat_formatting)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: op2 alone: exploded sets, pair counts and a recursive walk over the links. The others have spans with offsets, trained
+#: scores, tokenizers or templates; tests hold them against libraries, brute force and round trips.
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS g FROM w),
+    m AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+    p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM m a JOIN m b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+    e AS (SELECT u, v FROM p UNION SELECT v, u FROM p),
+    r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, r.c FROM r JOIN e ON r.doc_id = e.u),
+    least_of AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+    SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM s JOIN least_of USING (doc_id)""",
+}
