@@ -134,7 +134,7 @@ def junction_edges(nodes: DataFrame, ways: DataFrame, signals: DataFrame) -> Dat
 def compatible_movements(edges: DataFrame) -> DataFrame:
     """junction_id, src_a, dst_a, src_b, dst_b, compatible: whether two movements of a junction may run together."""
     side = lambda x: edges.select("junction_id", *(F.col(c).alias(f"{c}_{x}") for c in ("src", "dst", "from_way", "to_way", "arr_x", "arr_y", "movement")))
-    both = side("a").join(side("b"), "junction_id").where("(src_a, dst_a) < (src_b, dst_b)" if False else "src_a < src_b or (src_a = src_b and dst_a < dst_b)")
+    both = side("a").join(side("b"), "junction_id").where("src_a < src_b or (src_a = src_b and dst_a < dst_b)")
     opposite = F.expr("arr_x_a * arr_x_b + arr_y_a * arr_y_b") < C.UTURN_DOT
     same = F.col("from_way_a").eqNullSafe(F.col("from_way_b"))
     crossing = (F.col("movement_a") == "through") | ((F.col("movement_a") == "right") & ~F.col("to_way_a").eqNullSafe(F.col("to_way_b")))

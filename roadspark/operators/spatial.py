@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadspark.functions import constants as C
 from roadspark.functions.tags import distance, lookup, tag
 from roadspark.operators.mapbuild import located, polygon_measures, way_nodes
+from roadspark.plans.store import stored
 
 
 def _cell(c, size: float):
@@ -37,23 +38,26 @@ def segment_cells(segs: DataFrame, size: float, margin: float = 0.0) -> DataFram
     return segs.withColumn("cx", F.explode(F.sequence(low("ax", "bx"), high("ax", "bx")))).withColumn("cy", F.explode(F.sequence(low("ay", "by"), high("ay", "by"))))
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, cell: float = 100.0, most_doublings: int = 12) -> DataFrame:
-    """id, node_id, dist_m: the nearest node to each point (ties: the smaller id).
+def nearest_node(points: DataFrame, nodes: DataFrame, cell: float = 100.0) -> DataFrame:
+    """id, node_id, dist_m: the nearest node to each point, however far (ties: the smaller id).
 
     A round looks at the cells around each point; a node found within one cell's width is final, other points go on with
-    doubled cells. Points stay unmatched only where there is no node within the last width.
+    doubled cells. Each round is written, so none is computed again. Points or nodes without finite coordinates count for
+    nothing; without nodes there are no rows. Points are told apart by id.
     """
-    todo, done = points.select("id", "x", "y"), None
-    spots = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
-    for k in range(most_doublings):
-        size = cell * 2**k
+    finite = lambda x, y: f"abs({x}) < 1e300 and abs({y}) < 1e300"
+    todo = points.select("id", "x", "y").where(finite("x", "y"))
+    spots = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny")).where(finite("nx", "ny"))
+    any_node, done, size = not spots.isEmpty(), None, cell
+    while True:
         near = with_near_cells(todo, size).join(with_cell(spots, size, "nx", "ny"), ["cx", "cy"]).withColumn("d2", (F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2)
         best = near.groupBy("id").agg(F.min(F.struct("d2", "node_id")).alias("b")).select("id", "b.node_id", F.sqrt("b.d2").alias("dist_m")).where(F.col("dist_m") <= size)
+        best = stored(best, "nearest")
         done = best if done is None else done.unionByName(best)
-        todo = todo.join(best.select("id"), "id", "left_anti")
-        if k >= 1 and todo.isEmpty():
-            break
-    return done
+        todo = stored(todo.join(best, todo["id"].eqNullSafe(best["id"]), "left_anti"), "far")
+        if not any_node or todo.isEmpty():
+            return done
+        size *= 2
 
 
 def _segment_distance():
