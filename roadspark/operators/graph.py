@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspark.functions import constants as C
@@ -131,14 +131,18 @@ def junction_edges(nodes: DataFrame, ways: DataFrame, signals: DataFrame) -> Dat
     )
 
 
+def movements_compatible(a: Column, b: Column) -> Column:
+    """Whether two movements (structs of from_way, to_way, movement, arr_x, arr_y) of a junction may run together."""
+    opposite = a["arr_x"] * b["arr_x"] + a["arr_y"] * b["arr_y"] < C.UTURN_DOT
+    apart = (a["movement"] == "through") | ((a["movement"] == "right") & ~a["to_way"].eqNullSafe(b["to_way"]))
+    return F.coalesce(a["from_way"].eqNullSafe(b["from_way"]) | ((a["movement"] == b["movement"]) & opposite & apart), F.lit(False))
+
+
 def compatible_movements(edges: DataFrame) -> DataFrame:
     """junction_id, src_a, dst_a, src_b, dst_b, compatible: whether two movements of a junction may run together."""
-    side = lambda x: edges.select("junction_id", *(F.col(c).alias(f"{c}_{x}") for c in ("src", "dst", "from_way", "to_way", "arr_x", "arr_y", "movement")))
+    side = lambda x: edges.select("junction_id", F.col("src").alias(f"src_{x}"), F.col("dst").alias(f"dst_{x}"), F.struct("from_way", "to_way", "movement", "arr_x", "arr_y").alias(x))
     both = side("a").join(side("b"), "junction_id").where("src_a < src_b or (src_a = src_b and dst_a < dst_b)")
-    opposite = F.expr("arr_x_a * arr_x_b + arr_y_a * arr_y_b") < C.UTURN_DOT
-    same = F.col("from_way_a").eqNullSafe(F.col("from_way_b"))
-    crossing = (F.col("movement_a") == "through") | ((F.col("movement_a") == "right") & ~F.col("to_way_a").eqNullSafe(F.col("to_way_b")))
-    return both.select("junction_id", "src_a", "dst_a", "src_b", "dst_b", (same | ((F.col("movement_a") == F.col("movement_b")) & opposite & crossing)).alias("compatible"))
+    return both.select("junction_id", "src_a", "dst_a", "src_b", "dst_b", movements_compatible(F.col("a"), F.col("b")).alias("compatible"))
 
 
 def weak_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

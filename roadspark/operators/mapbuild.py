@@ -103,6 +103,20 @@ def node_touch_count(ways: DataFrame) -> DataFrame:
     return way_nodes(vehicle_ways(ways)).select("way_id", "node_id").distinct().groupBy("node_id").agg(F.count(F.lit(1)).alias("touches"))
 
 
+def pieces_of(flagged: DataFrame, ways: DataFrame, mark: str) -> DataFrame:
+    """way_id, ord, part, tags, nodes, cuts: the ways of flagged (way_id, seq, node_id, cut) cut after each position with cut 1.
+
+    The node of a cut ends one piece and begins the next; the first piece keeps its id, later ones get mark and a number.
+    """
+    before = Window.partitionBy("way_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = flagged.withColumn("piece", F.coalesce(F.sum("cut").over(before), F.lit(0)))
+    both = pieces.withColumn("piece", F.explode(F.when(F.col("cut") == 1, F.array(F.col("piece"), F.col("piece") + 1)).otherwise(F.array("piece"))))
+    made = both.groupBy("way_id", "piece").agg(F.array_sort(F.collect_list(F.struct("seq", "node_id"))).alias("s"), F.sum("cut").alias("cuts")).where("size(s) >= 2")
+    return made.join(ways.select("way_id", "ord", "tags"), "way_id").select(
+        F.when(F.col("piece") == 0, F.col("way_id")).otherwise(F.concat("way_id", F.lit(mark), "piece")).alias("way_id"), "ord", F.col("piece").cast("long").alias("part"), "tags", F.transform("s", lambda e: e["node_id"]).alias("nodes"), "cuts"
+    )
+
+
 def split_ways(ways: DataFrame) -> DataFrame:
     """ways cut at inner nodes that two or more vehicle ways touch: the first piece keeps its id, later ones get _s<n>.
 
@@ -111,13 +125,7 @@ def split_ways(ways: DataFrame) -> DataFrame:
     vehicle = vehicle_ways(ways)
     flagged = way_nodes(vehicle).join(node_touch_count(ways), "node_id").join(vehicle.select("way_id", F.size("nodes").alias("n")), "way_id")
     cut = ((F.col("touches") >= 2) & (F.col("seq") > 0) & (F.col("seq") < F.col("n") - 1)).cast("int")
-    before = Window.partitionBy("way_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = flagged.withColumn("cut", cut).withColumn("piece", F.coalesce(F.sum("cut").over(before), F.lit(0)))
-    both = pieces.withColumn("piece", F.explode(F.when(F.col("cut") == 1, F.array(F.col("piece"), F.col("piece") + 1)).otherwise(F.array("piece"))))
-    made = both.groupBy("way_id", "piece").agg(F.array_sort(F.collect_list(F.struct("seq", "node_id"))).alias("s")).where("size(s) >= 2")
-    kept = made.join(vehicle.select("way_id", "ord", "tags"), "way_id").select(
-        F.when(F.col("piece") == 0, F.col("way_id")).otherwise(F.concat("way_id", F.lit("_s"), "piece")).alias("way_id"), "ord", F.col("piece").cast("long").alias("part"), "tags", F.transform("s", lambda e: e["node_id"]).alias("nodes")
-    )
+    kept = pieces_of(flagged.withColumn("cut", cut), vehicle, "_s").drop("cuts")
     others = ways.join(vehicle.select("way_id"), "way_id", "left_anti").select("way_id", "ord", F.lit(0).cast("long").alias("part"), "tags", "nodes")
     return kept.unionByName(others)
 

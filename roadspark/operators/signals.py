@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspark.functions import constants as C
@@ -214,3 +216,73 @@ def signal_clock(holds: DataFrame, asks: DataFrame) -> DataFrame:
     j = asks.join(islands, "node_id", "left")
     frozen = F.greatest(F.lit(0), F.least("b", "t") - F.col("a"))
     return j.groupBy(*asks.columns).agg(F.sum(F.coalesce(frozen, F.lit(0))).alias("f")).select(*asks.columns, (F.col("t") - F.col("f")).alias("clock_sec"))
+
+
+def _phases(groups: Column, label: str) -> Column:
+    """A phase for each group of way ids, with the default times."""
+    made = lambda g, i: F.struct(F.concat(F.lit("ph_"), (i + 1).cast("string")).alias("id"), F.concat(F.lit(label), F.lit(" "), (i + 1).cast("string")).alias("label"), g.alias("wayIds"), F.lit(25.0).alias("greenSec"), F.lit(3.0).alias("yellowSec"))
+    return F.transform(groups, made)
+
+
+def signal_plans(legs: DataFrame, paired: bool = True) -> DataFrame:
+    """node_id, scheme, all_red_sec, phases, paired: a default plan for each junction from its legs by bearing (ties: way id).
+
+    legs: junction_id, way_id, bearing. Four legs make two opposite pairs, in the paired scheme or, with paired false, as
+    two phases; three make one phase of the two that are nearest to opposite (ties: earlier ones) and one of the third;
+    other numbers make a phase for each leg. A junction's legs are gathered in one row: there are as many as ways meet.
+    """
+    leg = F.struct("bearing", "way_id")
+    by = legs.groupBy(F.col("junction_id").alias("node_id")).agg(F.array_sort(F.collect_list(leg)).alias("a"))
+    n, at = F.size("a"), lambda i: F.get("a", F.lit(i))
+    turn = lambda i, j: F.abs(at(i)["bearing"] - at(j)["bearing"])
+    apart = lambda i, j: F.round(F.when(turn(i, j) > math.pi, 2 * math.pi - turn(i, j)).otherwise(turn(i, j)), 9)
+    ways = lambda *k: F.array(*(at(i)["way_id"] for i in k))
+    first, second, third = apart(0, 1), apart(0, 2), apart(1, 2)
+    three = F.when((first >= second) & (first >= third), F.array(ways(0, 1), ways(2))).when(second >= third, F.array(ways(0, 2), ways(1))).otherwise(F.array(ways(1, 2), ways(0)))
+    four = F.array(ways(0, 2), ways(1, 3))
+    step = lambda g: F.struct(g.alias("wayIds"), F.lit(C.PAIRED_STEP_SEC).alias("stepSec"))
+    is_paired = (n == 4) & F.lit(paired)
+    grouped = F.when(n == 4, four).when(n == 3, three)
+    phases = F.when(is_paired, _phases(F.filter(four, lambda _: F.lit(False)), "Phase")).when(n.isin(3, 4), _phases(grouped, "Phase")).otherwise(_phases(F.transform("a", lambda e: F.array(e["way_id"])), "Approach"))
+    pairs = F.when(is_paired, F.struct(F.lit(C.PAIRED_YELLOW_SEC).alias("yellowSec"), F.transform(four, step).alias("pairs")))
+    return by.select("node_id", F.when(is_paired, "paired4way").otherwise("phases").alias("scheme"), F.lit(2.0).alias("all_red_sec"), phases.alias("phases"), pairs.alias("paired"))
+
+
+_MOVE = ("from_way", "to_way", "movement", "arr_x", "arr_y")
+
+
+def admit_movements(candidates: DataFrame, in_flight: DataFrame) -> DataFrame:
+    """The candidates with accepted: at each (t, junction_id), by rank from high to low, then arrived, then vehicle_id, those
+    that agree with every movement in flight and every one accepted before.
+
+    candidates: t, junction_id, vehicle_id, rank, arrived and a movement (from_way, to_way, movement, arr_x, arr_y); in_flight:
+    t, junction_id and a movement. What waits at one junction at one time is gathered in a row: a lane group has one
+    candidate, so there are as many as approach lanes.
+    """
+    from roadspark.operators.graph import movements_compatible
+
+    move = F.struct(*_MOVE)
+    busy = in_flight.groupBy("t", "junction_id").agg(F.collect_list(move).alias("busy"))
+    row = F.struct((-F.col("rank")).alias("low"), "arrived", "vehicle_id", move.alias("m"))
+    waiting = candidates.groupBy("t", "junction_id").agg(F.array_sort(F.collect_list(row)).alias("c")).join(busy, ["t", "junction_id"], "left")
+    kind = dict(candidates.select(move.alias("m"), "vehicle_id").dtypes)
+    none = F.array().cast(f"array<struct<vehicle_id:{kind['vehicle_id']},m:{kind['m']}>>")
+    free = F.filter("c", lambda e: F.forall(F.coalesce("busy", F.array().cast(f"array<{kind['m']}>")), lambda b: movements_compatible(e["m"], b)))
+    taken = F.aggregate(free, none, lambda s, e: F.when(F.forall(s, lambda o: movements_compatible(e["m"], o["m"])), F.concat(s, F.array(F.struct(e["vehicle_id"].alias("vehicle_id"), e["m"].alias("m"))))).otherwise(s))
+    won = waiting.select("t", "junction_id", F.explode(F.transform(taken, lambda e: e["vehicle_id"])).alias("vehicle_id"), F.lit(True).alias("accepted"))
+    return candidates.join(won.distinct(), ["t", "junction_id", "vehicle_id"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+
+
+def preempt_lamps(lamps: DataFrame, episodes: DataFrame) -> DataFrame:
+    """lamps with the colour that an episode puts over theirs.
+
+    lamps: t, junction_id, color and a movement; episodes: t, junction_id, clearing and a movement, at most one for a time and
+    junction. The approach that is asked for is green; while clearing, other greens turn yellow; afterwards those that
+    don't agree with the movement are red.
+    """
+    from roadspark.operators.graph import movements_compatible
+
+    over = episodes.select("t", "junction_id", "clearing", F.struct(*_MOVE).alias("asked"))
+    agrees = movements_compatible(F.col("asked"), F.struct(*_MOVE))
+    color = F.when(F.col("asked").isNull(), F.col("color")).when(F.col("asked.from_way").eqNullSafe(F.col("from_way")), "green").when(F.col("clearing"), F.when(F.col("color") == "green", "yellow").otherwise(F.col("color"))).when(agrees, F.col("color")).otherwise("red")
+    return lamps.join(over, ["t", "junction_id"], "left").withColumn("color", color).select(*lamps.columns)

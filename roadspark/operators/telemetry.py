@@ -199,3 +199,79 @@ def queue_members(states: DataFrame, gates: DataFrame) -> DataFrame:
     runs = on.withColumn("run", F.row_number().over(w) - F.row_number().over(Window.partitionBy("vehicle_id", "on").orderBy("t"))).where("on")
     since = F.min("t").over(Window.partitionBy("vehicle_id", "run"))
     return runs.select("t", "vehicle_id", "edge", "lane", since.alias("since"), (F.col("t") - since).alias("waited_sec"))
+
+
+def vehicle_world_position(states: DataFrame, edges: DataFrame) -> DataFrame:
+    """vehicle_id, t, x, y, heading (radians), lateral_m (to the left): where vehicles are drawn.
+
+    states: vehicle_id, t, edge_id, dist, lane; edges: edge_id, is_junction, ax, ay, bx, by, length_m, arr_x, arr_y, dep_x, dep_y
+    (directions at the ends of a junction edge), lanes_per_direction, lane_width, offset_m. Chain edges are straight, with the
+    vehicle in the middle of its lane (two at most); junction edges bend towards where the two directions meet, if that
+    lies ahead and within three lengths.
+    """
+    c = F.col
+    s = states.select("vehicle_id", "t", "edge_id", "dist", "lane").join(edges, "edge_id")
+    along = F.when(c("length_m") > 1e-6, F.greatest(F.lit(0.0), F.least(F.lit(1.0), c("dist") / c("length_m")))).otherwise(0.0)
+    s = s.withColumns({"u": along, "ex": c("bx") - c("ax"), "ey": c("by") - c("ay"), "det": c("arr_x") * c("dep_y") - c("arr_y") * c("dep_x")})
+    s = s.withColumn("reach", F.when(c("is_junction") & (F.abs("det") > 1e-6), (c("ex") * c("dep_y") - c("ey") * c("dep_x")) / c("det")))
+    s = s.withColumn("bent", F.coalesce((c("reach") > 0.05) & (c("reach") < F.greatest(F.lit(1.0), c("length_m") * 3)), F.lit(False)))
+    s = s.withColumns({"mx": c("ax") + c("arr_x") * c("reach"), "my": c("ay") + c("arr_y") * c("reach"), "v": 1 - c("u")})
+    curve = lambda a, m, b: c("v") * c("v") * c(a) + 2 * c("v") * c("u") * c(m) + c("u") * c("u") * c(b)
+    slope = lambda a, m, b: 2 * c("v") * (c(m) - c(a)) + 2 * c("u") * (c(b) - c(m))
+    s = s.withColumns({"tx": slope("ax", "mx", "bx"), "ty": slope("ay", "my", "by")})
+    turned = c("bent") & (F.hypot("tx", "ty") > 1e-6)
+    sim_lanes = F.least(F.lit(2), F.greatest(F.lit(1), c("lanes_per_direction")))
+    lateral = c("offset_m") + ((sim_lanes - 1) / 2.0 - F.least(c("lane"), sim_lanes - 1)) * c("lane_width")
+    return s.select(
+        "vehicle_id", "t", F.when(c("bent"), curve("ax", "mx", "bx")).otherwise(c("ax") + c("ex") * c("u")).alias("x"), F.when(c("bent"), curve("ay", "my", "by")).otherwise(c("ay") + c("ey") * c("u")).alias("y"),
+        F.when(turned, F.atan2("ty", "tx")).otherwise(F.atan2("ey", "ex")).alias("heading"), F.when(c("is_junction"), 0.0).otherwise(lateral).alias("lateral_m"),
+    )
+
+
+def live_route(snaps: DataFrame, chain_edges: DataFrame, junction_edges: DataFrame) -> DataFrame:
+    """id, step, edge_id, is_junction, length_m: the edge that a vehicle was snapped to and the junction edge ahead of it.
+
+    snaps: id, edge_id; chain_edges: edge_id, dst, length_m; junction_edges: edge_id, src, movement, length_m. The least
+    "through" edge comes first, then the least of all; a vehicle on a junction edge has no further step.
+    """
+    ahead = junction_edges.groupBy(F.col("src").alias("dst")).agg(F.min(F.struct((F.col("movement") != "through").alias("turns"), F.col("edge_id").alias("next_id"), F.col("length_m").alias("next_m"))).alias("n"))
+    on = snaps.select("id", "edge_id").join(chain_edges.select("edge_id", "dst", "length_m"), "edge_id")
+    first = on.select("id", F.lit(0).alias("step"), "edge_id", F.lit(False).alias("is_junction"), "length_m")
+    then = on.join(ahead, "dst").select("id", F.lit(1).alias("step"), F.col("n.next_id").alias("edge_id"), F.lit(True).alias("is_junction"), F.col("n.next_m").alias("length_m"))
+    crossing = snaps.select("id", "edge_id").join(junction_edges.select("edge_id", "length_m"), "edge_id").select("id", F.lit(0).alias("step"), "edge_id", F.lit(True).alias("is_junction"), "length_m")
+    return first.unionByName(then).unionByName(crossing)
+
+
+def dispatch_nearest(incidents: DataFrame, requests: DataFrame, vehicles: DataFrame, reach_m: float, most_rounds: int = 1000) -> DataFrame:
+    """incident_id, type, requested, vehicle_ids (nearest first), shortfall: what each incident gets, earlier ones (t, then id) first.
+
+    incidents: incident_id, t, x, y, part; requests: incident_id, type, n; vehicles: vehicle_id, vehicle_type, x, y, part, active,
+    responding. Only emergency types are sent, only active vehicles that don't respond yet, only within reach_m, and only
+    to incidents of their part of the road network (else there is no route). Every incident asks for its nearest ones, a
+    vehicle keeps its earliest asker and drops later ones; repeated until nobody is dropped, that gives what serving one
+    incident after the other would. Rounds are stored; each drops pairs for good.
+    """
+    from roadspark.operators.spatial import with_cell, with_near_cells
+    from roadspark.plans.store import discard, stored
+
+    wanted = requests.where(F.col("type").isin(*C.EMERGENCY_TYPES) & (F.col("n") > 0)).select("incident_id", "type", "n")
+    asks = with_near_cells(incidents.select("incident_id", "t", "x", "y", "part").join(wanted, "incident_id"), reach_m)
+    free = with_cell(vehicles.where("active and not responding").select("vehicle_id", F.col("vehicle_type").alias("type"), F.col("x").alias("vx"), F.col("y").alias("vy"), "part"), reach_m, "vx", "vy")
+    d2 = (F.col("x") - F.col("vx")) ** 2 + (F.col("y") - F.col("vy")) ** 2
+    near = asks.join(free, ["type", "part", "cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= reach_m**2)
+    pairs = stored(near.select("incident_id", "type", "n", "t", "vehicle_id", "d2"), "pairs")
+    choice = F.row_number().over(Window.partitionBy("incident_id", "type").orderBy("d2", "vehicle_id"))
+    turn, left = F.struct("t", "incident_id"), pairs.count()
+    for _ in range(most_rounds):
+        held = pairs.withColumn("choice", choice).where("choice <= n").groupBy("vehicle_id").agg(F.min(turn).alias("holder"))
+        fewer = stored(pairs.join(held, "vehicle_id", "left").where(F.col("holder").isNull() | (turn <= F.col("holder"))).drop("holder"), "pairs")
+        discard(pairs)
+        pairs, before, left = fewer, left, fewer.count()
+        if left == before:
+            break
+    else:
+        raise RuntimeError("dispatches did not settle")
+    sent = pairs.withColumn("choice", choice).where("choice <= n").groupBy("incident_id", "type").agg(F.transform(F.array_sort(F.collect_list(F.struct("choice", "vehicle_id"))), lambda e: e["vehicle_id"]).alias("vehicle_ids"))
+    kind = dict(vehicles.dtypes)["vehicle_id"]
+    got = F.coalesce("vehicle_ids", F.array().cast(f"array<{kind}>"))
+    return wanted.join(incidents.select("incident_id"), "incident_id").join(sent, ["incident_id", "type"], "left").select("incident_id", "type", F.col("n").alias("requested"), got.alias("vehicle_ids"), (F.col("n") - F.size(got)).alias("shortfall"))
