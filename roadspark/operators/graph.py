@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadspark.functions import constants as C
 from roadspark.functions.tags import backward, distance, forward, lookup, speed_kmh, tag
 from roadspark.operators.mapbuild import class_speed_rank, located, routable_ways, way_nodes
-from roadspark.plans.store import stored
+from roadspark.plans.store import discard, stored
 
 
 def _pairs(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -167,25 +167,53 @@ def weak_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def shortest_paths(edges: DataFrame, od: DataFrame, most_rounds: int = 2000) -> DataFrame:
-    """od_id, found, cost_sec: the least cost from src to dst for every row of od (od_id, src, dst).
+def shortest_paths(edges: DataFrame, od: DataFrame, most_rounds: int = 2000, hops: int = 3, paths: bool = False) -> DataFrame:
+    """od_id, found, cost_sec: the least cost from src to dst for every row of od (od_id, src, dst); with paths also path.
 
-    Distinct origins relax their frontiers together, a round at a time: edges are joined on the node, the least cost for
-    each (origin, node) stays, and only improved ones go on. Rounds end when nothing improves.
+    Distinct origins relax their frontiers together: edges are joined on the node, the least cost for each (origin, node)
+    stays, and only improved ones go on. A stored round takes several hops; rounds end when nothing improves. A path is
+    walked back from its end, a stored round for a node: of the nodes before that keep the cost, the least id is taken.
     """
     arcs = stored(edges.groupBy("src", "dst").agg(F.min("weight_sec").alias("w")), "arcs")
     best = stored(od.select(F.col("src").alias("origin"), F.col("src").alias("node"), F.lit(0.0).alias("cost")).distinct(), "costs")
     front = best
     for _ in range(most_rounds):
-        reached = front.join(arcs, front["node"] == arcs["src"]).select("origin", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost")).groupBy("origin", "node").agg(F.min("cost").alias("cost"))
-        better = stored(reached.join(best.withColumnRenamed("cost", "had"), ["origin", "node"], "left").where("had is null or cost < had - 1e-9").select("origin", "node", "cost"), "front")
+        reached, went = front, None
+        for _ in range(hops):
+            reached = reached.join(arcs, reached["node"] == arcs["src"]).select("origin", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost")).groupBy("origin", "node").agg(F.min("cost").alias("cost"))
+            went = reached if went is None else went.unionByName(reached)
+        least = went.groupBy("origin", "node").agg(F.min("cost").alias("cost"))
+        better = stored(least.join(best.withColumnRenamed("cost", "had"), ["origin", "node"], "left").where("had is null or cost < had - 1e-9").select("origin", "node", "cost"), "front")
         if better.isEmpty():
             break
-        best = stored(best.join(better.select("origin", "node"), ["origin", "node"], "left_anti").unionByName(better), "costs")
+        last, best = best, stored(best.join(better.select("origin", "node"), ["origin", "node"], "left_anti").unionByName(better), "costs")
+        discard(last)
         front = better
     else:
         raise RuntimeError("shortest paths did not settle")
-    return od.join(best.select(F.col("origin").alias("src"), F.col("node").alias("dst"), "cost"), ["src", "dst"], "left").select("od_id", F.col("cost").isNotNull().alias("found"), F.col("cost").alias("cost_sec"))
+    costs = od.select("od_id", "src", "dst").join(best.select(F.col("origin").alias("src"), F.col("node").alias("dst"), "cost"), ["src", "dst"], "left")
+    if not paths:
+        return costs.select("od_id", F.col("cost").isNotNull().alias("found"), F.col("cost").alias("cost_sec"))
+    # each reached node's predecessor: among nodes whose cost and arc add up to its own, the least
+    to, at = best.select("origin", F.col("node").alias("dst"), F.col("cost").alias("total")), best.select("origin", F.col("node").alias("src"), "cost")
+    tight = at.join(arcs, "src").join(to, ["origin", "dst"]).where("origin <> dst and abs(cost + w - total) <= 1e-9 * greatest(1.0D, total) and cost < total")
+    back = stored(tight.groupBy("origin", F.col("dst").alias("node")).agg(F.min("src").alias("before")), "back")
+    walk = stored(costs.where("cost is not null").select("od_id", F.col("src").alias("origin"), F.col("dst").alias("node"), F.array("dst").alias("path")), "walk")
+    whole = []
+    for _ in range(most_rounds * hops):
+        whole.append(stored(walk.where("node = origin").select("od_id", "path"), "paths"))
+        going = walk.where("node <> origin")
+        if going.isEmpty():
+            break
+        for _ in range(hops):  # a walk that has arrived stays where it is
+            step = going.join(back, ["origin", "node"], "left")
+            going = step.select("od_id", "origin", F.coalesce("before", "node").alias("node"), F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat(F.array("before"), F.col("path"))).alias("path"))
+        last, walk = walk, stored(going, "walk")
+        discard(last)
+    done = whole[0]
+    for w in whole[1:]:
+        done = done.unionByName(w)
+    return costs.join(done, "od_id", "left").select("od_id", F.col("cost").isNotNull().alias("found"), F.col("cost").alias("cost_sec"), F.coalesce("path", F.array().cast("array<string>")).alias("path"))
 
 
 def verify_distances(a: DataFrame, b: DataFrame, rel_tol: float = 1e-6) -> DataFrame:

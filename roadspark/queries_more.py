@@ -89,15 +89,17 @@ def snap_to_edge(s, d):
     return P.snap_to_edge(p, e.select("edge_id", "ax", "ay", "bx", "by", "length_m"), 15.0).select("id", "edge_id", *r4("offset_m"), "heading_mismatch")
 
 
-@query("largest_scc")
+@query("largest_scc", """WITH r(a, b) AS (SELECT src, src FROM edge UNION SELECT dst, dst FROM edge UNION SELECT r.a, dst FROM r JOIN edge ON r.b = edge.src),
+    c AS (SELECT x.a, min(x.b) AS root FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a), n AS (SELECT root, count(*) AS n FROM c GROUP BY root)
+    SELECT a AS node_id FROM c WHERE root = (SELECT root FROM n ORDER BY n DESC, root LIMIT 1)""", recursive=True)
 def largest_scc(s, d):
     return P.largest_scc(G.routing_edges(X.nodes(s, d), X.ways(s, d)).select("src", "dst"))
 
 
 @query("route_paths")
 def route_paths(s, d):
-    """Routes of the trips that emergency vehicles make."""
-    od = X.trips(s, d).where("vehicle_type in ('ambulance', 'firetruck', 'police')").select(F.col("trip_id").alias("od_id"), F.col("start_node").alias("src"), F.col("end_node").alias("dst"))
+    """Routes of all trips."""
+    od = X.trips(s, d).select(F.col("trip_id").alias("od_id"), F.col("start_node").alias("src"), F.col("end_node").alias("dst"))
     return P.route_paths(G.routing_edges(X.nodes(s, d), X.ways(s, d)), od).select("od_id", "found", *r4("cost_sec"), F.size("path").alias("nodes"))
 
 
