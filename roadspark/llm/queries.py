@@ -54,15 +54,19 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The opening turn of every conversation, played; those with an id divisible by 20 are searched for by an excerpt."""
+    """Every turn of every conversation, played; those of conversations with an id divisible by 20 are searched for by an excerpt."""
+    from pyspark.sql import functions as F
+
     from roadspark.llm.common import stored
     from roadspark.llm.media import fingerprint_audio, recordings, search_report
 
-    first = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 0").select("conv_id", "text")
-    media = recordings(first, "conv_id", "text")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    wide = (turns.agg(F.max("turn")).first()[0] or 0) + 1
+    media = recordings(turns.withColumn("rec_id", F.col("conv_id") * wide + F.col("turn")), "rec_id", "text")
+    conv = F.floor(F.col("rec_id") / wide)
     index = stored(fingerprint_audio(media), "index")
-    queries = stored(fingerprint_audio(media.where("rec_id % 20 = 0"), audio_col="sample"), "queries")
-    return search_report(index, queries).withColumnRenamed("rec_id", "conv_id")
+    queries = stored(fingerprint_audio(media.where(conv % 20 == 0), audio_col="sample"), "queries")
+    return search_report(index, queries).select(conv.alias("conv_id"), (F.col("rec_id") - conv * wide).alias("turn"), "*")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

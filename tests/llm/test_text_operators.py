@@ -446,3 +446,23 @@ def test_pipeline(spark, tmp_path, rows):
         assert set(kept) == set(range(len(texts))) - {rows} - ({rows + 3} if brute_components(list(enumerate(texts)))[rows + 3][1] != rows + 3 else set())
         assert all("abcdefghijkl" not in (t or "") for t in kept.values())
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(kept)
+
+
+def test_media_report_of_odd_rows(spark):
+    """Repeated and null ids, silent rows, clashing columns, an empty table."""
+    from roadspark.llm.media import fingerprint_audio, recordings, search_report
+
+    long = " ".join(f"w{k * k % 17}" for k in range(30))
+    other = " ".join(f"z{k * 7 % 23}" for k in range(30))
+    rows = [(20, long, "a"), (20, other, "b"), (21, long, "c"), (None, long, "d"), (40, "", "e"), (60, None, "f"), (80, "one two", "g")]
+    texts = spark.createDataFrame(rows, "rec_id long, text string, codes string")
+    media = recordings(texts, "rec_id", "text")
+    report = search_report(fingerprint_audio(media), fingerprint_audio(media.where("rec_id % 20 = 0"), audio_col="sample")).collect()
+    assert len(report) == len(rows)
+    twice = [r for r in report if r.rec_id == 20]
+    assert len(twice) == 2 and all({m.class_id for m in r.matches} == {20} for r in twice)
+    silent = [r for r in report if r.n_codes == 0]
+    assert {r.rec_id for r in silent} == {40, 60, 80} and all(r.class_id == 40 and r.matches == [] for r in silent)
+    assert [r.matches for r in report if r.rec_id is None] == [[]]
+    empty = fingerprint_audio(recordings(texts.limit(0), "rec_id", "text"))
+    assert search_report(empty, empty).count() == 0
