@@ -58,14 +58,14 @@ def op6_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     from roadspark.llm.common import stored
-    from roadspark.llm.media import fingerprint_audio, recordings, search_report
+    from roadspark.llm.media import fingerprint_played, search_report
 
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
     wide = (turns.agg(F.max("turn")).first()[0] or 0) + 1
-    media = recordings(turns.withColumn("rec_id", F.col("conv_id") * wide + F.col("turn")), "rec_id", "text")
+    played = turns.withColumn("rec_id", F.col("conv_id") * wide + F.col("turn"))
     conv = F.floor(F.col("rec_id") / wide)
-    index = stored(fingerprint_audio(media), "index")
-    queries = stored(fingerprint_audio(media.where(conv % 20 == 0), audio_col="sample"), "queries")
+    index = stored(fingerprint_played(played, "rec_id", "text"), "index")
+    queries = stored(fingerprint_played(played.where("conv_id % 20 = 0"), "rec_id", "text", "sample"), "queries")
     return search_report(index, queries).select(conv.alias("conv_id"), (F.col("rec_id") - conv * wide).alias("turn"), "*")
 
 

@@ -466,3 +466,12 @@ def test_media_report_of_odd_rows(spark):
     assert [r.matches for r in report if r.rec_id is None] == [[]]
     empty = fingerprint_audio(recordings(texts.limit(0), "rec_id", "text"))
     assert search_report(empty, empty).count() == 0
+
+
+def test_played_fingerprints_are_those_of_the_recordings(spark):
+    from roadspark.llm.media import fingerprint_audio, fingerprint_played, recordings
+
+    texts = spark.createDataFrame([(k, " ".join(f"w{k * j % 11}" for j in range(k))) for k in range(40)], "rec_id long, text string")
+    media = recordings(texts, "rec_id", "text")
+    for column in ("audio", "sample"):
+        assert sorted(map(tuple, fingerprint_played(texts, "rec_id", "text", column).collect())) == sorted(map(tuple, fingerprint_audio(media, audio_col=column).collect()))
