@@ -98,8 +98,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(read_windows(format_windows(turns.unionByName(extra))))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadspark.llm.periodic_runs import periodic_runs, replanted, runs_digest
+
+    return runs_digest(periodic_runs(replanted(_documents(spark, sf_dir))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scans, op2_ngram_jaccard, op3_sentencepiece, op4_toxicity, op5_best_fit_packing, op6_media_fingerprints, op7_pii, op8_lz_fingerprints, op9_token_counts, op10_chat_formatting)
+    f.__name__: f for f in (op1_secret_scans, op2_ngram_jaccard, op3_sentencepiece, op4_toxicity, op5_best_fit_packing, op6_media_fingerprints, op7_pii, op8_lz_fingerprints, op9_token_counts, op10_chat_formatting, op11_periodic_runs)
 }
 
 #: op2 alone: exploded sets, pair counts and a recursive walk over the links. The others have spans with offsets, trained
