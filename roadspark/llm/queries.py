@@ -104,8 +104,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs_digest(periodic_runs(replanted(_documents(spark, sf_dir))))
 
 
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadspark.llm.hamming_index import nearest_vectors
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest_vectors(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scans, op2_ngram_jaccard, op3_sentencepiece, op4_toxicity, op5_best_fit_packing, op6_media_fingerprints, op7_pii, op8_lz_fingerprints, op9_token_counts, op10_chat_formatting, op11_periodic_runs)
+    f.__name__: f for f in (op1_secret_scans, op2_ngram_jaccard, op3_sentencepiece, op4_toxicity, op5_best_fit_packing, op6_media_fingerprints, op7_pii, op8_lz_fingerprints, op9_token_counts, op10_chat_formatting, op11_periodic_runs, op12_nearest_vectors)
 }
 
 #: op2 alone: exploded sets, pair counts and a recursive walk over the links. The others have spans with offsets, trained
