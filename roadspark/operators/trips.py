@@ -144,7 +144,7 @@ def generate_trips(spark: SparkSession, nodes: DataFrame, depots: DataFrame, cou
     from roadspark.plans.store import numbered
 
     sizes = [(r["type"], r["n"]) for r in apportion_counts(spark, count, mix).collect()]  # a row per vehicle type
-    shuffled = numbered(spark.range(count).withColumn("key", drawn(F.col("id"), F.lit(11), seed=seed) * F.lit(MODULUS).cast("long") + F.col("id")), "key", "place")
+    shuffled = numbered(spark.range(count).withColumn("key", drawn(F.col("id"), F.lit(11), seed=seed) * F.lit(MODULUS).cast("long") + F.col("id")), "key", name="place")
     kind, upto = F.lit(None).cast("string"), count
     for name, n in reversed(sizes):
         kind = F.when(F.col("place") < upto, name).otherwise(kind) if n else kind

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,16 +37,25 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
-    """df with the place of each row in the order of key, from 0, without gathering rows in one task.
-
-    Rows are dealt into ranges of the key and stored; the driver sees one count per range.
-    """
-    dealt = stored(df.repartitionByRange(key).withColumn("__part", F.spark_partition_id()), "ranges")
-    offsets, at = [(-1, 0)], 0
-    for part, n in sorted(tuple(r) for r in dealt.groupBy("__part").count().collect()):
-        offsets.append((part, at))
+def _dealt(df: DataFrame, key: tuple[str, ...], weight: Column) -> tuple[DataFrame, Column]:
+    """df stored in ranges of the key, and for each row the weight of all ranges before its own. The driver sees a number a range."""
+    dealt = stored(df.repartitionByRange(*key).withColumn("__part", F.spark_partition_id()), "ranges")
+    before, at = [(-1, 0)], 0
+    for part, n in sorted(tuple(r) for r in dealt.groupBy("__part").agg(F.sum(weight)).collect()):
+        before.append((part, at))
         at += n
-    table = F.create_map(*(F.lit(x) for kv in offsets for x in kv))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1 + F.element_at(table, F.col("__part")).cast("long")
-    return dealt.withColumn(name, place).drop("__part")
+    table = F.create_map(*(F.lit(x) for kv in before for x in kv))
+    return dealt, F.element_at(table, F.col("__part")).cast("long")
+
+
+def numbered(df: DataFrame, *key: str, name: str = "idx") -> DataFrame:
+    """df with the place of each row in the order of key, from 0, nulls first, without gathering rows in one task."""
+    dealt, before = _dealt(df, key, F.lit(1))
+    return dealt.withColumn(name, F.row_number().over(Window.partitionBy("__part").orderBy(*key)) - 1 + before).drop("__part")
+
+
+def running_total(df: DataFrame, *key: str, weight: str, name: str = "before") -> DataFrame:
+    """df with the sum of weight (a whole number) over all rows before each in the order of key, whose values are distinct."""
+    dealt, before = _dealt(df, key, F.col(weight))
+    own = Window.partitionBy("__part").orderBy(*key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return dealt.withColumn(name, (F.sum(weight).over(own) - F.col(weight) + before).cast("long")).drop("__part")
