@@ -111,12 +111,19 @@ def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_vectors(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadspark.llm.merkle import document_leaves, manifest_digest, merkle_manifest
+
+    return manifest_digest(merkle_manifest(document_leaves(_documents(spark, sf_dir))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scans, op2_ngram_jaccard, op3_sentencepiece, op4_toxicity, op5_best_fit_packing, op6_media_fingerprints, op7_pii, op8_lz_fingerprints, op9_token_counts, op10_chat_formatting, op11_periodic_runs, op12_nearest_vectors)
+    f.__name__: f for f in (op1_secret_scans, op2_ngram_jaccard, op3_sentencepiece, op4_toxicity, op5_best_fit_packing, op6_media_fingerprints, op7_pii, op8_lz_fingerprints, op9_token_counts, op10_chat_formatting, op11_periodic_runs, op12_nearest_vectors, op13_merkle_manifest)
 }
 
-#: op2 alone: exploded sets, pair counts and a recursive walk over the links. The others have spans with offsets, trained
-#: scores, tokenizers or templates; tests hold them against libraries, brute force and round trips.
+#: op2: exploded sets, pair counts and a recursive walk over the links. op13: levels by recursion, the CRC bit by bit. The others
+#: have spans with offsets, trained scores, tokenizers, templates, runs or approximate answers; tests hold them against
+#: libraries, brute force and round trips.
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
     s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS g FROM w),
@@ -126,4 +133,21 @@ ORACLE_SQL: dict[str, str] = {
     r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, r.c FROM r JOIN e ON r.doc_id = e.u),
     least_of AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
     SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM s JOIN least_of USING (doc_id)""",
+    "op13_merkle_manifest": r"""WITH RECURSIVE d AS (SELECT *, (xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, v: xor(xor(c, v) >> 1, (xor(c, v) & 1) * 3988292384)), 4294967295::UBIGINT) % 7 = 0) IS TRUE AS hit FROM documents),
+    e AS (SELECT doc_id, lang, hit, n_chars, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a, coalesce(strlen(text) || ':' || text, '-') AS z FROM d),
+    l AS (SELECT *, sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || z) AS leaf, sha256(a || coalesce(strlen((n_chars + hit::INT)::VARCHAR) || ':' || (n_chars + hit::INT), '-') || z) AS claimed FROM e),
+    g AS (SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS t FROM (SELECT DISTINCT lang FROM l)),
+    p AS (SELECT l.*, t, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS k FROM l JOIN g ON l.lang IS NOT DISTINCT FROM g.lang),
+    n(t, lvl, pos, h, size) AS (SELECT t, 0, pos, leaf, count(*) OVER (PARTITION BY t) FROM p
+        UNION ALL SELECT t, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(size) + 1) // 2 FROM n WHERE size > 1 GROUP BY t, lvl, pos // 2),
+    s AS (SELECT t, lvl AS height, h AS subroot FROM n WHERE size = 1),
+    u(lvl, pos, h, size) AS (SELECT 0, t, subroot, count(*) OVER () FROM s
+        UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(size) + 1) // 2 FROM u WHERE size > 1 GROUP BY lvl, pos // 2),
+    steps AS (SELECT k, n.lvl, n.h, n.pos < p.pos >> n.lvl AS is_left FROM p JOIN n ON n.t = p.t AND n.pos = xor(p.pos >> n.lvl, 1)
+        UNION ALL SELECT k, height + u.lvl, u.h, u.pos < p.t >> u.lvl FROM p JOIN s ON s.t = p.t JOIN u ON u.pos = xor(p.t >> u.lvl, 1)),
+    f(k, lvl, h) AS (SELECT k, 0, claimed FROM p
+        UNION ALL SELECT f.k, f.lvl + 1, sha256(CASE WHEN steps.is_left THEN steps.h || f.h ELSE f.h || coalesce(steps.h, '') END) FROM f JOIN p ON p.k = f.k JOIN s ON s.t = p.t LEFT JOIN steps ON steps.k = f.k AND steps.lvl = f.lvl WHERE f.lvl < height + (SELECT max(lvl) FROM u)),
+    proofs AS (SELECT k, sha256(string_agg(h, '' ORDER BY lvl)) AS proof_sha256 FROM steps GROUP BY k)
+    SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+    FROM p JOIN s ON s.t = p.t JOIN (SELECT h AS root, lvl AS top FROM u WHERE size = 1) ON true JOIN f ON f.k = p.k AND f.lvl = height + top LEFT JOIN proofs ON proofs.k = p.k""",
 }
