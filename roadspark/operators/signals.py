@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,34 +115,64 @@ def approach_weights(queue: DataFrame) -> DataFrame:
     return queue.where("waited_sec > 0").groupBy("t", "junction_id", "way_id").agg(F.sum(F.col("waited_sec") * weight).alias("weight"))
 
 
+def lamps_of(green: Column, way: Column) -> Column:
+    """The lamps an override turns green, as way:movement in order, comma-joined; of the older form both movements of its way."""
+    named = F.transform(green, lambda g: F.concat_ws(":", F.trim(g["wayId"]), F.trim(g["movement"])))
+    old = F.when(F.trim(way) != "", F.array(F.concat(F.trim(way), F.lit(":right")), F.concat(F.trim(way), F.lit(":through"))))
+    return F.array_join(F.array_sort(F.coalesce(named, old, F.array().cast("array<string>"))), ",")
+
+
+def _fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Events of stretches (node_id, epoch) in order -> what each changes. Remembers one hold."""
+    where, held = None, None
+    for pdf in parts:
+        rows = []
+        for node, epoch, e, action, force, token, controller, lamps in pdf.itertuples(index=False):
+            if (node, epoch) != where:
+                where, held = (node, epoch), None
+            mine = held is not None and held[0] == token
+            if action == "override":
+                if held is not None and not mine and not force:
+                    rows.append((node, "rejected", token, controller, held[1], e, lamps))
+                    continue
+                if held is not None and not mine:
+                    rows.append((node, "end", *held[:1], held[2], held[1], e, held[3]))
+                rows.append((node, "change" if mine else "begin", token, controller, held[1] if mine else e, e, lamps))
+                held = (token, held[1] if mine else e, controller, lamps)
+            elif held is not None and (mine or force or action == "release_all"):
+                rows.append((node, "end", held[0], held[2], held[1], e, held[3]))
+                held = None
+        yield pd.DataFrame(rows, columns=["node_id", "what", "token", "controller", "since", "event_id", "lamps"])
+
+
+def override_log(events: DataFrame) -> DataFrame:
+    """node_id, what (begin, change, end, rejected), token, controller, since, event_id, lamps: what each event changes, in the order of event_id.
+
+    events: event_id, action (override, release, release_all), node_id, token, controller, force,
+    green_lamps array<struct<wayId, movement>>, way_id (the older form). An override of a node that another token holds
+    is rejected unless forced; the same token changes its lamps and keeps its since; a release by another token counts only if
+    forced. since is the id of the event that began the hold; an end shows the lamps last held.
+
+    A node's events are cut where its state is surely none (after a forced release or a release of all), and each stretch is folded
+    in order by a task that remembers one hold.
+    """
+    freed = ((F.col("action") == "release") & F.coalesce("force", F.lit(False))) | (F.col("action") == "release_all")
+    w = Window.partitionBy("node_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    force, who = F.coalesce("force", F.lit(False)).alias("force"), F.coalesce("controller", F.lit("unknown")).alias("controller")
+    rows = events.select("node_id", "event_id", "action", force, "token", who, lamps_of(F.col("green_lamps"), F.col("way_id")).alias("lamps"))
+    cut = rows.withColumn("epoch", F.coalesce(F.sum(freed.cast("long")).over(w), F.lit(0)))
+    ordered = cut.repartition("node_id", "epoch").sortWithinPartitions("node_id", "epoch", "event_id").select("node_id", "epoch", "event_id", "action", "force", "token", "controller", "lamps")
+    return ordered.mapInPandas(_fold, "node_id string, what string, token string, controller string, since long, event_id long, lamps string")
+
+
 def override_holds(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(holds[node_id, token, since, until, seq], rejected[event_id, node_id, reason]) by folding each node's events in order.
+    """(holds[node_id, token, controller, since, until, lamps], rejected[event_id, node_id, reason]) of override_log.
 
-    events: event_id, action (override, release, release_all), force, node_id, token. An override of a node that another
-    token holds is rejected unless forced; the same token keeps its since; a release by another token changes nothing.
+    until is null for holds that last; lamps are those last held. A release of all must come as a row of each node.
     """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, holder, since = [], None, None
-        node = pdf["node_id"].iloc[0]
-        for e in pdf.sort_values("event_id").itertuples():
-            if e.action == "override":
-                if holder is not None and holder != e.token and not e.force:
-                    rows.append(("rejected", e.event_id, node, e.token, None, None))
-                elif holder != e.token:
-                    if holder is not None:
-                        rows.append(("hold", since, node, holder, since, e.event_id))
-                    holder, since = e.token, e.event_id
-            elif holder is not None and (e.action == "release_all" or holder == e.token):
-                rows.append(("hold", since, node, holder, since, e.event_id))
-                holder, since = None, None
-        if holder is not None:
-            rows.append(("hold", since, node, holder, since, None))
-        return pd.DataFrame(rows, columns=["what", "event_id", "node_id", "token", "since", "until"]).astype({"event_id": "Int64", "since": "Int64", "until": "Int64"})
-
-    folded = events.groupBy("node_id").applyInPandas(fold, "what string, event_id long, node_id string, token string, since long, until long")
-    return folded.where("what = 'hold'").select("node_id", "token", "since", "until"), folded.where("what = 'rejected'").select("event_id", "node_id", F.lit("held by another").alias("reason"))
+    log = override_log(events)
+    holds = log.where("what <> 'rejected'").groupBy("node_id", "token", "since").agg(F.max(F.when(F.col("what") == "end", F.col("event_id"))).alias("until"), F.max_by("controller", F.struct("event_id", "what")).alias("controller"), F.max_by("lamps", F.struct("event_id", "what")).alias("lamps"))
+    return holds.select("node_id", "token", "controller", "since", "until", "lamps"), log.where("what = 'rejected'").select("event_id", "node_id", F.lit("held by another").alias("reason"))
 
 
 def preempt_episodes(requests: DataFrame, gap: float = C.PREEMPT_GAP_SEC, clear: float = C.PREEMPT_CLEAR_SEC) -> DataFrame:

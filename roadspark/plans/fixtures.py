@@ -130,7 +130,10 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, action, force, node_id, token."""
+    """event_id, action, force, node_id, token, controller, green_lamps, way_id: a third in the older form, some of them all red."""
     return _read(spark, sf_dir, "events").where("event_type IN ('click', 'purchase', 'signup')").selectExpr(
-        "event_id", "CASE event_type WHEN 'signup' THEN 'release' ELSE 'override' END AS action", "event_type = 'purchase' AS force", "concat('n', event_id % 20) AS node_id", "concat('t', user_id % 5) AS token"
-    )
+        "event_id", "CASE event_type WHEN 'signup' THEN 'release' ELSE 'override' END AS action", "event_type = 'purchase' OR event_type = 'signup' AND event_id % 7 = 0 AS force",
+        "concat('n', event_id % 20) AS node_id", "concat('t', user_id % 5) AS token", "concat('c', user_id % 3) AS controller",
+        "CASE WHEN event_id % 3 <> 0 THEN array(named_struct('wayId', concat('h', event_id % 4), 'movement', CASE WHEN event_id % 2 = 0 THEN 'through' ELSE 'right' END)) END AS green_lamps",
+        "CASE WHEN event_id % 15 <> 0 THEN concat('v', event_id % 4) END AS way_id",
+    )

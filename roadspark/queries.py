@@ -354,14 +354,6 @@ def approach_weights(s, d):
     return L.approach_weights(q).select("t", "junction_id", "way_id", *r4("weight"))
 
 
-@query("override_holds", """WITH ev AS (SELECT event_id, 'n' || event_id % 20 AS node_id, 't' || user_id % 5 AS token, event_type = 'purchase' AS force, event_type = 'signup' AS rel, row_number() OVER (PARTITION BY event_id % 20 ORDER BY event_id) AS i FROM events WHERE event_type IN ('click', 'purchase', 'signup')),
-    f AS (SELECT node_id, i, CASE WHEN rel THEN NULL ELSE token END AS h, false AS rej, event_id FROM ev WHERE i = 1 UNION ALL
-      SELECT e.node_id, e.i, CASE WHEN e.rel THEN CASE WHEN f.h = e.token THEN NULL ELSE f.h END WHEN f.h IS NULL OR f.h = e.token OR e.force THEN e.token ELSE f.h END, NOT e.rel AND f.h IS NOT NULL AND f.h <> e.token AND NOT e.force, e.event_id FROM f JOIN ev e ON e.node_id = f.node_id AND e.i = f.i + 1),
-    c AS (SELECT *, lag(h) OVER (PARTITION BY node_id ORDER BY i) AS before FROM f), x AS (SELECT node_id, h AS token, event_id AS since, i, lead(event_id) OVER (PARTITION BY node_id ORDER BY i) AS until FROM c WHERE h IS DISTINCT FROM before)
-    SELECT node_id, token, since, until FROM x WHERE token IS NOT NULL""", recursive=True)
-def override_holds(s, d):
-    return L.override_holds(X.overrides(s, d))[0]
-
 
 @query("preempt_episodes", """WITH q AS (SELECT user_id % 40 AS junction_id, event_id % 300 AS t, event_type AS way_id FROM events), f AS (SELECT *, CASE WHEN t - lag(t) OVER w < 5 THEN 0 ELSE 1 END AS n FROM q WINDOW w AS (PARTITION BY junction_id ORDER BY t, way_id)), e AS (SELECT *, sum(n) OVER (PARTITION BY junction_id ORDER BY t, way_id ROWS UNBOUNDED PRECEDING) AS ep FROM f)
     SELECT junction_id, min(t) AS start, min(t) + 5.0::DOUBLE AS clear_until, max(t) + 5.0::DOUBLE AS hold_until, max(way_id) FILTER (t = mt) AS way_id FROM (SELECT *, max(t) OVER (PARTITION BY junction_id, ep) AS mt FROM e) GROUP BY junction_id, ep""")

@@ -52,4 +52,4 @@ def run_once(stream: DataFrame, where: str, mode: str = "complete") -> DataFrame
         batch.write.mode("overwrite").parquet(f"{run}/out" if mode == "complete" else f"{run}/out/epoch={epoch}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{run}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{run}/out")
+    return spark.read.schema(stream.schema).parquet(f"{run}/out").select(*stream.columns)

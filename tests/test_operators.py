@@ -72,7 +72,9 @@ def test_verify_distances(spark):
 
 def test_override_rules(spark):
     e = [(1, "override", False, "n", "a"), (2, "override", False, "n", "b"), (3, "release", False, "n", "b"), (4, "override", True, "n", "b"), (5, "override", False, "n", "b"), (6, "release_all", False, "n", "x")]
-    holds, rejected = signals.override_holds(spark.createDataFrame(e, "event_id long, action string, force boolean, node_id string, token string"))
+    lamps = "CAST(NULL AS string) AS controller", "CAST(NULL AS array<struct<wayId:string,movement:string>>) AS green_lamps", "IF(event_id = 4, ' w ', NULL) AS way_id"
+    holds, rejected = signals.override_holds(spark.createDataFrame(e, "event_id long, action string, force boolean, node_id string, token string").selectExpr("*", *lamps))
+    assert sorted((r.token, r.controller, r.lamps) for r in holds.collect()) == [("a", "unknown", ""), ("b", "unknown", "")]  # event 5 changes b's hold to all red
     assert sorted((r.token, r.since, r.until) for r in holds.collect()) == [("a", 1, 4), ("b", 4, 6)]
     assert [r.event_id for r in rejected.collect()] == [2]
 
