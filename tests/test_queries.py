@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from roadspark.queries_live import ORACLE_SQL, QUERIES
+from roadspark.queries_edits import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
