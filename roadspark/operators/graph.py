@@ -167,53 +167,63 @@ def weak_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def shortest_paths(edges: DataFrame, od: DataFrame, most_rounds: int = 2000, hops: int = 3, paths: bool = False) -> DataFrame:
-    """od_id, found, cost_sec: the least cost from src to dst for every row of od (od_id, src, dst); with paths also path.
-
-    Distinct origins relax their frontiers together: edges are joined on the node, the least cost for each (origin, node)
-    stays, and only improved ones go on. A stored round takes several hops; rounds end when nothing improves. A path is
-    walked back from its end, a stored round for a node: of the nodes before that keep the cost, the least id is taken.
-    """
-    arcs = stored(edges.groupBy("src", "dst").agg(F.min("weight_sec").alias("w")), "arcs")
-    best = stored(od.select(F.col("src").alias("origin"), F.col("src").alias("node"), F.lit(0.0).alias("cost")).distinct(), "costs")
+def _relaxed(arcs: DataFrame, od: DataFrame, hops: int) -> DataFrame:
+    """origin, node, cost, hops, before: the least (cost, hops, node before) for each node that some origin's search had to reach."""
+    least = lambda df: df.groupBy("origin", "node").agg(F.min(F.struct("cost", "hops", "before")).alias("b")).select("origin", "node", "b.*")
+    wanted = stored(od.select(F.col("src").alias("origin"), F.col("dst").alias("node")).distinct(), "wanted")
+    kind = dict(arcs.dtypes)["src"]
+    best = stored(wanted.select("origin").distinct().select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast(kind).alias("before")), "costs")
     front = best
-    for _ in range(most_rounds):
-        reached, went = front, None
+    while not front.isEmpty():
+        # what costs more than all of an origin's destinations, once all are reached, can't lie on a way to them
+        reached = wanted.join(best.select("origin", "node", "cost"), ["origin", "node"], "left").groupBy("origin").agg(F.when(F.count("cost") == F.count(F.lit(1)), F.max("cost")).otherwise(float("inf")).alias("bound"))
+        now, went = front.join(reached, "origin"), None
         for _ in range(hops):
-            reached = reached.join(arcs, reached["node"] == arcs["src"]).select("origin", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost")).groupBy("origin", "node").agg(F.min("cost").alias("cost"))
-            went = reached if went is None else went.unionByName(reached)
-        least = went.groupBy("origin", "node").agg(F.min("cost").alias("cost"))
-        better = stored(least.join(best.withColumnRenamed("cost", "had"), ["origin", "node"], "left").where("had is null or cost < had - 1e-9").select("origin", "node", "cost"), "front")
-        if better.isEmpty():
-            break
-        last, best = best, stored(best.join(better.select("origin", "node"), ["origin", "node"], "left_anti").unionByName(better), "costs")
+            step = now.join(arcs, now["node"] == arcs["src"]).select("origin", "bound", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("before")).where("cost <= bound")
+            now = step.groupBy("origin", "bound", "node").agg(F.min(F.struct("cost", "hops", "before")).alias("b")).select("origin", "bound", "node", "b.*")
+            went = now if went is None else went.unionByName(now)
+        had = best.select("origin", "node", F.struct("cost", "hops", "before").alias("had"))
+        found = least(went.drop("bound")).join(had, ["origin", "node"], "left")
+        front = stored(found.where(F.col("had").isNull() | (F.struct("cost", "hops", "before") < F.col("had"))).drop("had"), "front")
+        last, best = best, stored(best.join(front.select("origin", "node"), ["origin", "node"], "left_anti").unionByName(front), "costs")
         discard(last)
-        front = better
-    else:
-        raise RuntimeError("shortest paths did not settle")
-    costs = od.select("od_id", "src", "dst").join(best.select(F.col("origin").alias("src"), F.col("node").alias("dst"), "cost"), ["src", "dst"], "left")
+    return best
+
+
+def _walked(best: DataFrame, ends: DataFrame) -> DataFrame:
+    """od_id, path: the nodes before each end (od_id, origin, node, hops), by jumps of 2^k nodes, the longest first."""
+    jump = best.where("before IS NOT NULL").select("origin", "node", "before")
+    levels, longest = [stored(jump, "jumps")], ends.agg(F.max("hops")).first()[0] or 0
+    while 2 << (len(levels) - 1) <= longest:
+        last = levels[-1]
+        levels.append(stored(last.join(last.select("origin", F.col("node").alias("before"), F.col("before").alias("far")), ["origin", "before"]).select("origin", "node", F.col("far").alias("before")), "jumps"))
+    met = ends.select("od_id", "origin", "node", "hops")
+    for k in range(len(levels) - 1, -1, -1):
+        further = met.join(levels[k], ["origin", "node"]).select("od_id", "origin", F.col("before").alias("node"), (F.col("hops") - (1 << k)).alias("hops"))
+        met = stored(met.unionByName(further), "met")
+    return met.groupBy("od_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("hops", "node"))), lambda e: e["node"]).alias("path"))
+
+
+def shortest_paths(edges: DataFrame, od: DataFrame, hops: int = 3, paths: bool = False) -> DataFrame:
+    """od_id, found, cost_sec: the least cost from src to dst for every row of od (od_id, src, dst); with paths also path.
+
+    Of equal costs the path of fewest hops counts, then the one through the least node before its end, and so on back. Weights
+    are not negative; zero is allowed. A row from a node to itself costs nothing and has that node as its path; rows without a
+    way are not found and have an empty path; od_id is distinct.
+
+    Distinct origins relax their frontiers together: edges are joined on the node, the least (cost, hops, node before) for each
+    (origin, node) stays, and only improved ones go on, no further than the origin's farthest destination. A stored round
+    takes several hops; rounds end when nothing improves. Paths are read back by jumps that double, so a path of n nodes takes
+    log2 n joins.
+    """
+    arcs = stored(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("weight_sec").alias("w")), "arcs")
+    best = _relaxed(arcs, od, hops)
+    costs = od.select("od_id", F.col("src").alias("origin"), F.col("dst").alias("node")).join(best.select("origin", "node", "cost", "hops"), ["origin", "node"], "left")
+    found = costs.select("od_id", F.col("cost").isNotNull().alias("found"), F.col("cost").alias("cost_sec"))
     if not paths:
-        return costs.select("od_id", F.col("cost").isNotNull().alias("found"), F.col("cost").alias("cost_sec"))
-    # each reached node's predecessor: among nodes whose cost and arc add up to its own, the least
-    to, at = best.select("origin", F.col("node").alias("dst"), F.col("cost").alias("total")), best.select("origin", F.col("node").alias("src"), "cost")
-    tight = at.join(arcs, "src").join(to, ["origin", "dst"]).where("origin <> dst and abs(cost + w - total) <= 1e-9 * greatest(1.0D, total) and cost < total")
-    back = stored(tight.groupBy("origin", F.col("dst").alias("node")).agg(F.min("src").alias("before")), "back")
-    walk = stored(costs.where("cost is not null").select("od_id", F.col("src").alias("origin"), F.col("dst").alias("node"), F.array("dst").alias("path")), "walk")
-    whole = []
-    for _ in range(most_rounds * hops):
-        whole.append(stored(walk.where("node = origin").select("od_id", "path"), "paths"))
-        going = walk.where("node <> origin")
-        if going.isEmpty():
-            break
-        for _ in range(hops):  # a walk that has arrived stays where it is
-            step = going.join(back, ["origin", "node"], "left")
-            going = step.select("od_id", "origin", F.coalesce("before", "node").alias("node"), F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat(F.array("before"), F.col("path"))).alias("path"))
-        last, walk = walk, stored(going, "walk")
-        discard(last)
-    done = whole[0]
-    for w in whole[1:]:
-        done = done.unionByName(w)
-    return costs.join(done, "od_id", "left").select("od_id", F.col("cost").isNotNull().alias("found"), F.col("cost").alias("cost_sec"), F.coalesce("path", F.array().cast("array<string>")).alias("path"))
+        return found
+    ends = stored(costs.where("cost IS NOT NULL").select("od_id", "origin", "node", "hops"), "ends")
+    return found.join(_walked(best, ends), "od_id", "left").withColumn("path", F.coalesce("path", F.array().cast(f"array<{dict(edges.dtypes)['src']}>")))
 
 
 def verify_distances(a: DataFrame, b: DataFrame, rel_tol: float = 1e-6) -> DataFrame:

@@ -34,23 +34,45 @@ def strong(arcs):
     return max(groups, key=lambda g: (len(g), [-ord(c) for c in min(g)])), groups
 
 
-@pytest.mark.parametrize("seed", [2])
-def test_paths(spark, seed):
-    arcs = graph(seed, 12, 24)
+def least_path(arcs, src):
+    """The least (cost, hops) of each node, and the path that ties decide backward by the least node before."""
+    best = {src: (0.0, 0, "")}
+    for _ in range(len({x for a, b, _ in arcs for x in (a, b)}) + 1):
+        for a, b, w in arcs:
+            if a in best and a != b and b != src:
+                best[b] = min(best.get(b, (float("inf"), 0, "")), (best[a][0] + w, best[a][1] + 1, a))
+    out = {}
+    for n in best:
+        path = [n]
+        while path[-1] != src:
+            path.append(best[path[-1]][2])
+        out[n] = (best[n][0], path[::-1])
+    return out
+
+
+def test_paths_by_joins_and_by_search(spark):
+    """Zero weights and ties everywhere: both ways give the same path."""
+    draw = random.Random(2)
+    arcs = [(f"n{draw.randrange(14)}", f"n{draw.randrange(14)}", float(draw.choice((0, 0, 1, 1, 2, 5)))) for _ in range(34)]
     edges = spark.createDataFrame(arcs, "src string, dst string, weight_sec double")
-    od = [(k, f"n{k % 12}", f"n{k * 5 % 12}") for k in range(24)]
+    od = [(k, f"n{k % 14}", f"n{k * 5 % 15}") for k in range(60)] + [(60, "nowhere", "n1"), (61, "lost", "lost")]
     table = spark.createDataFrame(od, "od_id long, src string, dst string")
     by_joins = {r.od_id: r for r in G.shortest_paths(edges, table, paths=True).collect()}
     by_search = {r.od_id: r for r in P.route_paths(edges, table).collect()}
-    beyond = {r.od_id: r.cost_sec for r in P.route_paths(edges, table, most_edges=0).collect()}
+    beyond = {r.od_id: r for r in P.route_paths(edges, table, most_edges=0).collect()}
+    costs_only = {r.od_id: r.cost_sec for r in G.shortest_paths(edges, table).collect()}
     for k, a, b in od:
-        want = costs(arcs, a).get(b)
-        assert by_joins[k].cost_sec == by_search[k].cost_sec == beyond[k] == want
-        for got in (by_joins[k], by_search[k]):
-            assert got.found == (want is not None)
-            if want is not None:
-                assert got.path[0] == a and got.path[-1] == b
-                assert sum(min(w for x, y, w in arcs if (x, y) == hop) for hop in zip(got.path, got.path[1:])) == want
+        cost, path = least_path(arcs, a).get(b, (None, []))
+        assert [tuple(x[k]) for x in (by_joins, by_search, beyond)] == [(k, cost is not None, cost, path)] * 3
+        assert costs_only[k] == cost
+
+
+def test_zero_arcs_and_a_long_path(spark):
+    arcs = [("a", "b", 1.0), ("b", "c", 0.0), ("c", "d", 1.0)] + [(f"p{k}", f"p{k + 1}", 0.5) for k in range(60)] + [("p0", "p60", 1000.0)]
+    od = [(1, "a", "c"), (2, "a", "d"), (3, "p0", "p60"), (4, "p60", "p0")]
+    got = {r.od_id: r for r in G.shortest_paths(spark.createDataFrame(arcs, "src string, dst string, weight_sec double"), spark.createDataFrame(od, "od_id long, src string, dst string"), hops=20, paths=True).collect()}
+    assert (got[1].path, got[2].path, got[3].path, got[4].path) == (["a", "b", "c"], ["a", "b", "c", "d"], [f"p{k}" for k in range(61)], [])
+    assert got[3].cost_sec == 30.0 and not got[4].found
 
 
 @pytest.mark.parametrize("seed", [3])
