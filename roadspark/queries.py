@@ -441,13 +441,20 @@ def dispatch_top(s, d):
     return V.dispatch_top(X.incidents(s, d), V.latest_wins_upsert(f, None, "vehicle_id", "t"), 2, 600.0).select("incident_id", "type", "vehicle_id", F.col("rank").cast("long").alias("rank"), *r4("dist_m"))
 
 
-@query("close_pairs", """WITH p AS (SELECT t, vehicle_id AS id, edge * 40.0 + dist AS x, lane * 3.0 AS y FROM st) SELECT a.t, a.id AS id_a, b.id AS id_b, round(sqrt((a.x - b.x)^2 + (a.y - b.y)^2), 4) AS dist_m FROM p a JOIN p b ON a.t = b.t AND a.id < b.id WHERE (a.x - b.x)^2 + (a.y - b.y)^2 < 400""")
+def _celled(columns: str, cell: int) -> str:
+    """p: states with a place, k: their cells, a: each state in its own and the eight cells around."""
+    return f"""p AS (SELECT t, vehicle_id AS id, {columns} FROM st), k AS (SELECT *, floor(x / {cell}) AS cx, floor(y / {cell}) AS cy FROM p),
+    a AS (SELECT k.* REPLACE (cx + i AS cx, cy + j AS cy) FROM k, (VALUES (-1), (0), (1)) AS q(i), (VALUES (-1), (0), (1)) AS z(j))"""
+
+
+@query("close_pairs", f"""WITH {_celled("edge * 40.0 + dist AS x, lane * 3.0 AS y", 20)} SELECT t, a.id AS id_a, k.id AS id_b, round(sqrt((a.x - k.x)^2 + (a.y - k.y)^2), 4) AS dist_m FROM a JOIN k USING (t, cx, cy) WHERE a.id < k.id AND (a.x - k.x)^2 + (a.y - k.y)^2 < 400""")
 def close_pairs(s, d):
     p = X.states(s, d).selectExpr("t", "vehicle_id AS id", "CAST(edge * 40 + dist AS DOUBLE) AS x", "CAST(lane * 3 AS DOUBLE) AS y")
     return J.close_pairs(p, 20.0).select("t", "id_a", "id_b", *r4("dist_m"))
 
 
-@query("vision_cone", """WITH p AS (SELECT t, vehicle_id AS id, edge * 40.0 + dist AS x, lane * 3.0 AS y, 0.1 * (vehicle_id % 60) AS h FROM st), q AS (SELECT a.t, a.id, b.id AS other_id, sqrt((a.x - b.x)^2 + (a.y - b.y)^2) AS d, atan2(b.y - a.y, b.x - a.x) - a.h AS u FROM p a JOIN p b ON a.t = b.t AND a.id <> b.id),
+@query("vision_cone", f"""WITH {_celled("edge * 40.0 + dist AS x, lane * 3.0 AS y, 0.1 * (vehicle_id % 60) AS h", 50)},
+    q AS (SELECT t, a.id, k.id AS other_id, sqrt((a.x - k.x)^2 + (a.y - k.y)^2) AS d, atan2(k.y - a.y, k.x - a.x) - a.h AS u FROM a JOIN k USING (t, cx, cy) WHERE a.id <> k.id),
     z AS (SELECT *, u - 2 * pi() * floor((u + pi()) / (2 * pi())) AS w FROM q WHERE d <= 50) SELECT t, id, other_id, round(d, 4) AS dist_m FROM z WHERE abs(w) <= 0.45""")
 def vision_cone(s, d):
     p = X.states(s, d).selectExpr("t", "vehicle_id AS id", "CAST(edge * 40 + dist AS DOUBLE) AS x", "CAST(lane * 3 AS DOUBLE) AS y", "0.1D * (vehicle_id % 60) AS heading")
