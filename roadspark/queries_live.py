@@ -13,6 +13,7 @@ from roadspark.plans.store import shared_dir
 from roadspark.queries import query
 from roadspark.queries_roads import ORACLE_SQL, QUERIES
 from roadspark.streaming import live as W
+from roadspark.streaming import sink as K
 from roadspark.streaming import states as Z
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -128,3 +129,13 @@ def override_stream(s, d):
     events = X.overrides(s, d).withColumn("ts", F.timestamp_seconds(F.col("event_id") + EPOCH))
     last = events.limit(1).selectExpr("1000000000L AS event_id", "'release' AS action", "false AS force", "'' AS node_id", "'' AS token", "'' AS controller", "CAST(NULL AS array<struct<wayId:string,movement:string>>) AS green_lamps", "CAST(NULL AS string) AS way_id", "timestamp_seconds(4000000000L) AS ts")
     return W.run_once(Z.override_stream(as_stream(events.repartitionByRange(6, "event_id"), last), "1 day"), shared_dir(s), "append")
+
+
+@query("upsert_sink", "SELECT DISTINCT ON (vehicle_id) vehicle_id, t, x, y FROM fx ORDER BY vehicle_id, t DESC")
+def upsert_sink(s, d):
+    """The last fix of each vehicle, by a stream into a keyed table of 8 buckets."""
+    fixes = X.fixes(s, d).select("vehicle_id", "t", "x", "y")
+    where = f"{shared_dir(s)}/keyed-{uuid.uuid4().hex}"
+    stream = as_stream(fixes.repartition(3)).writeStream.option("checkpointLocation", f"{where}/state")
+    stream.foreachBatch(K.upsert_sink(f"{where}/table", "vehicle_id", "t", 8)).trigger(availableNow=True).start().awaitTermination()
+    return K.read_keyed(s, f"{where}/table", "vehicle_id", "t", fixes.schema)

@@ -1,4 +1,4 @@
-"""Streams of fixes and states: latest position, sessions, windows per edge, and a keyed upsert sink."""
+"""Streams of fixes and states: latest position, sessions, windows per edge."""
 
 from __future__ import annotations
 
@@ -28,21 +28,6 @@ def edge_window_stream(states: DataFrame, size: str, slide: str | None = None, l
     return states.withWatermark("ts", lateness).groupBy(w.alias("w"), "edge").agg(F.count(F.lit(1)).alias("n"), F.avg("speed_mps").alias("avg_mps")).select("edge", F.col("w.start").alias("start"), "n", "avg_mps")
 
 
-def upsert_sink(path: str, key: str, order: str):
-    """A foreachBatch function that merges each batch into a Parquet table, the newest row of a key winning.
-
-    Each version is a folder of its own, so a batch that is repeated after a failure replaces only itself.
-    """
-    from roadspark.operators.telemetry import latest_wins_upsert
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/v{epoch - 1}") if epoch else None
-        latest_wins_upsert(batch, before, key, order).write.mode("overwrite").parquet(f"{path}/v{epoch}")
-
-    return write
-
-
 def run_once(stream: DataFrame, where: str, mode: str = "complete") -> DataFrame:
     """All that is there now through a streaming query into the folder `where`; its last result as a table."""
     spark: SparkSession = stream.sparkSession

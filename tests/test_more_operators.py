@@ -2,12 +2,13 @@
 
 import itertools
 import math
+from hashlib import sha256
 
 from pyspark.sql import functions as F
 
 from roadspark.operators import edits, routes, telemetry
 from roadspark.sources.files import parse_state_ticks, read_osm, read_trips, write_trips
-from roadspark.streaming.live import upsert_sink
+from roadspark.streaming.sink import Part, outweighed, read_keyed, upsert_sink
 
 OSM = """<?xml version="1.0"?><osm><bounds minlat="1" minlon="2" maxlat="3" maxlon="4"/>
 <node id="1" lat="1.5" lon="2.5"/><node id="2" lat="1.6" lon="2.6"><tag k="amenity" v="cafe"/></node><node id="3" lat="1.7" lon="2.7"/>
@@ -84,12 +85,32 @@ def test_state_ticks(spark):
 
 
 def test_upsert_sink_keeps_the_newest(spark, tmp_path):
-    write = upsert_sink(f"{tmp_path}/t", "k", "t")
-    write(spark.createDataFrame([("a", 5, "x"), ("b", 1, "y")], "k string, t long, v string"), 0)
-    late = spark.createDataFrame([("a", 4, "late"), ("b", 2, "new")], "k string, t long, v string")
-    write(late, 1)
-    write(late, 1)
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/t/v1").collect())) == [("a", 5, "x"), ("b", 2, "new")]
+    where, schema = f"{tmp_path}/t", "k string, t long, v string"
+    write = upsert_sink(where, "k", "t", buckets=4)
+    table = lambda: sorted(map(tuple, read_keyed(spark, where, "k", "t", spark.createDataFrame([], schema).schema).collect()), key=str)
+    size = lambda: sum(f.stat().st_size for f in tmp_path.rglob("part-*") if "manifest" not in str(f))
+    assert table() == []
+    write(spark.createDataFrame([(f"k{i}", 5, sha256(str(i).encode()).hexdigest()) for i in range(4000)] + [(None, 1, "none")], schema), 0)
+    first, want = size(), {f"k{i}": (f"k{i}", 5, sha256(str(i).encode()).hexdigest()) for i in range(4000)} | {None: (None, 1, "none")}
+    for epoch in range(1, 7):
+        rows = [("k7", 5, f"tie{epoch}"), ("k8", 4, "late"), (f"k{epoch}", 6, "new"), (f"n{epoch}", 1, "added")]
+        before = size()
+        write(spark.createDataFrame(rows, schema), epoch)
+        assert size() - before < first / 10  # a batch writes in proportion to itself
+        if epoch == 3:
+            write(spark.createDataFrame(rows, schema), epoch)  # repeated after a failure
+        want |= {r[0]: r for r in rows if r[1] >= want.get(r[0], (0, 0))[1]}
+        if epoch in (3, 6):
+            assert table() == sorted(want.values(), key=str)
+    write(spark.createDataFrame([], schema), 7)
+    assert table() == sorted(want.values(), key=str)
+    assert len(list((tmp_path / "t/manifest").iterdir())) == 2
+
+
+def test_parts_shrink_by_half():
+    part = lambda *rows: [Part(0, "rows", k, n) for k, n in enumerate(rows)]
+    assert outweighed(part(100, 30, 10)) == [] and outweighed(part(5)) == []
+    assert [p.rows for p in outweighed(part(100, 30, 20, 10))] == [30, 20, 10] and [p.rows for p in outweighed(part(3, 60, 57))] == [60, 57, 3]
 
 
 def test_incident_states(spark):
