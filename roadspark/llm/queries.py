@@ -64,9 +64,9 @@ def op6_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = (turns.agg(F.max("turn")).first()[0] or 0) + 1
     played = turns.withColumn("rec_id", F.col("conv_id") * wide + F.col("turn"))
     conv = F.floor(F.col("rec_id") / wide)
-    index = stored(fingerprint_played(played, "rec_id", "text"), "index")
-    queries = stored(fingerprint_played(played.where("conv_id % 20 = 0"), "rec_id", "text", "sample"), "queries")
-    return search_report(index, queries).select(conv.alias("conv_id"), (F.col("rec_id") - conv * wide).alias("turn"), "*")
+    prints = stored(fingerprint_played(played, "rec_id", "text", F.col("conv_id") % 20 == 0), "prints")
+    queries = prints.where("sample IS NOT NULL").select("rec_id", F.col("sample").alias("codes"))
+    return search_report(prints.select("rec_id", "codes"), queries).select(conv.alias("conv_id"), (F.col("rec_id") - conv * wide).alias("turn"), "*")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
