@@ -480,8 +480,8 @@ def test_played_fingerprints_are_those_of_the_recordings(spark):
     assert all(r.sample is None for r in played if r.rec_id % 2)
 
 
-def test_common_keys_get_longer(spark, monkeypatch):
-    """With room for few postings every query looks again with longer keys, and none is lost."""
+def test_common_keys_are_looked_up(spark, monkeypatch):
+    """Beyond the budget of places a query still looks up its rarest keys: no recording of a common passage is lost."""
     from roadspark.llm import media as M
 
     monkeypatch.setattr(M, "POSTINGS", 20)
