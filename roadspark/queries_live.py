@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from roadspark.operators import sessions as E
 from roadspark.operators import signals as L
+from roadspark.operators import timelines as I
 from roadspark.plans import fixtures as X
 from roadspark.plans.store import shared_dir
 from roadspark.queries import query
@@ -139,3 +140,28 @@ def upsert_sink(s, d):
     stream = as_stream(fixes.repartition(3)).writeStream.option("checkpointLocation", f"{where}/state")
     stream.foreachBatch(K.upsert_sink(f"{where}/table", "vehicle_id", "t", 8)).trigger(availableNow=True).start().awaitTermination()
     return K.read_keyed(s, f"{where}/table", "vehicle_id", "t", fixes.schema)
+
+
+_SECONDS = f"""{_FOLD}, hd AS (SELECT node_id, event_id, arg_max(what <> 'end', what <> 'end') AS held, arg_max(lamps, what <> 'end') AS lamps FROM lg WHERE what <> 'rejected' GROUP BY node_id, event_id),
+    gm AS (SELECT node_id, count(*) OVER (PARTITION BY r) AS n, row_number() OVER (PARTITION BY r ORDER BY k) - 1 AS i FROM sg WHERE r % 2 = 0),
+    tk AS (SELECT node_id, t FROM sg, range(0, 1500) AS q(t)),
+    st2 AS (SELECT tk.node_id, tk.t, coalesce(held, false) AS held, coalesce(lamps, '') AS lamps FROM tk ASOF LEFT JOIN hd ON hd.node_id = tk.node_id AND tk.t >= hd.event_id),
+    ck AS (SELECT *, t - coalesce(sum(held::INT) OVER (PARTITION BY node_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM st2),
+    own AS (SELECT ck.*, coalesce(n, 1) < 2 OR (c % (30 * n)) // 30 = i AS turn, CASE WHEN coalesce(n, 1) < 2 THEN c ELSE c % 30 END AS l FROM ck LEFT JOIN gm USING (node_id)),
+    lp AS (SELECT node_id, paired, green, step, w, p, isa, m FROM sg, LATERAL (VALUES ('h' || r, 0, true), ('v' || col, 1, true), ('h' || r || 'w', 0, false), ('v' || col || 's', 1, false), ('none', -1, true)) AS v(w, p, isa), (VALUES ('through'), ('right')) AS z(m)),
+    x AS (SELECT lp.*, own.t, held, list_contains(string_split(lamps, ','), w || ':' || m) AS lit, turn, l % (2 * (green + 5)) - p * (green + 5) AS o, l % (8 * step + 4) - p * (4 * step + 2) AS u,
+        CASE WHEN m = 'right' THEN CASE WHEN isa THEN step ELSE 3 * step END ELSE CASE WHEN isa THEN 2 * step ELSE 0 END END AS rs, CASE WHEN m = 'right' THEN 3 * step ELSE step END AS rl FROM lp JOIN own USING (node_id) WHERE own.t >= 100),
+    y AS (SELECT *, CASE WHEN held THEN CASE WHEN lit THEN 'green' ELSE 'red' END WHEN NOT turn OR p < 0 THEN 'red'
+        WHEN paired THEN CASE WHEN u < 0 OR u >= 4 * step OR (u - rs + 8 * step) % (4 * step) < rl THEN 'red' WHEN 4 * step - (u - rs + 8 * step) % (4 * step) <= 3 THEN 'yellow' ELSE 'green' END
+        ELSE CASE WHEN NOT isa OR o < 0 OR o >= green + 3 THEN 'red' WHEN o < green THEN 'green' ELSE 'yellow' END END AS color FROM x)
+    SELECT node_id, w AS way_id, m AS movement, count(*) FILTER (color = 'green')::DOUBLE AS green_sec, count(*) FILTER (color = 'yellow')::DOUBLE AS yellow_sec, count(*) FILTER (color = 'red')::DOUBLE AS red_sec FROM y GROUP BY node_id, w, m"""
+
+
+@query("lamp_seconds", _SECONDS, recursive=True)
+def lamp_seconds(s, d):
+    """Every lamp of every signal from second 100 to 1500: plans of both schemes, every other row's signals in turns, holds by all override events."""
+    sig = X.signals(s, d)
+    ways = F.explode(F.array(F.concat(F.lit("h"), "r"), F.concat(F.lit("v"), "col"), F.concat(F.lit("h"), "r", F.lit("w")), F.concat(F.lit("v"), "col", F.lit("s")), F.lit("none")))
+    lamps = sig.select("node_id", ways.alias("way_id")).withColumn("movement", F.explode(F.array(F.lit("through"), F.lit("right"))))
+    groups = X.signal_groups(s, d).where("CAST(substr(group_id, 2) AS INT) % 2 = 0")
+    return I.lamp_seconds(sig, lamps, 100, 1500, groups, I.hold_pieces(X.overrides(s, d)))
