@@ -170,13 +170,14 @@ def weak_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def _relaxed(arcs: DataFrame, od: DataFrame, hops: int) -> DataFrame:
     """origin, node, cost, hops, before: the least (cost, hops, node before) for each node that some origin's search had to reach."""
     least = lambda df: df.groupBy("origin", "node").agg(F.min(F.struct("cost", "hops", "before")).alias("b")).select("origin", "node", "b.*")
-    wanted = stored(od.select(F.col("src").alias("origin"), F.col("dst").alias("node")).distinct(), "wanted")
+    most = F.coalesce("most_sec", F.lit(float("inf"))) if "most_sec" in od.columns else F.lit(float("inf"))
+    wanted = stored(od.groupBy(F.col("src").alias("origin"), F.col("dst").alias("node")).agg(F.max(most).alias("most")), "wanted")
     kind = dict(arcs.dtypes)["src"]
     best = stored(wanted.select("origin").distinct().select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast(kind).alias("before")), "costs")
     front = best
     while not front.isEmpty():
-        # what costs more than all of an origin's destinations, once all are reached, can't lie on a way to them
-        reached = wanted.join(best.select("origin", "node", "cost"), ["origin", "node"], "left").groupBy("origin").agg(F.when(F.count("cost") == F.count(F.lit(1)), F.max("cost")).otherwise(float("inf")).alias("bound"))
+        # what costs more than all of an origin's destinations, as far as they are reached or may cost, can't lie on a way to them
+        reached = wanted.join(best.select("origin", "node", "cost"), ["origin", "node"], "left").groupBy("origin").agg(F.max(F.least("most", F.coalesce("cost", F.lit(float("inf"))))).alias("bound"))
         now, went = front.join(reached, "origin"), None
         for _ in range(hops):
             step = now.join(arcs, now["node"] == arcs["src"]).select("origin", "bound", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("before")).where("cost <= bound")
@@ -209,7 +210,8 @@ def shortest_paths(edges: DataFrame, od: DataFrame, hops: int = 3, paths: bool =
 
     Of equal costs the path of fewest hops counts, then the one through the least node before its end, and so on back. Weights
     are not negative; zero is allowed. A row from a node to itself costs nothing and has that node as its path; rows without a
-    way are not found and have an empty path; od_id is distinct.
+    way are not found and have an empty path; od_id is distinct. Where od has a column most_sec, only ways that cost less are
+    found, and only what costs no more is searched.
 
     Distinct origins relax their frontiers together: edges are joined on the node, the least (cost, hops, node before) for each
     (origin, node) stays, and only improved ones go on, no further than the origin's farthest destination. A stored round
@@ -218,7 +220,9 @@ def shortest_paths(edges: DataFrame, od: DataFrame, hops: int = 3, paths: bool =
     """
     arcs = stored(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("weight_sec").alias("w")), "arcs")
     best = _relaxed(arcs, od, hops)
-    costs = od.select("od_id", F.col("src").alias("origin"), F.col("dst").alias("node")).join(best.select("origin", "node", "cost", "hops"), ["origin", "node"], "left")
+    asked = od.select("od_id", F.col("src").alias("origin"), F.col("dst").alias("node"), (F.col("most_sec") if "most_sec" in od.columns else F.lit(None).cast("double")).alias("most"))
+    near = F.col("most").isNull() | (F.col("cost") < F.col("most"))
+    costs = asked.join(best.select("origin", "node", "cost", "hops"), ["origin", "node"], "left").withColumn("cost", F.when(near, F.col("cost")))
     found = costs.select("od_id", F.col("cost").isNotNull().alias("found"), F.col("cost").alias("cost_sec"))
     if not paths:
         return found

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspark.functions import constants as C
+from roadspark.plans.store import stored
 
 
 def parse_gps(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -187,6 +188,27 @@ def reroute_decisions(current: DataFrame, fresh: DataFrame, factor: float = 0.85
     return current.join(fresh, "vehicle_id", "left").select("vehicle_id", "current_sec", "new_sec", F.coalesce(F.col("new_sec") < factor * F.col("current_sec"), F.lit(False)).alias("switch"))
 
 
+def fresh_routes(vehicles: DataFrame, steps: DataFrame, edges: DataFrame, live: DataFrame, factor: float = 0.85, hops: int = 3) -> DataFrame:
+    """vehicle_id, current_sec, new_sec, switch, path: what is left of each vehicle's route, and a route that costs clearly less, if there is one.
+
+    vehicles: vehicle_id, step, dest_node, emergency, tracked; steps: vehicle_id, step, edge_id, is_junction; edges: edge_id, src, dst,
+    length_m, speed_mps; live: edge_id, live_mps. Costs are live ones. Left out are emergency and tracked vehicles, those inside a junction, on
+    their last step, or at the end of whose edge their destination is. new_sec and path are null and empty unless the
+    route from the end of the current edge costs less than factor of what is left: no search goes further than that.
+    """
+    from roadspark.operators.graph import shortest_paths
+
+    costs = live_edge_cost(edges, live)
+    priced = steps.join(edges.select("edge_id", F.col("dst").alias("to")), "edge_id").join(costs, "edge_id")
+    left = vehicles.where("NOT emergency AND NOT tracked").select("vehicle_id", F.col("step").alias("now"), "dest_node").join(priced, "vehicle_id").where("step >= now")
+    current = left.groupBy("vehicle_id", "dest_node").agg(F.max_by("to", -F.col("step")).alias("src"), F.max(F.when(F.col("step") == F.col("now"), F.col("is_junction"))).alias("inside"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("step") > F.col("now"), F.col("cost_sec"))).alias("current_sec"))
+    asked = stored(current.where("NOT inside AND n > 1 AND src <> dest_node").select("vehicle_id", "src", F.col("dest_node").alias("dst"), "current_sec"), "asked")
+    arcs = edges.join(costs, "edge_id").select("src", "dst", F.col("cost_sec").alias("weight_sec"))
+    od = asked.select(F.col("vehicle_id").alias("od_id"), "src", "dst", (factor * F.col("current_sec")).alias("most_sec"))
+    found = shortest_paths(arcs, od, hops, paths=True).select(F.col("od_id").alias("vehicle_id"), F.col("cost_sec").alias("new_sec"), "path")
+    return asked.select("vehicle_id", "current_sec").join(found, "vehicle_id").select("vehicle_id", "current_sec", "new_sec", F.col("new_sec").isNotNull().alias("switch"), "path")
+
+
 def queue_members(states: DataFrame, gates: DataFrame) -> DataFrame:
     """t, vehicle_id, edge, lane, since, waited_sec: vehicles standing in a lane that is held at its end.
 

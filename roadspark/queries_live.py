@@ -6,12 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from roadspark.operators import graph as G
+from roadspark.operators import mapbuild as M
 from roadspark.operators import sessions as E
 from roadspark.operators import signals as L
+from roadspark.operators import telemetry as V
 from roadspark.operators import timelines as I
 from roadspark.plans import fixtures as X
 from roadspark.plans.store import shared_dir
-from roadspark.queries import query
+from roadspark.queries import query, r4
 from roadspark.queries_roads import ORACLE_SQL, QUERIES
 from roadspark.streaming import live as W
 from roadspark.streaming import sink as K
@@ -165,3 +168,21 @@ def lamp_seconds(s, d):
     lamps = sig.select("node_id", ways.alias("way_id")).withColumn("movement", F.explode(F.array(F.lit("through"), F.lit("right"))))
     groups = X.signal_groups(s, d).where("CAST(substr(group_id, 2) AS INT) % 2 = 0")
     return I.lamp_seconds(sig, lamps, 100, 1500, groups, I.hold_pieces(X.overrides(s, d)))
+
+
+@query("fresh_routes", """WITH ed AS (SELECT src, dst, way_id, seq, f, weight * 10 / greatest(2.0, CASE CAST(regexp_extract(src, '[0-9]+') AS INT) % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 3.0 ELSE 10.0 END)::DOUBLE AS c FROM edge),
+    v AS (SELECT way_id, sum(c) FILTER (seq > 0) AS cur, max(dst) FILTER (seq = 0) AS src, arg_max(dst, seq) AS dst FROM ed WHERE f GROUP BY way_id HAVING max(seq) > 0),
+    arc AS MATERIALIZED (SELECT src, dst, min(c) AS c FROM ed GROUP BY src, dst),
+    r(v, n, c) USING KEY (v, n) AS (SELECT way_id, src, 0.0::DOUBLE FROM v UNION SELECT x.v, x.n, x.c FROM (SELECT r.v, arc.dst AS n, min(r.c + arc.c) AS c FROM r JOIN arc ON arc.src = r.n JOIN v ON v.way_id = r.v WHERE r.c + arc.c < 0.85 * cur GROUP BY r.v, arc.dst) x
+        LEFT JOIN recurring.r q ON q.v = x.v AND q.n = x.n WHERE q.c IS NULL OR x.c < q.c)
+    SELECT way_id AS vehicle_id, round(cur, 4) AS current_sec, round(c, 4) AS new_sec, c IS NOT NULL AS switch FROM v LEFT JOIN r ON r.v = v.way_id AND n = dst""", recursive=True)
+def fresh_routes(s, d):
+    """A vehicle at the beginning of every way that may be driven forward, bound for its end, with a third of all edges slow."""
+    all_edges = G.routing_edges(X.nodes(s, d), X.ways(s, d))
+    edges = all_edges.selectExpr("concat(src, '>', dst) AS edge_id", "src", "dst", "weight_sec * 10 AS length_m", "10.0D AS speed_mps")
+    live = edges.selectExpr("edge_id", "CASE CAST(regexp_extract(src, '[0-9]+', 0) AS INT) % 6 WHEN 0 THEN 1.0D WHEN 1 THEN 3.0D END AS live_mps").where("live_mps IS NOT NULL")
+    ways = M.routable_ways(X.ways(s, d), X.nodes(s, d)).where("coalesce(tags['oneway'], '') <> '-1'")
+    twin = "IF(tags['divider'] = 'yes' AND tags['oneway'] IS NULL AND {0} > 0 AND {0} < size(nodes) - 1, '#fwd', '')"
+    steps = ways.selectExpr("*", "explode(sequence(0, size(nodes) - 2)) AS step").selectExpr("way_id AS vehicle_id", "step", f"concat(nodes[step], {twin.format('step')}, '>', nodes[step + 1], {twin.format('(step + 1)')}) AS edge_id", "false AS is_junction")
+    vehicles = ways.where("size(nodes) > 2").selectExpr("way_id AS vehicle_id", "0 AS step", "element_at(nodes, -1) AS dest_node", "false AS emergency", "false AS tracked")
+    return V.fresh_routes(vehicles, steps, edges, live, hops=6).select("vehicle_id", *r4("current_sec", "new_sec"), "switch")

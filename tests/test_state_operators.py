@@ -1,5 +1,7 @@
 """Lamp precedence, clocks, lane changes, destinations and reroutes on hand-made rows."""
 
+import random
+
 from roadspark.operators import signals, telemetry, trips
 
 
@@ -34,16 +36,48 @@ def test_destination_only_on_the_way_back(spark):
     assert rows(telemetry.vehicle_destination(states, homes, amenities)) == [(1, 7, "a", "General", 1.0, 2.0)]
 
 
-def test_reroute_needs_a_clear_gain(spark):
+def test_live_costs(spark):
     edges = spark.createDataFrame([("a", 100.0, 10.0), ("b", 50.0, 10.0)], "edge_id string, length_m double, speed_mps double")
     live = spark.createDataFrame([("a", 0.5)], "edge_id string, live_mps double")
     costs = telemetry.live_edge_cost(edges, live)
     assert rows(costs) == [("a", 50.0), ("b", 5.0)]
     steps = spark.createDataFrame([("t", 0, "a"), ("t", 1, "b")], "trip_id string, step int, edge_id string")
     assert rows(telemetry.remaining_cost(steps, costs)) == [("t", 0, 55.0), ("t", 1, 5.0)]
-    now = spark.createDataFrame([(1, 100.0), (2, 100.0), (3, 100.0)], "vehicle_id long, current_sec double")
-    new = spark.createDataFrame([(1, 84.0), (2, 86.0)], "vehicle_id long, new_sec double")
-    assert [(r.vehicle_id, r.switch) for r in telemetry.reroute_decisions(now, new).orderBy("vehicle_id").collect()] == [(1, True), (2, False), (3, False)]
+
+
+def test_reroutes_are_those_of_unbounded_searches(spark):
+    """Every vehicle's route against all routes from the end of its edge; slow edges ahead make some switch."""
+    draw = random.Random(6)
+    arcs = {(f"n{a}", f"n{b}"): float(draw.randrange(20, 200)) for a in range(9) for b in range(9) if a != b and draw.random() < 0.3}
+    slow = {e: 2.5 for e in arcs if draw.random() < 0.3}
+    cost = {e: m / max(2.0, slow.get(e, 10.0)) for e, m in arcs.items()}
+    edges = spark.createDataFrame([(f"{a}>{b}", a, b, m, 10.0) for (a, b), m in arcs.items()], "edge_id string, src string, dst string, length_m double, speed_mps double")
+    live = spark.createDataFrame([(f"{a}>{b}", v) for (a, b), v in slow.items()], "edge_id string, live_mps double")
+    vehicles, steps, want = [], [], []
+    for k in range(40):
+        walk = [draw.choice(sorted(arcs))]
+        while len(walk) < 5 and (further := [e for e in sorted(arcs) if e[0] == walk[-1][1]]):
+            walk.append(draw.choice(further))
+        now = draw.randrange(2)
+        vehicles.append((k, now, walk[-1][1], k % 9 == 8, k % 7 == 6))
+        steps += [(k, i, f"{a}>{b}", k % 10 == 9 and i == now) for i, (a, b) in enumerate(walk)]
+        if k % 9 == 8 or k % 7 == 6 or k % 10 == 9 or len(walk) <= now + 1 or walk[now][1] == walk[-1][1]:
+            continue
+        left, best = sum(cost[e] for e in walk[now + 1 :]), {walk[now][1]: 0.0}
+        for _ in range(9):
+            for (a, b), c in cost.items():
+                if a in best:
+                    best[b] = min(best.get(b, float("inf")), best[a] + c)
+        new = best.get(walk[-1][1])
+        want.append((k, round(left, 6), round(new, 6) if new is not None and new < 0.85 * left else None))
+    got = telemetry.fresh_routes(
+        spark.createDataFrame(vehicles, "vehicle_id long, step int, dest_node string, emergency boolean, tracked boolean"), spark.createDataFrame(steps, "vehicle_id long, step int, edge_id string, is_junction boolean"), edges, live
+    ).collect()
+    assert sorted((r.vehicle_id, round(r.current_sec, 6), None if r.new_sec is None else round(r.new_sec, 6)) for r in got) == want
+    assert 2 < sum(r.switch for r in got) < len(got)
+    for r in got:
+        assert r.switch == (r.new_sec is not None) == bool(r.path)
+        assert not r.switch or abs(sum(cost[e] for e in zip(r.path, r.path[1:])) - r.new_sec) < 1e-6
 
 
 def test_fleets_flatten_and_report_duplicates(spark):
