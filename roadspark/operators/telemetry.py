@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspark.functions import constants as C
-from roadspark.plans.store import stored
+from roadspark.plans.store import numbered, stored
 
 
 def parse_gps(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,8 +46,6 @@ def live_edge_speed(states: DataFrame, free_flow_mps: float, alpha: float = C.EM
 
     Ticks without vehicles are skipped in closed form: the distance to free flow shrinks by (1 - alpha) each.
     """
-    import pandas as pd
-
     means = states.groupBy("edge", F.col("t").alias("tick")).agg(F.avg("speed_mps").alias("mean"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -264,36 +264,50 @@ def live_route(snaps: DataFrame, chain_edges: DataFrame, junction_edges: DataFra
     return first.unionByName(then).unionByName(crossing)
 
 
-def dispatch_nearest(incidents: DataFrame, requests: DataFrame, vehicles: DataFrame, reach_m: float, most_rounds: int = 1000) -> DataFrame:
+def _served():
+    """One after the other, incidents (t, incident_id) of a type and part take their nearest vehicles of those that are left."""
+
+    def run(asks: pd.DataFrame, fleet: pd.DataFrame) -> pd.DataFrame:
+        fleet = fleet.sort_values("vehicle_id")
+        ids, x, y = fleet["vehicle_id"].to_numpy(), fleet["vx"].to_numpy(), fleet["vy"].to_numpy()
+        free, out = np.ones(len(ids), dtype=bool), []
+        for incident, n, ax, ay in asks.sort_values(["t", "incident_id"])[["incident_id", "n", "x", "y"]].itertuples(index=False):
+            if 2 * free.sum() < len(free):
+                ids, x, y = ids[free], x[free], y[free]
+                free = np.ones(len(ids), dtype=bool)
+            if not len(ids):
+                break
+            d2 = np.where(free, (x - ax) ** 2 + (y - ay) ** 2, np.inf)
+            n = min(n, int(free.sum()))
+            near = np.flatnonzero(d2 <= np.partition(d2, n - 1)[n - 1])
+            sent = near[np.argsort(d2[near], kind="stable")][:n]  # equally near ones by id
+            free[sent] = False
+            out.append((incident, asks["type"].iloc[0], ids[sent].tolist()))
+        return pd.DataFrame(out, columns=["incident_id", "type", "vehicle_ids"])
+
+    return run
+
+
+def dispatch_nearest(incidents: DataFrame, requests: DataFrame, vehicles: DataFrame) -> DataFrame:
     """incident_id, type, requested, vehicle_ids (nearest first), shortfall: what each incident gets, earlier ones (t, then id) first.
 
     incidents: incident_id, t, x, y, part; requests: incident_id, type, n; vehicles: vehicle_id, vehicle_type, x, y, part, active,
-    responding. Only emergency types are sent, only active vehicles that don't respond yet, only within reach_m, and only
-    to incidents of their part of the road network (else there is no route). Every incident asks for its nearest ones, a
-    vehicle keeps its earliest asker and drops later ones; repeated until nobody is dropped, that gives what serving one
-    incident after the other would. Rounds are stored; each drops pairs for good.
+    responding. Only emergency types are sent, only active vehicles that don't respond yet, and only to incidents of their
+    part of the road network, such as graph.weak_components tells (else there is no route); null parts meet nobody. A
+    vehicle that is sent is gone for later incidents, however far they are apart.
+
+    Types and parts don't compete, so each pair of them is served on its own. Every incident that comes to its turn takes one
+    vehicle at least, so no more incidents than the fleet has vehicles get any: incidents are numbered over all
+    partitions, and a task holds its fleet and as many incidents, nothing that grows with the incidents.
     """
-    from roadspark.operators.spatial import with_cell, with_near_cells
-    from roadspark.plans.store import discard, stored
-
-    wanted = requests.where(F.col("type").isin(*C.EMERGENCY_TYPES) & (F.col("n") > 0)).select("incident_id", "type", "n")
-    asks = with_near_cells(incidents.select("incident_id", "t", "x", "y", "part").join(wanted, "incident_id"), reach_m)
-    free = with_cell(vehicles.where("active and not responding").select("vehicle_id", F.col("vehicle_type").alias("type"), F.col("x").alias("vx"), F.col("y").alias("vy"), "part"), reach_m, "vx", "vy")
-    d2 = (F.col("x") - F.col("vx")) ** 2 + (F.col("y") - F.col("vy")) ** 2
-    near = asks.join(free, ["type", "part", "cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= reach_m**2)
-    pairs = stored(near.select("incident_id", "type", "n", "t", "vehicle_id", "d2"), "pairs")
-    choice = F.row_number().over(Window.partitionBy("incident_id", "type").orderBy("d2", "vehicle_id"))
-    turn, left = F.struct("t", "incident_id"), pairs.count()
-    for _ in range(most_rounds):
-        held = pairs.withColumn("choice", choice).where("choice <= n").groupBy("vehicle_id").agg(F.min(turn).alias("holder"))
-        fewer = stored(pairs.join(held, "vehicle_id", "left").where(F.col("holder").isNull() | (turn <= F.col("holder"))).drop("holder"), "pairs")
-        discard(pairs)
-        pairs, before, left = fewer, left, fewer.count()
-        if left == before:
-            break
-    else:
-        raise RuntimeError("dispatches did not settle")
-    sent = pairs.withColumn("choice", choice).where("choice <= n").groupBy("incident_id", "type").agg(F.transform(F.array_sort(F.collect_list(F.struct("choice", "vehicle_id"))), lambda e: e["vehicle_id"]).alias("vehicle_ids"))
-    kind = dict(vehicles.dtypes)["vehicle_id"]
-    got = F.coalesce("vehicle_ids", F.array().cast(f"array<{kind}>"))
+    wanted = requests.where(F.col("type").isin(*C.EMERGENCY_TYPES) & (F.col("n") > 0)).select("incident_id", "type", F.col("n").cast("long").alias("n"))
+    free = stored(vehicles.where("active AND NOT responding AND part IS NOT NULL").select("vehicle_id", F.col("vehicle_type").alias("type"), "part", F.col("x").cast("double").alias("vx"), F.col("y").cast("double").alias("vy")), "fleet")
+    fleets = free.groupBy("type", "part").agg(F.count(F.lit(1)).alias("size"))
+    asks = incidents.select("incident_id", "t", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "part").join(wanted, "incident_id").join(fleets, ["type", "part"])
+    order = stored(numbered(asks, "type", "part", "t", "incident_id", name="place"), "asks")
+    first = order.groupBy("type", "part").agg(F.min("place").alias("first"))
+    due = order.join(first, ["type", "part"]).where("place - first < size").select("type", "part", "incident_id", "t", "x", "y", "n")
+    kinds = dict(vehicles.dtypes)["vehicle_id"], dict(incidents.dtypes)["incident_id"]
+    sent = due.groupBy("type", "part").cogroup(free.groupBy("type", "part")).applyInPandas(_served(), f"incident_id {kinds[1]}, type string, vehicle_ids array<{kinds[0]}>")
+    got = F.coalesce("vehicle_ids", F.array().cast(f"array<{kinds[0]}>"))
     return wanted.join(incidents.select("incident_id"), "incident_id").join(sent, ["incident_id", "type"], "left").select("incident_id", "type", F.col("n").alias("requested"), got.alias("vehicle_ids"), (F.col("n") - F.size(got)).alias("shortfall"))

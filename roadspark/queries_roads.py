@@ -190,13 +190,13 @@ def live_route(s, d):
 
 @query("dispatch_nearest", f"""WITH q AS (SELECT incident_id, t, x, y, incident_id % 3 AS part, type, 1 + incident_id % 2 AS n, row_number() OVER (PARTITION BY type ORDER BY t, incident_id) AS k FROM inc, (VALUES ('ambulance'), ('firetruck'), ('police')) AS z(type)),
     v AS (SELECT k AS vehicle_id, x, y, k % 3 AS part, (['car','motorcycle','bus','truck','ambulance','firetruck','police'])[CAST(k % 7 AS INT) + 1] AS type FROM nd WHERE k % 10 <> 0 AND k % 11 <> 0),
-    c AS MATERIALIZED (SELECT q.type, q.k, q.n, coalesce(list(v.vehicle_id ORDER BY (q.x - v.x)^2 + (q.y - v.y)^2, v.vehicle_id) FILTER (v.vehicle_id IS NOT NULL), []) AS near FROM q LEFT JOIN v ON v.type = q.type AND v.part = q.part AND (q.x - v.x)^2 + (q.y - v.y)^2 <= 90000 GROUP BY q.type, q.k, q.n),
+    c AS MATERIALIZED (SELECT q.type, q.k, q.n, coalesce(list(v.vehicle_id ORDER BY (q.x - v.x)^2 + (q.y - v.y)^2, v.vehicle_id) FILTER (v.vehicle_id IS NOT NULL), []) AS near FROM q LEFT JOIN v ON v.type = q.type AND v.part = q.part GROUP BY q.type, q.k, q.n),
     r(type, k, taken, sent) AS (SELECT DISTINCT type, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM q UNION ALL SELECT s.type, s.k, s.taken || s.p, s.p FROM (SELECT r.type, r.k + 1 AS k, r.taken, list_filter(c.near, lambda z: NOT list_contains(r.taken, z))[1:c.n] AS p FROM r JOIN c ON c.type = r.type AND c.k = r.k + 1) s)
     SELECT q.incident_id, q.type, q.n AS requested, array_to_string(r.sent, ',') AS vehicle_ids, q.n - len(r.sent) AS shortfall FROM q JOIN r USING (type, k)""", recursive=True)
 def dispatch_nearest(s, d):
-    """Every error as an incident that wants one or two vehicles of each emergency type within 300 m."""
+    """Every error as an incident that wants one or two vehicles of each emergency type."""
     inc = X.incidents(s, d).withColumn("part", F.col("incident_id") % 3)
     kinds = F.explode(F.array(*map(F.lit, ("ambulance", "firetruck", "police", "car"))))
     wanted = inc.select("incident_id", kinds.alias("type"), (1 + F.col("incident_id") % 2).alias("n"))
     fleet = X.grid(s, d).selectExpr("k AS vehicle_id", "element_at(array('car','motorcycle','bus','truck','ambulance','firetruck','police'), CAST(k % 7 AS INT) + 1) AS vehicle_type", "x", "y", "k % 3 AS part", "k % 10 <> 0 AS active", "k % 11 = 0 AS responding")
-    return V.dispatch_nearest(inc, wanted, fleet, 300.0).withColumn("vehicle_ids", F.array_join(F.col("vehicle_ids").cast("array<string>"), ","))
+    return V.dispatch_nearest(inc, wanted, fleet).withColumn("vehicle_ids", F.array_join(F.col("vehicle_ids").cast("array<string>"), ","))

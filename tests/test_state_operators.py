@@ -122,3 +122,23 @@ def test_path_metrics(spark):
     nodes = spark.createDataFrame([("a", 0.0, 0.0), ("b", 3.0, 4.0), ("c", 3.0, 10.0)], "node_id string, x double, y double")
     paths = spark.createDataFrame([(1, ["a", "b#fwd", "c"]), (2, ["a"])], "od_id long, path array<string>")
     assert rows(routes.path_metrics(paths, nodes)) == [(1, 11.0, 3), (2, 0.0, 1)]
+
+
+def test_many_incidents_in_one_place_are_served_in_turn(spark):
+    draw = random.Random(4)
+    fleet = [(v, draw.choice(["ambulance", "police", "car"]), float(draw.randrange(100)), float(draw.randrange(3)), draw.choice([1, 2, None]), v % 9 > 0, v % 7 == 0) for v in range(900)]
+    incidents = [(k, k // 7, 50.0, 1.0, 1 + k % 5 // 4) for k in range(1500)] + [(5000, 0, 0.0, 0.0, None)]
+    wanted = [(k, t, 1 + k % 3) for k, *_ in incidents for t in ("ambulance", "police", "car")] + [(3, "firetruck", 1), (4, "ambulance", 0)]
+    free, want = {v[0]: v for v in fleet if v[5] and not v[6]}, {}
+    for k, t, x, y, part in sorted(incidents, key=lambda i: (i[1], i[0])):
+        for incident, kind, n in wanted:
+            if incident == k and kind != "car" and n:
+                near = sorted(((v[2] - x) ** 2 + (v[3] - y) ** 2, v[0]) for v in free.values() if v[1] == kind and v[4] == part and part)[:n]
+                want[k, kind] = (n, [v for _, v in near], n - len(near))
+                for _, v in near:
+                    del free[v]
+    got = telemetry.dispatch_nearest(
+        spark.createDataFrame(incidents, "incident_id long, t long, x double, y double, part int").repartition(3), spark.createDataFrame(wanted, "incident_id long, type string, n int"),
+        spark.createDataFrame(fleet, "vehicle_id long, vehicle_type string, x double, y double, part int, active boolean, responding boolean"),
+    )
+    assert {(r.incident_id, r.type): (r.requested, r.vehicle_ids, r.shortfall) for r in got.collect()} == want
