@@ -38,7 +38,7 @@ BASE = ("assign", "access", "hex")
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 PAIR = "struct<rule:string,version:int>"
 LEDGER = f"blob binary, rule string, version int, spans array<{SPAN}>"
-FEW = 200_000  # up to so many blobs with findings are broadcast to the texts that they mask, some 100 MB
+FEW = 200_000  # up to so many blobs are broadcast to the texts that they are looked for in, some 20 MB
 
 
 def blob_of(text: Column) -> Column:
@@ -91,10 +91,24 @@ def scan_blobs(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     return found.groupBy("blob", "rule", "version").agg(F.array_sort(F.collect_list("span")).alias("spans")).select("blob", "rule", "version", F.col("spans").cast(f"array<{SPAN}>").alias("spans"))
 
 
+def unseen_blobs(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """blob: the distinct blobs of docs that the ledger lacks for some rule version. Texts are hashed where they are read and stay there."""
+    known = ledger.where(F.array_contains(_pairs(rules), F.struct("rule", F.col("version").cast("int").alias("version"))))
+    complete = known.groupBy("blob").agg(F.count_distinct("rule").alias("n")).where(F.col("n") == len(rules)).select("blob")
+    return docs.select(blob_of(F.coalesce(F.col(text_col), F.lit(""))).alias("blob")).distinct().join(complete, "blob", "left_anti")
+
+
 def scan_new(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """New ledger rows for the texts of docs: each unseen blob is scanned once, whatever the number of rows that hold it."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return scan_blobs(docs.select(text.alias("text")).withColumn("blob", blob_of(F.col("text"))).dropDuplicates(["blob"]), ledger, rules)
+    """New ledger rows for the texts of docs: each unseen blob is scanned once, whatever the number of rows that hold it.
+
+    With a ledger, hashes alone are compared with it first; only texts of unseen blobs leave the task that reads them. Up to FEW
+    unseen blobs are broadcast to the texts; where more are new, texts meet them by the shuffle that makes them distinct.
+    """
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", blob_of(F.col("text")))
+    if ledger is not None:
+        unseen = stored(unseen_blobs(docs, ledger, rules, text_col), "unseen")
+        texts = texts.join(F.broadcast(unseen) if unseen.count() <= FEW else unseen, "blob", "left_semi")
+    return scan_blobs(texts.dropDuplicates(["blob"]), ledger, rules)
 
 
 def hits_of(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -146,12 +160,14 @@ def mask_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     """docs with the secrets in their texts masked (and length_col, if there, set anew for those); other rows as they are.
 
     Overlapping and touching secrets share one mark. Null and empty texts stay; repeated rows are masked alike. The texts
-    shuffle once, to be scanned; up to FEW blobs with findings are then broadcast, beyond that texts meet them by a shuffle.
+    shuffle once, to be scanned; blobs with findings are then broadcast if they and their gaps number at most FEW * 10, some
+    60 MB; beyond that texts meet them by a shuffle.
     """
     new = stored(scan_new(docs, ledger, rules, text_col), "ledger")
     gaps = stored(_gaps(hits_of(new if ledger is None else ledger.unionByName(new), rules)).select(F.col("blob").alias("__blob"), F.col("gaps").alias("__gaps")), "gaps")
     rows = docs.withColumn("__blob", F.when(F.col(text_col).isNotNull(), blob_of(F.col(text_col))))
-    joined = rows.join(F.broadcast(gaps) if gaps.count() <= FEW else gaps, "__blob", "left")
+    size = gaps.agg(F.coalesce(F.sum(F.size("__gaps") + 4), F.lit(0))).first()[0]
+    joined = rows.join(F.broadcast(gaps) if size <= 10 * FEW else gaps, "__blob", "left")
     clean = F.col("__gaps").isNull()
     masked = joined.withColumn(text_col, F.when(clean, F.col(text_col)).otherwise(redact(F.col(text_col), F.col("__gaps"))))
     if length_col in docs.columns:

@@ -145,7 +145,7 @@ def base_secrets(t):
 
 
 def test_secrets(spark):
-    from roadspark.llm.secrets import RULES, mask_secrets, scan_secrets, secret_digest
+    from roadspark.llm.secrets import RULES, mask_secrets, scan_new, scan_secrets, secret_digest
 
     docs = documents(spark, ODD)
     found, ledger = scan_secrets([docs])
@@ -161,6 +161,12 @@ def test_secrets(spark):
     assert both.where("version = 2").count() == len(ODD) + 2
     # a raised rule version scans that rule alone
     raised = (*RULES[:-1], RULES[-1]._replace(version=2))
+    again = scan_new(docs, ledger2)  # known blobs: texts are dropped where they are read, before any exchange
+    steps = again._jdf.queryExecution().executedPlan().toString().split("\n")
+    semi = next(k for k, x in enumerate(steps) if "LeftSemi" in x)
+    deep = [len(x) - len(x.lstrip(" :")) for x in steps]
+    below = next(k for k in range(semi + 1, len(steps)) if k == len(steps) - 1 or deep[k] <= deep[semi])
+    assert "BroadcastHashJoin" in steps[semi] and not any("Exchange hash" in x for x in steps[semi:below]) and again.isEmpty()
     _, ledger3 = scan_secrets([docs], ledger2, raised)
     assert ledger3.count() - ledger2.count() == blobs and {(r.rule, r.version) for r in ledger3.exceptAll(ledger2).collect()} == {("github", 2)}
     masked = mask_secrets(docs)
