@@ -84,55 +84,3 @@ def curve_points(ways: DataFrame, nodes: DataFrame, steps: int = 8) -> DataFrame
         return F.when(F.col("last"), a).otherwise((1 - t) ** 3 * a + 3 * (1 - t) ** 2 * t * c1 + 3 * (1 - t) * t**2 * c2 + t**3 * b)
 
     return k.select("way_id", (F.col("seq") * steps + F.col("k")).alias("seq"), at("x").alias("x"), at("y").alias("y"))
-
-
-def join_groups(connectors: DataFrame, nodes: DataFrame, max_m: float = C.SHORT_CONNECTOR_M, span_m: float = C.GROUP_SPAN_M) -> DataFrame:
-    """way_id, status (dissolved, refused) of short connectors, and group: the least (node, layer) of what each end's group became.
-
-    connectors: way_id, ord, start_id, end_id, layer, len between two junctions. Those of at most max_m, shortest first
-    (ties by ord), merge their ends' groups unless the merged box would be wider than span_m; inside one group they go
-    without a test. Components of the short connectors don't touch each other, so each is folded on its own.
-    """
-    import pandas as pd
-
-    from roadspark.operators.graph import weak_components
-
-    key = lambda c: F.concat_ws("@", c, F.col("layer").cast("string"))
-    short = connectors.where((F.col("start_id") != F.col("end_id")) & (F.col("len") <= max_m)).withColumns({"a": key("start_id"), "b": key("end_id")})
-    spots = nodes.select("node_id", "x", "y")
-    placed = short.join(spots.select(F.col("node_id").alias("start_id"), F.col("x").alias("ax"), F.col("y").alias("ay")), "start_id").join(spots.select(F.col("node_id").alias("end_id"), F.col("x").alias("bx"), F.col("y").alias("by")), "end_id")
-    part = weak_components(short.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    grouped = placed.join(part.withColumnRenamed("node_id", "a"), "a")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[str, str] = {}
-        box: dict[str, tuple] = {}
-
-        def root(k: str) -> str:
-            while parent.setdefault(k, k) != k:
-                k = parent[k]
-            return k
-
-        status = []
-        rows = pdf.sort_values(["len", "ord"])
-        for r in rows.itertuples():
-            box.setdefault(r.a, (r.ax, r.ax, r.ay, r.ay)) if r.a not in parent else None
-            box.setdefault(r.b, (r.bx, r.bx, r.by, r.by)) if r.b not in parent else None
-            p, q = root(r.a), root(r.b)
-            if p == q:
-                status.append("dissolved")
-                continue
-            u, v = box[p], box[q]
-            both = (min(u[0], v[0]), max(u[1], v[1]), min(u[2], v[2]), max(u[3], v[3]))
-            if math.hypot(both[1] - both[0], both[3] - both[2]) <= span_m:
-                low, high = min(p, q), max(p, q)
-                parent[high], box[low] = low, both
-                status.append("dissolved")
-            else:
-                status.append("refused")
-        out = rows[["way_id"]].assign(status=status)
-        out["start_group"] = [root(k) for k in rows["a"]]
-        out["end_group"] = [root(k) for k in rows["b"]]
-        return out
-
-    return grouped.groupBy("component").applyInPandas(fold, "way_id string, status string, start_group string, end_group string")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roadspark.operators import chains as H
+from roadspark.operators import joins as Q
 from roadspark.plans import fixtures as X
+from roadspark.plans.store import shared_dir
 from roadspark.queries import query
 from roadspark.queries_live import ORACLE_SQL, QUERIES
+from roadspark.sources import mapjson as B
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -57,3 +62,108 @@ def merged_phases(s, d):
     nodes, ways, lamps = _pieces(s, d)
     anew = H.remap_phases(lamps, H.merge_through_ways(nodes, ways, None, lamps)[2])
     return anew.select("node_id", F.posexplode("phases").alias("phase", "p")).select("node_id", "phase", F.array_join("p.wayIds", ",").alias("way_ids"))
+
+
+_JOINED = """WITH c AS (SELECT CAST(substr(na, 2) AS BIGINT) AS a, CAST(substr(nb, 2) AS BIGINT) AS b, 2 * CAST(substr(na, 2) AS BIGINT) + (way_id LIKE 'v%')::INT AS ord, way_id || ':' || seq AS way_id, sqrt((ax / 8 - zx / 8)^2 + (ay / 8 - zy / 8)^2) AS len FROM seg),
+    o AS (SELECT *, row_number() OVER (ORDER BY len, ord) AS i FROM c WHERE len <= 10),
+    s(i, root, x0, x1, y0, y1, way_id, status) AS (SELECT 0::BIGINT, list(k ORDER BY k), list(x / 8 ORDER BY k), list(x / 8 ORDER BY k), list(y / 8 ORDER BY k), list(y / 8 ORDER BY k), NULL::VARCHAR, NULL::VARCHAR FROM g
+        UNION ALL SELECT i, CASE WHEN joins THEN list_transform(root, lambda r: CASE WHEN r = h THEN l ELSE r END) ELSE root END, CASE WHEN joins THEN list_transform(x0, lambda v, j: CASE WHEN j = l + 1 THEN p0 ELSE v END) ELSE x0 END, CASE WHEN joins THEN list_transform(x1, lambda v, j: CASE WHEN j = l + 1 THEN p1 ELSE v END) ELSE x1 END,
+            CASE WHEN joins THEN list_transform(y0, lambda v, j: CASE WHEN j = l + 1 THEN q0 ELSE v END) ELSE y0 END, CASE WHEN joins THEN list_transform(y1, lambda v, j: CASE WHEN j = l + 1 THEN q1 ELSE v END) ELSE y1 END, way_id, CASE WHEN l = h OR joins THEN 'dissolved' ELSE 'refused' END FROM
+        (SELECT *, l <> h AND (p1 - p0)^2 + (q1 - q0)^2 <= 400 AS joins FROM (SELECT *, least(x0[l + 1], x0[h + 1]) AS p0, greatest(x1[l + 1], x1[h + 1]) AS p1, least(y0[l + 1], y0[h + 1]) AS q0, greatest(y1[l + 1], y1[h + 1]) AS q1 FROM
+            (SELECT o.i, o.way_id, s.root, s.x0, s.x1, s.y0, s.y1, least(s.root[o.a + 1], s.root[o.b + 1]) AS l, greatest(s.root[o.a + 1], s.root[o.b + 1]) AS h FROM s JOIN o ON o.i = s.i + 1))))"""
+
+
+def _scaled(s, d):
+    """Every stretch between two nodes of the grid, an eighth of its size, as a connector between junctions."""
+    from roadspark.operators.mapbuild import way_nodes
+
+    nodes = X.nodes(s, d).select("node_id", (F.col("x") / 8).alias("x"), (F.col("y") / 8).alias("y"))
+    at = way_nodes(X.ways(s, d)).join(nodes, "node_id")
+    w = Window.partitionBy("way_id").orderBy("seq")
+    pairs = at.withColumns({"end_id": F.lead("node_id").over(w), "ex": F.lead("x").over(w), "ey": F.lead("y").over(w)}).where("end_id IS NOT NULL")
+    order = "2 * CAST(substr(node_id, 2) AS BIGINT) + IF(way_id LIKE 'v%', 1, 0) AS ord"
+    return pairs.selectExpr("concat_ws(':', way_id, seq) AS way_id", order, "node_id AS start_id", "end_id", "0 AS layer", "sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey)) AS len"), nodes
+
+
+@query("join_groups", f"{_JOINED} SELECT way_id, status FROM s WHERE i > 0 UNION ALL SELECT way_id, 'kept' FROM c WHERE len > 10", recursive=True)
+def join_groups(s, d):
+    connectors, nodes = _scaled(s, d)
+    return Q.join_groups(connectors, nodes)[0].select("way_id", "status")
+
+
+@query("node_groups", f"{_JOINED}, f AS (SELECT unnest(root) AS r, unnest(range(0, len(root))) AS k FROM s WHERE i = (SELECT max(i) FROM s)) SELECT 'n' || k AS node_id, 0 AS layer, min('n' || k || '@0') OVER (PARTITION BY r) AS group_id FROM f", recursive=True)
+def node_groups(s, d):
+    connectors, nodes = _scaled(s, d)
+    return Q.join_groups(connectors, nodes)[1]
+
+
+_NODES = """WITH m AS (SELECT k, col, r, 'n' || k AS node_id, CASE WHEN col % 10 < 2 THEN 'g' || r || '_' || col // 10 END AS old, CASE WHEN col % 10 >= 1 AND col % 10 < 4 THEN 'b' || r || '_' || col // 10 WHEN col % 10 >= 6 THEN 'c' || r || '_' || col // 10 END AS sel FROM g),
+    e AS (SELECT node_id AS a, 's' || sel AS b FROM m WHERE sel IS NOT NULL UNION SELECT node_id, 'g' || old FROM m WHERE old IN (SELECT old FROM m WHERE sel IS NOT NULL)),
+    d AS (SELECT a, b FROM e UNION SELECT b, a FROM e), p(x, y) AS (SELECT a, a FROM d UNION SELECT p.x, d.b FROM p JOIN d ON d.a = p.y),
+    c AS (SELECT x AS node_id, coalesce(min(substr(y, 2)) FILTER (y LIKE 'g%'), 'jg_' || min(substr(y, 2)) FILTER (y LIKE 's%')) AS group_id FROM p WHERE x LIKE 'n%' GROUP BY x),
+    w2 AS (SELECT way_id || ':' || seq AS way_id, na, nb FROM seg), gone AS (SELECT way_id, a.group_id FROM w2 JOIN c a ON a.node_id = na JOIN c b ON b.node_id = nb WHERE a.group_id = b.group_id)"""
+
+
+def _selections(s, d):
+    """The stretches of the grid as ways; each ten columns of a row have an earlier group of two nodes, a selection of three that meets it, and one of four beside."""
+    at = X.grid(s, d).selectExpr("concat('n', k) AS node_id", "IF(col % 10 < 2, map('join_group', concat('g', r, '_', col div 10)), CAST(map() AS map<string,string>)) AS tags", "CASE WHEN col % 10 BETWEEN 1 AND 3 THEN concat('b', r, '_', col div 10) WHEN col % 10 >= 6 THEN concat('c', r, '_', col div 10) END AS join_id")
+    ways = _scaled(s, d)[0].selectExpr("way_id", "ord", "array(start_id, end_id) AS nodes")
+    return at.select("node_id", "tags"), ways, at.where("join_id IS NOT NULL").select("join_id", "node_id")
+
+
+@query("join_nodes", f"{_NODES} SELECT group_id, members, coalesce(dissolved, 0) AS dissolved FROM (SELECT group_id, count(*) AS members FROM c GROUP BY group_id) LEFT JOIN (SELECT group_id, count(*) AS dissolved FROM gone GROUP BY group_id) USING (group_id)", recursive=True)
+def join_nodes(s, d):
+    return Q.join_nodes(*_selections(s, d))[2]
+
+
+@query("joined_nodes", f"{_NODES} SELECT node_id, coalesce(group_id, old) AS group_id FROM m LEFT JOIN c USING (node_id)", recursive=True)
+def joined_nodes(s, d):
+    return Q.join_nodes(*_selections(s, d))[0].select("node_id", F.try_element_at("tags", F.lit("join_group")).alias("group_id"))
+
+
+@query("ungroup", "SELECT node_id, CASE WHEN r % 2 = 1 AND col % 10 < 2 THEN 'g' || r || '_' || col // 10 END AS group_id FROM nd")
+def ungroup(s, d):
+    """One node of each earlier group of every other row is picked."""
+    nodes = _selections(s, d)[0]
+    picked = X.grid(s, d).where("r % 2 = 0 AND (col % 10 = 0)").selectExpr("concat('n', k) AS node_id")
+    return Q.ungroup(nodes, picked).select("node_id", F.try_element_at("tags", F.lit("join_group")).alias("group_id"))
+
+
+def _through_json(s, d):
+    """Two maps, the grid with straight and with curved ways, written as documents and read again."""
+    ways = X.ways(s, d)
+    signal = "struct(scheme, all_red_sec AS allRedSec, transform(phases, p -> struct(p.id AS id, CAST(NULL AS string) AS label, p.wayIds AS wayIds, p.greenSec AS greenSec, p.yellowSec AS yellowSec)) AS phases, paired, group_id AS groupId, 'inward' AS facing) AS signal"
+    nodes = X.nodes(s, d).join(X.signals(s, d).selectExpr("node_id", signal), "node_id", "left").select("node_id", "x", "y", "tags", "signal")
+    buildings, amenities = X.buildings(s, d).select("ord", "building_id", "tags", "polygon"), X.amenities(s, d).select("ord", "amenity_id", "x", "y", "tags", "building_id").withColumn("fleets", F.array().cast(f"array<{B.FLEET}>"))
+    groups = X.signal_groups(s, d).selectExpr("CAST(substr(group_id, 2) AS INT) AS ord", "group_id", "member_ids", "turn_sec", "direction")
+    both = lambda df: df.withColumn("map_id", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    curved = both(ways).withColumn("curve", F.when(F.col("map_id") == "b", "spline").otherwise("line"))
+    meta = s.range(1).select(F.lit("a").alias("map_id"), F.from_json(F.lit('{"nextIdCounter": 5}'), B.META).alias("meta"))
+    tables = B.MapTables(meta.unionByName(meta.withColumn("map_id", F.lit("b"))), both(nodes), curved, both(buildings), both(amenities), both(groups))
+    path = f"{shared_dir(s)}/maps-{uuid.uuid4().hex}"
+    B.write_map(tables, path)
+    return B.read_map(s, path)
+
+
+_MAPS = "(VALUES ('a', 'line'), ('b', 'spline')) AS q(map_id, curve)"
+
+
+@query("map_json_nodes", f"SELECT map_id, node_id, x, y, CASE WHEN sg.node_id IS NULL THEN NULL WHEN paired THEN 'paired4way' ELSE 'phases' END AS scheme, CASE WHEN sg.paired THEN step ELSE green END AS sec, 'g' || sg.r AS group_id FROM nd LEFT JOIN sg USING (node_id), {_MAPS}")
+def map_json_nodes(s, d):
+    sec = F.coalesce(F.get("signal.paired.pairs", F.lit(1))["stepSec"], F.get("signal.phases", F.lit(1))["greenSec"])
+    return _through_json(s, d).nodes.select("map_id", "node_id", "x", "y", "signal.scheme", sec.alias("sec"), F.col("signal.groupId").alias("group_id"))
+
+
+@query("map_json_ways", f"SELECT map_id, way_id, row_number() OVER (PARTITION BY map_id ORDER BY ord) - 1 AS ord, highway, oneway, curve, (SELECT string_agg(node_id, ',' ORDER BY seq) FROM wn WHERE wn.way_id = w.way_id) AS nodes FROM w, {_MAPS}")
+def map_json_ways(s, d):
+    of = lambda k: F.try_element_at("tags", F.lit(k)).alias(k)
+    return _through_json(s, d).ways.select("map_id", "way_id", F.col("ord").cast("long").alias("ord"), of("highway"), of("oneway"), "curve", F.array_join("nodes", ",").alias("nodes"))
+
+
+@query("map_json_places", f"SELECT map_id, building_id AS id, building AS kind, cx - s / 2 AS x, cy - s / 2 AS y, NULL AS building_id FROM bl, {_MAPS} UNION ALL SELECT map_id, amenity_id, amenity, x, y, building_id FROM am, {_MAPS}")
+def map_json_places(s, d):
+    t = _through_json(s, d)
+    of = lambda k: F.try_element_at("tags", F.lit(k)).alias("kind")
+    corner = F.get("polygon", F.lit(0))
+    buildings = t.buildings.select("map_id", F.col("building_id").alias("id"), of("building"), corner["x"].alias("x"), corner["y"].alias("y"), F.lit(None).cast("string").alias("building_id"))
+    return buildings.unionByName(t.amenities.select("map_id", F.col("amenity_id").alias("id"), of("amenity"), "x", "y", "building_id"))

@@ -65,18 +65,6 @@ def curve_points(s, d):
     return E.curve_points(X.ways(s, d), X.nodes(s, d)).select("way_id", F.col("seq").cast("long").alias("seq"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query("join_groups", "SELECT way_id || ':' || seq AS way_id, 'dissolved' AS status FROM seg WHERE d <= 12 AND way_id LIKE 'h%'")
-def join_groups(s, d):
-    """The short gaps between the grid's blocks as connectors; each stands alone, so none is refused."""
-    from roadspark.operators.spatial import segments
-
-    ids = M.way_nodes(X.ways(s, d))
-    seg = segments(X.ways(s, d).where("way_id like 'h%'"), X.nodes(s, d)).withColumn("len", F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2))
-    ends = seg.join(ids.withColumnRenamed("node_id", "start_id"), ["way_id", "seq"]).join(ids.select("way_id", (F.col("seq") - 1).alias("seq"), F.col("node_id").alias("end_id")), ["way_id", "seq"])
-    con = ends.select(F.concat_ws(":", "way_id", "seq").alias("way_id"), F.col("seq").cast("long").alias("ord"), "start_id", "end_id", F.lit(0).alias("layer"), "len")
-    return E.join_groups(con, X.nodes(s, d), 12.0).select("way_id", "status")
-
-
 @query("snap_to_edge", """WITH e AS (SELECT way_id || ':' || seq || ':' || CASE WHEN f THEN 'f' ELSE 'b' END AS edge_id, CASE WHEN f THEN ax ELSE zx END AS ax, CASE WHEN f THEN ay ELSE zy END AS ay, CASE WHEN f THEN zx ELSE ax END AS bx, CASE WHEN f THEN zy ELSE ay END AS bz, d FROM seg JOIN rw USING (way_id), (VALUES (true), (false)) AS q(f) WHERE (f AND fwd) OR (NOT f AND bwd)),
     c AS (SELECT i.event_id AS id, e.*, i.x, i.y, ((i.heading::INT % 360) + 360) % 360 AS h, greatest(0, least(1, ((i.x - ax) * (bx - ax) + (i.y - ay) * (bz - ay)) / (d * d))) AS t FROM fx i, e WHERE i.x BETWEEN least(ax, bx) - 15 AND greatest(ax, bx) + 15 AND i.y BETWEEN least(ay, bz) - 15 AND greatest(ay, bz) + 15),
     o AS (SELECT *, sqrt((x - ax - t * (bx - ax))^2 + (y - ay - t * (bz - ay))^2) AS off, abs(h - ((degrees(atan2(bx - ax, bz - ay)) + 360) % 360)) AS turn FROM c),

@@ -1,8 +1,9 @@
-"""List ranking and the merging of ways against a sequential merge, on random chains, rings and groups."""
+"""List ranking, the merging of ways against a sequential merge on random chains, rings and groups, and joined nodes."""
 
 import random
 
 from roadspark.operators.chains import merge_through_ways, rank_lists, remap_phases
+from roadspark.operators.joins import join_nodes, ungroup
 
 
 def test_rank_lists(spark):
@@ -95,3 +96,22 @@ def test_only_chosen_joints(spark):
     assert {r.way_id: r.nodes for r in out.collect()} == {"w1": ["a", "b", "c"], "w3": ["c", "d"]}
     left, out, merged = merge_through_ways(nodes, ways.where("way_id = 'x'"))
     assert out.count() == merged.count() == 0 and left.count() == 4
+
+
+def test_join_nodes_and_ungroup(spark):
+    """Overlapping selections, earlier groups, a connector with a branch, one with a shape point, a loop."""
+    groups = {"c": "g2", "d": "g2", "e": "g1"}
+    nodes = spark.createDataFrame([(x, {"join_group": groups[x], "k": "v"} if x in groups else {}) for x in [*"abcdefghuvw", "far"]], "node_id string, tags map<string,string>")
+    ways = [("short", ["a", "u", "b"]), ("branch", ["b", "v", "c"]), ("side", ["v", "far"]), ("loop", ["a", "w", "a"]), ("out", ["d", "far"]), ("tiny", ["d", "e"]), ("other", ["f", "g"]), ("alone", ["far", "h"])]
+    table = spark.createDataFrame([(w, i, n) for i, (w, n) in enumerate(ways)], "way_id string, ord long, nodes array<string>")
+    picked = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "e"), (3, "d"), (4, "f"), (4, "g"), (5, "missing")], "join_id int, node_id string")
+    left, kept, summary = join_nodes(nodes, table, picked)
+    got = {r.node_id: r.tags for r in left.collect()}
+    assert {x for x in got if got[x].get("join_group") == "g1"} == set("abcde") and got["c"]["k"] == "v"
+    assert got["f"] == got["g"] == {"join_group": "jg_4"} and got["h"] == {} and "u" not in got and "v" in got
+    assert {r.way_id for r in kept.collect()} == {"branch", "side", "loop", "out", "alone"}
+    assert sorted(map(tuple, summary.collect())) == [("g1", 5, 2), ("jg_4", 2, 1)]
+    apart = {r.node_id: r.tags for r in ungroup(left, spark.createDataFrame([("a",), ("h",)], "node_id string")).collect()}
+    assert apart["e"] == {"k": "v"} and apart["a"] == {} and apart["f"] == {"join_group": "jg_4"}
+    again, same, nothing = join_nodes(nodes, table, picked.where("join_id = 5"))
+    assert again.count() == 12 and same.count() == 8 and nothing.count() == 0

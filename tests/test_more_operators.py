@@ -6,7 +6,7 @@ from hashlib import sha256
 
 from pyspark.sql import functions as F
 
-from roadspark.operators import edits, routes, telemetry
+from roadspark.operators import edits, joins, routes, telemetry
 from roadspark.sources.files import parse_state_ticks, read_osm, read_trips, write_trips
 from roadspark.streaming.sink import Part, outweighed, read_keyed, upsert_sink
 
@@ -56,9 +56,11 @@ def test_largest_scc_by_mutual_reachability(spark):
 
 def test_join_groups_caps_the_span(spark):
     nodes = spark.createDataFrame([(f"n{k}", 9.0 * k, 0.0) for k in range(4)] + [("p", 500.0, 0.0), ("q", 510.1, 0.0)], "node_id string, x double, y double")
-    con = [("w0", 0, "n0", "n1", 0, 9.0), ("w1", 1, "n1", "n2", 0, 9.0), ("w2", 2, "n2", "n3", 0, 9.0), ("w3", 3, "n0", "n2", 0, 9.5), ("long", 4, "p", "q", 0, 10.1)]
-    got = {r.way_id: (r.status, r.start_group, r.end_group) for r in edits.join_groups(spark.createDataFrame(con, "way_id string, ord long, start_id string, end_id string, layer int, len double"), nodes).collect()}
-    assert got == {"w0": ("dissolved", "n0@0", "n0@0"), "w1": ("dissolved", "n0@0", "n0@0"), "w2": ("refused", "n0@0", "n3@0"), "w3": ("dissolved", "n0@0", "n0@0")}
+    con = [("w0", 0, "n0", "n1", 0, 9.0), ("w1", 1, "n1", "n2", 0, 9.0), ("w2", 2, "n2", "n3", 0, 9.0), ("w3", 3, "n0", "n2", 0, 9.5), ("w4", 9, "n0", "n1", 1, 9.0), ("loop", 5, "p", "p", 0, 1.0), ("long", 4, "p", "q", 0, 10.1)]
+    status, groups = joins.join_groups(spark.createDataFrame(con, "way_id string, ord long, start_id string, end_id string, layer int, len double"), nodes)
+    assert {r.way_id: r.status for r in status.collect()} == {"w0": "dissolved", "w1": "dissolved", "w2": "refused", "w3": "dissolved", "w4": "dissolved", "loop": "kept", "long": "kept"}
+    want = {("n0", 0): "n0@0", ("n1", 0): "n0@0", ("n2", 0): "n0@0", ("n3", 0): "n3@0", ("n0", 1): "n0@1", ("n1", 1): "n0@1", ("p", 0): "p@0", ("q", 0): "q@0"}
+    assert {(r.node_id, r.layer): r.group_id for r in groups.collect()} == want
 
 
 def test_remap_merges_tags_and_drops_repeats(spark):
