@@ -68,6 +68,19 @@ def _sweep(cap: int):
     return run
 
 
+def _swept(fixes: DataFrame, cap: int) -> DataFrame:
+    """gate, vehicle_id, session, admitted of the sessions that get in. fixes: of contended stretches, with island, until, removed."""
+    ordered = fixes.repartition("island").sortWithinPartitions("island", "t", "vehicle_id").select("gate", "island", "t", "vehicle_id", "session", "until", "removed")
+    kinds = {f.name: f.dataType.simpleString() for f in fixes.schema}
+    return ordered.mapInPandas(_sweep(cap), f"gate {kinds['gate']}, vehicle_id {kinds['vehicle_id']}, session long, admitted {kinds['t']}")
+
+
+def admitted_spans(spans: DataFrame, cap: int) -> DataFrame:
+    """Of spans (gate, vehicle_id, session, start, until, removed), stored, those that begin while fewer than cap admitted ones are open."""
+    contended = stored(_contended(spans, cap).join(spans.select(*_SESSION, F.col("start").alias("t"), "until", "removed"), _SESSION), "contended")
+    return spans.join(contended, _SESSION, "left_anti").select(*_SESSION).unionByName(_swept(contended, cap).select(*_SESSION))
+
+
 def capped_sessions(events: DataFrame, cap: int = MOST_LIVE, timeout: float = C.LIVE_TIMEOUT_SEC) -> DataFrame:
     """gate, vehicle_id, start, end, fixes, refused, reason (remove or timeout): sessions under a limit of cap at once per gate.
 
@@ -81,9 +94,7 @@ def capped_sessions(events: DataFrame, cap: int = MOST_LIVE, timeout: float = C.
     fixes, raw = _raw(events, timeout)
     fixes, raw = stored(fixes, "fixes"), stored(raw, "sessions")
     swept = stored(fixes.join(_contended(raw, cap), _SESSION).join(raw.select(*_SESSION, "until", "removed"), _SESSION), "contended")
-    ordered = swept.repartition("island").sortWithinPartitions("island", "t", "vehicle_id").select("gate", "island", "t", "vehicle_id", "session", "until", "removed")
-    kinds = {f.name: f.dataType.simpleString() for f in swept.schema}
-    admitted = ordered.mapInPandas(_sweep(cap), f"gate {kinds['gate']}, vehicle_id {kinds['vehicle_id']}, session long, admitted {kinds['t']}")
+    admitted = _swept(swept, cap)
     counted = swept.join(admitted, _SESSION, "left").groupBy(*_SESSION).agg(F.min("admitted").alias("admitted"), F.count(F.when(F.col("t") >= F.col("admitted"), 1)).alias("fixes")).withColumn("swept", F.lit(True))
     out = raw.join(counted, _SESSION, "left")
     free = F.col("swept").isNull()

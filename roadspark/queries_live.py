@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from roadspark.operators import graph as G
+from roadspark.operators import incidents as O
 from roadspark.operators import mapbuild as M
 from roadspark.operators import sessions as E
 from roadspark.operators import signals as L
@@ -15,6 +16,7 @@ from roadspark.operators import timelines as I
 from roadspark.plans import fixtures as X
 from roadspark.plans.store import shared_dir
 from roadspark.queries import query, r4
+from roadspark.queries_more import _DRAW
 from roadspark.queries_roads import ORACLE_SQL, QUERIES
 from roadspark.streaming import live as W
 from roadspark.streaming import sink as K
@@ -186,3 +188,23 @@ def fresh_routes(s, d):
     steps = ways.selectExpr("*", "explode(sequence(0, size(nodes) - 2)) AS step").selectExpr("way_id AS vehicle_id", "step", f"concat(nodes[step], {twin.format('step')}, '>', nodes[step + 1], {twin.format('(step + 1)')}) AS edge_id", "false AS is_junction")
     vehicles = ways.where("size(nodes) > 2").selectExpr("way_id AS vehicle_id", "0 AS step", "element_at(nodes, -1) AS dest_node", "false AS emergency", "false AS tracked")
     return V.fresh_routes(vehicles, steps, edges, live, hops=6).select("vehicle_id", *r4("current_sec", "new_sec"), "switch")
+
+
+_PLACED_AT = f"""WITH tries AS (SELECT event_id AS attempt, 120 * (event_id + 1) AS t, 300 + (event_id * 7919) % 2700 AS open_sec FROM events),
+    pool AS (SELECT 'any' AS pool, building_id, cx, cy FROM bl UNION ALL SELECT 'fire', building_id, cx, cy FROM bl WHERE building IN ('residential', 'commercial', 'industrial', 'retail') UNION ALL SELECT 'crime', building_id, cx, cy FROM bl WHERE building IN ('civic', 'commercial')),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY building_id) - 1 AS idx, count(*) OVER (PARTITION BY pool) AS n FROM pool),
+    rd AS (SELECT way_id, max(n) AS n, row_number() OVER (ORDER BY way_id) - 1 AS idx, count(*) OVER () AS m FROM wn GROUP BY way_id),
+    kd AS (SELECT *, (['fire', 'medical', 'accident', 'crime'])[CAST(({_DRAW.format(s=5, a='attempt', b=0, c=0)}) * 4 // 2147483648 AS INT) + 1] AS kind, {_DRAW.format(s=5, a='attempt', b=1, c=0)} AS u1, {_DRAW.format(s=5, a='attempt', b=2, c=0)} AS u2, {_DRAW.format(s=5, a='attempt', b=3, c=0)} AS u3 FROM tries),
+    pl AS (SELECT attempt, t, open_sec, kind, cx AS x, cy AS y FROM kd JOIN rk ON rk.pool = CASE kind WHEN 'fire' THEN 'fire' ELSE 'any' END AND rk.idx = u1 * n // 2147483648 WHERE kind <> 'accident'
+        UNION ALL SELECT attempt, t, open_sec, kind, a.x + (b.x - a.x) * (u3 / 2147483648.0::DOUBLE), a.y + (b.y - a.y) * (u3 / 2147483648.0::DOUBLE) FROM kd JOIN rd ON rd.idx = u1 * m // 2147483648 JOIN wn a ON a.way_id = rd.way_id AND a.seq = u2 * (rd.n - 1) // 2147483648 JOIN wn b ON b.way_id = rd.way_id AND b.seq = a.seq + 1 WHERE kind = 'accident'),
+    k AS (SELECT *, row_number() OVER (ORDER BY t) AS i FROM pl),
+    r(i, act, ok) AS (SELECT 0::BIGINT, []::BIGINT[], false UNION ALL SELECT i, CASE WHEN len(live) < 8 THEN list_append(live, (t + open_sec)::BIGINT) ELSE live END, len(live) < 8 FROM (SELECT k.i, k.t, k.open_sec, list_filter(r.act, lambda u: u > k.t) AS live FROM r JOIN k ON k.i = r.i + 1))"""
+
+
+@query("incident_generator", f"{_PLACED_AT} SELECT row_number() OVER (ORDER BY t) AS incident_id, attempt, t, kind, round(x, 6) AS x, round(y, 6) AS y, CASE kind WHEN 'fire' THEN 'ambulance=1,firetruck=2' WHEN 'medical' THEN 'ambulance=1' WHEN 'accident' THEN 'ambulance=1,police=1' ELSE 'police=2' END AS counts FROM k JOIN r USING (i) WHERE ok", recursive=True)
+def incident_generator(s, d):
+    """An attempt every two minutes for each event; incidents stay open for 5 to 50 minutes."""
+    attempts = s.read.parquet(f"{d}/events.parquet").selectExpr("event_id AS attempt", "120 * (event_id + 1) AS t", "300 + (event_id * 7919) % 2700 AS open_sec")
+    made = O.incident_generator(attempts, X.buildings(s, d), X.ways(s, d), X.nodes(s, d), 5)
+    counts = F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return made.select("incident_id", "attempt", "t", "kind", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), counts.alias("counts"))
