@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspark.functions import constants as C
@@ -84,3 +84,38 @@ def curve_points(ways: DataFrame, nodes: DataFrame, steps: int = 8) -> DataFrame
         return F.when(F.col("last"), a).otherwise((1 - t) ** 3 * a + 3 * (1 - t) ** 2 * t * c1 + 3 * (1 - t) * t**2 * c2 + t**3 * b)
 
     return k.select("way_id", (F.col("seq") * steps + F.col("k")).alias("seq"), at("x").alias("x"), at("y").alias("y"))
+
+
+def mixed_curve_points(ways: DataFrame, nodes: DataFrame, steps: int = 8, reach: float = 0.4) -> DataFrame:
+    """way_id, seq, x, y: ways as they are drawn, each vertex smooth or sharp as its vertex_type (angle or curve) and its way's curve say.
+
+    ways: way_id, nodes, curve (spline, else straight); nodes: node_id, x, y, tags. Ends are sharp. A spline runs smoothly through its vertices
+    but for those of type angle, at which it breaks into pieces; a straight way is rounded at vertices of type curve: a
+    quadratic corner from `reach` of the shorter stretch before to as much after. A way that lacks a node, or has fewer
+    than two, is its points.
+    """
+    w = Window.partitionBy("way_id").orderBy("seq")
+    whole = Window.partitionBy("way_id")
+    shaped = located(ways, nodes).join(ways.select("way_id", (F.col("curve") == "spline").alias("spline"), F.size("nodes").alias("size")), "way_id").join(nodes.select("node_id", F.coalesce(tag("vertex_type"), F.lit("")).alias("type")), "node_id")
+    p = shaped.withColumns({"n": F.count(F.lit(1)).over(whole), "i": F.row_number().over(w) - 1}).withColumn("spline", F.coalesce("spline", F.lit(False)))
+    end = (F.col("i") == 0) | (F.col("i") == F.col("n") - 1)
+    p = p.withColumn("sharp", end | F.when(F.col("spline"), F.col("type") == "angle").otherwise(F.col("type") != "curve"))
+    p = p.withColumns({f"{c}{k}": f(F.col(c), k).over(w) for c in ("x", "y") for k, f in ((0, lambda v, _: F.lag(v)), (1, lambda v, _: F.lead(v)), (2, lambda v, k: F.lead(v, k)))} | {"next_sharp": F.lead("sharp").over(w)})
+    plain = (F.col("n") < 2) | (F.col("n") != F.col("size"))
+    smooth = ~plain & F.col("spline") & (F.col("i") < F.col("n") - 1)
+    corner = ~plain & ~F.col("spline") & ~F.col("sharp")
+    some = F.when(smooth, F.sequence(F.when(F.col("i") == 0, 0).otherwise(1), F.lit(steps))).when(corner, F.sequence(F.lit(0), F.lit(steps))).when(~plain & F.col("spline"), F.array().cast("array<int>")).otherwise(F.array(F.lit(0)))
+    k = p.withColumn("k", F.explode(some)).withColumn("t", F.col("k") / F.lit(float(steps)))
+    before, after = (F.hypot(F.col(f"x{e}") - F.col("x"), F.col(f"y{e}") - F.col("y")) for e in (0, 1))
+    pull = F.least(before, after) * reach
+    share = lambda d: F.when(d > 1e-6, pull / d).otherwise(0.0)
+
+    def at(c: str) -> Column:
+        v, t, a, b, e = F.col(c), F.col("t"), F.col(f"{c}0"), F.col(f"{c}1"), F.col(f"{c}2")
+        c1 = v + (b - F.when(F.col("sharp"), v).otherwise(a)) / 6
+        c2 = b - (F.when(F.col("next_sharp"), b).otherwise(e) - v) / 6
+        into, out = v + (a - v) * share(before), v + (b - v) * share(after)
+        along = (1 - t) ** 3 * v + 3 * (1 - t) ** 2 * t * c1 + 3 * (1 - t) * t**2 * c2 + t**3 * b
+        return F.when(smooth, along).when(corner, (1 - t) ** 2 * into + 2 * (1 - t) * t * v + t**2 * out).otherwise(v).alias(c)
+
+    return k.select("way_id", (F.row_number().over(Window.partitionBy("way_id").orderBy("i", "k")) - 1).alias("seq"), at("x"), at("y"))

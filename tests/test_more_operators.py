@@ -120,3 +120,17 @@ def test_incident_states(spark):
     e = spark.createDataFrame([(7, 1, "dispatch", 5), (7, 1, "incident_arrival", 9), (8, 2, "dispatch", 4), (9, 2, "dispatch", 6), (9, 2, "recall", 8)], "vehicle_id long, incident_id long, event string, t long")
     assert sorted(map(tuple, telemetry.incident_lifecycle(i, e).collect())) == [(1, "resolved", 5, 9), (2, "responding", 4, None), (3, "pending", None, None)]
     assert telemetry.incident_lifecycle(i, e).where(F.col("status").isNull()).isEmpty()
+
+
+def test_curves_that_mix_corners_and_splines(spark):
+    nodes = spark.createDataFrame([("a", 0.0, 0.0, {}), ("b", 10.0, 0.0, {"vertex_type": "curve"}), ("c", 10.0, 20.0, {"vertex_type": "angle"}), ("d", 30.0, 20.0, {})], "node_id string, x double, y double, tags map<string,string>")
+    ways = spark.createDataFrame([("line", ["a", "b", "c", "d"], "line"), ("spline", ["a", "b", "c", "d"], "spline"), ("gap", ["a", "zz", "b"], "spline"), ("two", ["a", "d"], None)], "way_id string, nodes array<string>, curve string")
+    got = {}
+    for r in edits.mixed_curve_points(ways, nodes).orderBy("way_id", "seq").collect():
+        got.setdefault(r.way_id, []).append((round(r.x, 6), round(r.y, 6)))
+    assert got["two"] == [(0, 0), (30, 20)] and got["gap"] == [(0, 0), (10, 0)]
+    line = got["line"]
+    assert len(line) == 12 and line[:2] == [(0, 0), (6, 0)] and line[5] == (9, 1) and line[9:] == [(10, 4), (10, 20), (30, 20)]
+    spline = got["spline"]
+    assert len(spline) == 25 and spline[0] == (0, 0) and spline[8] == (10, 0) and spline[16] == (10, 20) and spline[24] == (30, 20)
+    assert all(y == 20 for _, y in spline[16:])  # past the angle the curve starts anew
