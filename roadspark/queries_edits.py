@@ -174,7 +174,7 @@ _BENT = """WITH p AS (SELECT way_id, seq, wn.x, wn.y, n, ord % 2 = 1 AS spline,
     s AS (SELECT *, seq = 0 OR seq = n - 1 OR v = 1 OR (v <> 2 AND NOT spline) AS sharp FROM p),
     q AS (SELECT *, lag(x) OVER u AS x0, lag(y) OVER u AS y0, lead(x) OVER u AS x1, lead(y) OVER u AS y1, lead(x, 2) OVER u AS x2, lead(y, 2) OVER u AS y2, lead(sharp) OVER u AS next FROM s WINDOW u AS (PARTITION BY way_id ORDER BY seq)),
     h AS (SELECT *, sqrt((x - x0)^2 + (y - y0)^2) AS d0, sqrt((x1 - x)^2 + (y1 - y)^2) AS d1 FROM q),
-    c AS (SELECT *, x + (x0 - x) * 0.4 * least(d0, d1) / d0 AS ix, y + (y0 - y) * 0.4 * least(d0, d1) / d0 AS iy, x + (x1 - x) * 0.4 * least(d0, d1) / d1 AS ox, y + (y1 - y) * 0.4 * least(d0, d1) / d1 AS oy,
+    c AS (SELECT *, x + (x0 - x) * (least(d0, d1) * 0.4::DOUBLE / d0) AS ix, y + (y0 - y) * (least(d0, d1) * 0.4::DOUBLE / d0) AS iy, x + (x1 - x) * (least(d0, d1) * 0.4::DOUBLE / d1) AS ox, y + (y1 - y) * (least(d0, d1) * 0.4::DOUBLE / d1) AS oy,
         x + (x1 - CASE WHEN sharp THEN x ELSE x0 END) / 6 AS ax, y + (y1 - CASE WHEN sharp THEN y ELSE y0 END) / 6 AS ay, x1 - (CASE WHEN next THEN x1 ELSE x2 END - x) / 6 AS bx, y1 - (CASE WHEN next THEN y1 ELSE y2 END - y) / 6 AS by_ FROM h),
     f AS (SELECT way_id, seq, k, (1 - t)^3 * x + 3 * (1 - t)^2 * t * ax + 3 * (1 - t) * t^2 * bx + t^3 * x1 AS x, (1 - t)^3 * y + 3 * (1 - t)^2 * t * ay + 3 * (1 - t) * t^2 * by_ + t^3 * y1 AS y FROM c, LATERAL (SELECT k, k / 8.0::DOUBLE AS t FROM range(0, 9) AS z(k)) WHERE spline AND x1 IS NOT NULL AND (k > 0 OR seq = 0)
         UNION ALL SELECT way_id, seq, k, (1 - t)^2 * ix + 2 * (1 - t) * t * x + t^2 * ox, (1 - t)^2 * iy + 2 * (1 - t) * t * y + t^2 * oy FROM c, LATERAL (SELECT k, k / 8.0::DOUBLE AS t FROM range(0, 9) AS z(k)) WHERE NOT spline AND NOT sharp
