@@ -86,16 +86,14 @@ def _scaled(s, d):
     return pairs.selectExpr("concat_ws(':', way_id, seq) AS way_id", order, "node_id AS start_id", "end_id", "0 AS layer", "sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey)) AS len"), nodes
 
 
-@query("join_groups", f"{_JOINED} SELECT way_id, status FROM s WHERE i > 0 UNION ALL SELECT way_id, 'kept' FROM c WHERE len > 10", recursive=True)
+@query("join_groups", f"""{_JOINED}, f AS (SELECT unnest(root) AS r, unnest(range(0, len(root))) AS k FROM s WHERE i = (SELECT max(i) FROM s)), n AS (SELECT k, min('n' || k || '@0') OVER (PARTITION BY r) AS id FROM f),
+    t AS (SELECT way_id, status FROM s WHERE i > 0 UNION ALL SELECT way_id, 'kept' FROM c WHERE len > 10) SELECT way_id, status, p.id AS start_group, q.id AS end_group FROM t JOIN c USING (way_id) JOIN n p ON p.k = a JOIN n q ON q.k = b""", recursive=True)
 def join_groups(s, d):
+    """Every connector's status, and the groups that its ends belong to in the end."""
     connectors, nodes = _scaled(s, d)
-    return Q.join_groups(connectors, nodes)[0].select("way_id", "status")
-
-
-@query("node_groups", f"{_JOINED}, f AS (SELECT unnest(root) AS r, unnest(range(0, len(root))) AS k FROM s WHERE i = (SELECT max(i) FROM s)) SELECT 'n' || k AS node_id, 0 AS layer, min('n' || k || '@0') OVER (PARTITION BY r) AS group_id FROM f", recursive=True)
-def node_groups(s, d):
-    connectors, nodes = _scaled(s, d)
-    return Q.join_groups(connectors, nodes)[1]
+    told, groups = Q.join_groups(connectors, nodes)
+    end = lambda c: groups.select(F.col("node_id").alias(f"{c}_id"), F.col("group_id").alias(f"{c}_group"))
+    return told.join(end("start"), "start_id").join(end("end"), "end_id").select("way_id", "status", "start_group", "end_group")
 
 
 _NODES = """WITH m AS (SELECT k, col, r, 'n' || k AS node_id, CASE WHEN col % 10 < 2 THEN 'g' || r || '_' || col // 10 END AS old, CASE WHEN col % 10 >= 1 AND col % 10 < 4 THEN 'b' || r || '_' || col // 10 WHEN col % 10 >= 6 THEN 'c' || r || '_' || col // 10 END AS sel FROM g),
