@@ -13,6 +13,7 @@ from roadspark.operators import sessions as E
 from roadspark.operators import signals as L
 from roadspark.operators import telemetry as V
 from roadspark.operators import timelines as I
+from roadspark.operators import trips as T
 from roadspark.plans import fixtures as X
 from roadspark.plans.store import shared_dir
 from roadspark.queries import query, r4
@@ -208,3 +209,32 @@ def incident_generator(s, d):
     made = O.incident_generator(attempts, X.buildings(s, d), X.ways(s, d), X.nodes(s, d), 5)
     counts = F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
     return made.select("incident_id", "attempt", "t", "kind", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), counts.alias("counts"))
+
+
+@query("lane_change_safe", """WITH n AS (SELECT t, vehicle_id, dist, lead(dist) OVER w AS d1, lead(vehicle_id) OVER w AS v1, lag(dist) OVER w AS d0, lag(vehicle_id) OVER w AS v0 FROM st WINDOW w AS (PARTITION BY t, edge, lane ORDER BY dist, vehicle_id))
+    SELECT t, vehicle_id, (d1 IS NULL OR d1 - 4.5 - dist >= CASE WHEN v1 % 7 IN (2, 3, 5) THEN 7.5 ELSE 5 END) AND (d0 IS NULL OR dist - 4.5 - d0 >= CASE WHEN v0 % 7 IN (2, 3, 5) THEN 9 ELSE 6 END) AS safe FROM n""")
+def lane_change_safe(s, d):
+    """Every vehicle at every tick against its neighbours; buses, trucks and fire engines are wide."""
+    wide = lambda c: F.when(F.col(c) % 7 == 2, 2.5).when(F.col(c) % 7 == 3, 2.5).when(F.col(c) % 7 == 5, 2.5).when(F.col(c).isNotNull(), 1.8)
+    return V.lane_change_safe(V.lane_neighbors(X.states(s, d)).withColumns({"ahead_width": wide("ahead_id"), "behind_width": wide("behind_id")}))
+
+
+def _fleets(s, d):
+    """Amenities with up to two fleets of up to three vehicles; some vehicles are in several."""
+    vehicle = "named_struct('id', concat('v', (s_suppkey * 7 + f * 3 + i) % 60), 'length', CAST(4 + i AS DOUBLE), 'maxSpeed', CAST(80 + 10 * f AS DOUBLE))"
+    fleet = f"named_struct('id', concat('f', s_suppkey, '_', f), 'vehicleType', IF(f = 0, 'police', 'ambulance'), 'vehicles', transform(filter(sequence(0, 2), i -> i < (s_suppkey + f) % 4), i -> {vehicle}))"
+    return s.read.parquet(f"{d}/supplier.parquet").selectExpr("concat('a_', s_suppkey) AS amenity_id", f"transform(filter(sequence(0, 1), f -> f < s_suppkey % 3), f -> {fleet}) AS fleets")
+
+
+_FLEETS = """WITH a AS (SELECT s_suppkey AS s FROM supplier), f AS (SELECT s, f FROM a LEFT JOIN range(0, 2) AS q(f) ON f < s % 3), v AS (SELECT s, f, i FROM f LEFT JOIN range(0, 3) AS z(i) ON i < (s + f) % 4),
+    r AS (SELECT 'a_' || s AS amenity_id, 'f' || s || '_' || f AS fleet_id, CASE f WHEN 0 THEN 'police' WHEN 1 THEN 'ambulance' END AS vehicle_type, 'v' || ((s * 7 + f * 3 + i) % 60) AS vehicle_id, (4 + i)::DOUBLE AS length, CASE WHEN i IS NOT NULL THEN (80 + 10 * f)::DOUBLE END AS max_speed FROM v)"""
+
+
+@query("fleet_vehicles", f"{_FLEETS} SELECT * FROM r")
+def fleet_vehicles(s, d):
+    return T.fleet_vehicles(_fleets(s, d))[0].withColumnRenamed("maxSpeed", "max_speed")
+
+
+@query("fleet_duplicates", f"{_FLEETS} SELECT vehicle_id, count(*) AS n FROM r WHERE vehicle_id IS NOT NULL GROUP BY vehicle_id HAVING count(*) > 1")
+def fleet_duplicates(s, d):
+    return T.fleet_vehicles(_fleets(s, d))[1]
