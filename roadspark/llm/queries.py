@@ -66,7 +66,7 @@ def op6_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = F.floor(F.col("rec_id") / wide)
     prints = stored(fingerprint_played(played, "rec_id", "text", F.col("conv_id") % 20 == 0), "prints")
     queries = prints.where("sample IS NOT NULL").select("rec_id", F.col("sample").alias("codes"))
-    return search_report(prints.select("rec_id", "codes"), queries).select(conv.alias("conv_id"), (F.col("rec_id") - conv * wide).alias("turn"), "*")
+    return search_report(prints.select("rec_id", "codes"), queries, spent=prints).select(conv.alias("conv_id"), (F.col("rec_id") - conv * wide).alias("turn"), "*")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
