@@ -126,11 +126,11 @@ def vehicle_trace(states: DataFrame, ids: DataFrame) -> DataFrame:
 
 def dispatch_top(incidents: DataFrame, vehicles: DataFrame, n: int, reach_m: float) -> DataFrame:
     """incident_id, type, vehicle_id, rank, dist_m: for each incident the n nearest vehicles of each emergency type within reach."""
-    from roadspark.operators.spatial import with_cell, with_near_cells
+    from roadspark.operators.spatial import meet, with_cell, with_near_cells
 
     a = with_near_cells(incidents.select("incident_id", "x", "y"), reach_m)
     b = with_cell(vehicles.where(F.col("vehicle_type").isin(*C.EMERGENCY_TYPES)).select("vehicle_id", F.col("vehicle_type").alias("type"), F.col("x").alias("vx"), F.col("y").alias("vy")), reach_m, "vx", "vy")
-    near = a.join(b, ["cx", "cy"]).withColumn("d2", (F.col("x") - F.col("vx")) ** 2 + (F.col("y") - F.col("vy")) ** 2).where(F.col("d2") <= reach_m**2)
+    near = meet(a, b, ["cx", "cy"]).withColumn("d2", (F.col("x") - F.col("vx")) ** 2 + (F.col("y") - F.col("vy")) ** 2).where(F.col("d2") <= reach_m**2)
     rank = F.row_number().over(Window.partitionBy("incident_id", "type").orderBy("d2", "vehicle_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= n).select("incident_id", "type", "vehicle_id", "rank", F.sqrt("d2").alias("dist_m"))
 
