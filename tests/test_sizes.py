@@ -30,3 +30,9 @@ def test_nearest_major_road_is_not_broadcast(spark, exact):
     for p in points.collect():
         d = min(((p["x"] - x) ** 2 + (p["y"] - y) ** 2) ** 0.5 for x, y in spots)
         assert (p["id"] in got) == (d < 150.0) and abs(got.get(p["id"], d) - d) < 1e-9
+
+
+def test_vision_cone_and_close_pairs_are_not_broadcast(spark):
+    v = grid(spark)
+    for df in (spatial.vision_cone(v, v, 0.45, 50.0), spatial.close_pairs(v, 50.0)):
+        assert "BroadcastHashJoin" not in plan(df) and df.count() > 0
