@@ -79,6 +79,7 @@ def uniform(low, high, *parts, seed: int = 1):
 
 def sample_endpoints(ids: DataFrame, nodes: DataFrame, seed: int, min_m: float, tries: int = 50) -> DataFrame:
     """id, start_node, end_node: for each id the first drawn pair of different nodes at least min_m apart, else the last different one."""
+    from roadspark.operators.spatial import meet
     from roadspark.plans.store import numbered
 
     order = numbered(nodes.select("node_id", "x", "y"), "node_id")
@@ -86,7 +87,7 @@ def sample_endpoints(ids: DataFrame, nodes: DataFrame, seed: int, min_m: float,
     pairs = ids.select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tries - 1).cast("long"))).alias("try"))
     pick = lambda which: F.floor(drawn(F.col("id"), F.col("try"), F.lit(which), seed=seed) * F.lit(n).cast("long") / MODULUS)
     a, b = (order.select(F.col("idx").alias(f"i{k}"), F.col("node_id").alias(f"n{k}"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")) for k in (0, 1))
-    drawn_pairs = pairs.withColumns({"i0": pick(0), "i1": pick(1)}).where("i0 <> i1").join(a, "i0").join(b, "i1")
+    drawn_pairs = meet(meet(pairs.withColumns({"i0": pick(0), "i1": pick(1)}).where("i0 <> i1"), a, ["i0"]), b, ["i1"])
     far = (F.col("x0") - F.col("x1")) ** 2 + (F.col("y0") - F.col("y1")) ** 2 >= min_m**2
     best = drawn_pairs.groupBy("id").agg(F.min_by(F.struct("n0", "n1"), F.when(far, F.col("try"))).alias("good"), F.max_by(F.struct("n0", "n1"), "try").alias("last"))
     chosen = best.withColumn("p", F.coalesce("good", "last"))

@@ -36,3 +36,9 @@ def test_vision_cone_and_close_pairs_are_not_broadcast(spark):
     v = grid(spark)
     for df in (spatial.vision_cone(v, v, 0.45, 50.0), spatial.close_pairs(v, 50.0)):
         assert "BroadcastHashJoin" not in plan(df) and df.count() > 0
+
+
+def test_endpoints_are_not_broadcast(spark):
+    nodes = grid(spark).selectExpr("concat('n', id) AS node_id", "x", "y")
+    df = trips.sample_endpoints(spark.range(40), nodes, 3, 10.0, 20)
+    assert "BroadcastHashJoin" not in plan(df) and df.count() == 40
