@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from roadspark.operators import graph as G
 from roadspark.operators import incidents as O
@@ -28,13 +29,27 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 EPOCH = 1704067200
 
 
-def as_stream(df, last=None):
-    """df, stored, as a stream that takes one file at a time. last: rows of a file of their own, which comes after all others."""
-    path = f"{shared_dir(df.sparkSession)}/source-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+ROWS_A_FILE = 250_000
+
+
+def as_stream(df, last=None, order=None):
+    """df, stored, as a stream that takes one file at a time. last: rows of a file of their own, which comes after all others.
+
+    order: a column in whose order the files come. A source takes files by the time they were written, and tasks that write at once
+    end in any order; so ranges of the column are written one after the other, as many as keep a file below some ROWS_A_FILE rows.
+    """
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/source-{uuid.uuid4().hex}"
+    if order is None:
+        df.write.parquet(path)
+    else:
+        ranges = max(6, -(-df.count() // ROWS_A_FILE))
+        df.repartitionByRange(ranges, order).withColumn("__part", F.spark_partition_id()).write.partitionBy("__part").parquet(f"{path}-ranges")
+        dealt = spark.read.schema(Y.StructType([*df.schema, Y.StructField("__part", Y.IntegerType())])).parquet(f"{path}-ranges")
+        for part in sorted(r["__part"] for r in dealt.select("__part").distinct().collect()):
+            dealt.where(F.col("__part") == part).select(df.columns).coalesce(1).write.mode("append").parquet(path)
     if last is not None:
         last.select(df.columns).coalesce(1).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def state_messages(s, d):
@@ -103,7 +118,7 @@ def capped_session_stream(s, d):
     """The same through a stream, which a last event far later brings to its end."""
     events = _tracked(s, d).selectExpr("gate", "vehicle_id", f"timestamp_seconds({EPOCH} + t) AS ts", "kind")
     last = s.createDataFrame([("", "", 4_000_000_000)], "gate string, vehicle_id string, t long").selectExpr("gate", "vehicle_id", "timestamp_seconds(t) AS ts", "'remove' AS kind")
-    out = W.run_once(Z.capped_session_stream(as_stream(events.repartitionByRange(6, "ts"), last), CAP, lateness="1 day"), shared_dir(s), "append")
+    out = W.run_once(Z.capped_session_stream(as_stream(events, last, "ts"), CAP, lateness="1 day"), shared_dir(s), "append")
     seconds = lambda c: ((F.col(c) / 1000).cast("long") - EPOCH).alias(c)
     return out.select("gate", "vehicle_id", seconds("start"), seconds("end"), "fixes", "refused", "reason")
 

@@ -42,3 +42,15 @@ def test_endpoints_are_not_broadcast(spark):
     nodes = grid(spark).selectExpr("concat('n', id) AS node_id", "x", "y")
     df = trips.sample_endpoints(spark.range(40), nodes, 3, 10.0, 20)
     assert "BroadcastHashJoin" not in plan(df) and df.count() == 40
+
+
+def test_stream_files_come_in_order(spark, monkeypatch, tmp_path):
+    from roadspark import queries_live
+
+    monkeypatch.setattr(queries_live, "shared_dir", lambda s: str(tmp_path))
+    monkeypatch.setattr(queries_live, "ROWS_A_FILE", 2_500)
+    events = spark.range(20_000, numPartitions=8).selectExpr("(id * 7919) % 20000 AS t")
+    assert queries_live.as_stream(events, spark.createDataFrame([(10**9,)], "t long"), "t").isStreaming
+    files = sorted((p for p in tmp_path.glob("source-*/*.parquet") if "ranges" not in str(p.parent)), key=lambda p: p.stat().st_mtime_ns)
+    spans = [spark.read.parquet(str(p)).agg(F.min("t"), F.max("t"), F.count("t")).first() for p in files]
+    assert len(files) >= 8 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False)) and sum(x[2] for x in spans) == 20_001
