@@ -150,7 +150,7 @@ def override_stream(s, d):
     """Every change of a hold as a stream gives it."""
     events = X.overrides(s, d).withColumn("ts", F.timestamp_seconds(F.col("event_id") + EPOCH))
     last = events.limit(1).selectExpr("1000000000L AS event_id", "'release' AS action", "false AS force", "'' AS node_id", "'' AS token", "'' AS controller", "CAST(NULL AS array<struct<wayId:string,movement:string>>) AS green_lamps", "CAST(NULL AS string) AS way_id", "timestamp_seconds(4000000000L) AS ts")
-    return W.run_once(Z.override_stream(as_stream(events.repartitionByRange(6, "event_id"), last), "1 day"), shared_dir(s), "append")
+    return W.run_once(Z.override_stream(as_stream(events, last, "event_id"), "1 day"), shared_dir(s), "append")
 
 
 @query("upsert_sink", "SELECT DISTINCT ON (vehicle_id) vehicle_id, t, x, y FROM fx ORDER BY vehicle_id, t DESC")
