@@ -245,9 +245,14 @@ def signal_clock(holds: DataFrame, asks: DataFrame) -> DataFrame:
     known = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.coalesce((F.col("since") > known).cast("int"), F.lit(1))
     islands = holds.withColumn("end", end).withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).groupBy("node_id", "island").agg(F.min("since").alias("a"), F.max("end").alias("b"))
-    j = asks.join(islands, "node_id", "left")
-    frozen = F.greatest(F.lit(0), F.least("b", "t") - F.col("a"))
-    return j.groupBy(*asks.columns).agg(F.sum(F.coalesce(frozen, F.lit(0))).alias("f")).select(*asks.columns, (F.col("t") - F.col("f")).alias("clock_sec"))
+    # islands don't overlap, so an ask needs the last one that began before it and the lengths of those before
+    gone = F.coalesce(F.sum(F.greatest(F.lit(0), F.col("b") - F.col("a"))).over(Window.partitionBy("node_id").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = islands.where("node_id IS NOT NULL").select("node_id", F.col("a").alias("at"), F.struct("a", "b", gone.alias("gone")).alias("own"), F.lit(None).cast(asks.schema).alias("ask"))
+    marks = asks.select("node_id", F.col("t").alias("at"), F.lit(None).cast(begun.schema["own"].dataType).alias("own"), F.struct(*asks.columns).alias("ask")).unionByName(begun)
+    w = Window.partitionBy("node_id").orderBy("at", F.col("own").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = marks.withColumn("on", F.last("own", ignorenulls=True).over(w)).where("ask IS NOT NULL")
+    frozen = F.coalesce(F.col("on.gone") + F.greatest(F.lit(0), F.least("on.b", "at") - F.col("on.a")), F.lit(0))
+    return last.select("ask.*", (F.col("at") - frozen).alias("clock_sec")).distinct()
 
 
 def _phases(groups: Column, label: str) -> Column:

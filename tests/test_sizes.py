@@ -44,6 +44,18 @@ def test_endpoints_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(df) and df.count() == 40
 
 
+def test_clock_without_a_pair_for_each_hold(spark):
+    from roadspark.operators.signals import signal_clock
+
+    holds = spark.createDataFrame([("a", 10, 20), ("a", 15, 30), ("a", 40, 40), ("a", 50, None), ("b", 5, 3), (None, 1, 9)], "node_id string, since long, until long")
+    asks = spark.createDataFrame([("a", t, "x") for t in (0, 10, 12, 30, 35, 45, 60)] + [("b", 9, "y"), ("c", 4, "z"), (None, 8, "n"), ("a", 60, "x")], "node_id string, t long, tag string")
+    df = signal_clock(holds, asks)
+    assert "Join" not in plan(df)
+    got = {(r["node_id"], r["t"]): r["clock_sec"] for r in df.collect()}
+    assert got == {("a", 0): 0, ("a", 10): 10, ("a", 12): 10, ("a", 30): 10, ("a", 35): 15, ("a", 45): 25, ("a", 60): 30, ("b", 9): 9, ("c", 4): 4, (None, 8): 8}
+    assert df.count() == 10 and df.columns == ["node_id", "t", "tag", "clock_sec"]
+
+
 def test_stream_files_come_in_order(spark, monkeypatch, tmp_path):
     from roadspark import queries_live
 
