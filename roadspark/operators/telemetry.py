@@ -136,13 +136,22 @@ def dispatch_top(incidents: DataFrame, vehicles: DataFrame, n: int, reach_m: flo
 
 
 def lane_vision_cost(states: DataFrame, reach_m: float = 50.0) -> DataFrame:
-    """t, id, lane, cost: what slower vehicles ahead in the lane cost, by how much slower and how near they are."""
+    """t, id, lane, cost: what slower vehicles ahead in the lane cost, by how much slower and how near they are.
+
+    Vehicles of one place and speed count as one, with their number, on both sides: pairs grow with the different places and
+    speeds in reach, not with the square of the vehicles.
+    """
+    at = ["t", "edge", "lane", "dist", "speed_mps"]
+    kinds = states.groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
     cell = F.floor(F.col("dist") / reach_m)
-    a = states.select("t", F.col("vehicle_id").alias("id"), "edge", "lane", "dist", F.col("speed_mps").alias("v"), F.explode(F.array(cell, cell + 1)).alias("cell"))
-    b = states.select("t", "edge", "lane", F.col("dist").alias("ahead"), F.col("speed_mps").alias("u"), cell.alias("cell"))
+    a = kinds.select(*at, F.explode(F.array(cell, cell + 1)).alias("cell"))
+    b = kinds.select("t", "edge", "lane", F.col("dist").alias("ahead"), F.col("speed_mps").alias("u"), "n", cell.alias("cell"))
     gap = F.col("ahead") - F.col("dist")
-    near = a.join(b, ["t", "edge", "lane", "cell"]).where((gap > 0) & (gap < reach_m))
-    return near.groupBy("t", "id", "lane").agg(F.sum(F.greatest(F.lit(0.0), F.col("v") - F.col("u")) * (1 - gap / reach_m)).alias("cost"))
+    near = a.hint("merge").join(b, ["t", "edge", "lane", "cell"]).where((gap > 0) & (gap < reach_m))
+    cost = near.groupBy(*at).agg(F.sum(F.col("n") * F.greatest(F.lit(0.0), F.col("speed_mps") - F.col("u")) * (1 - gap / reach_m)).alias("cost"))
+    own = states.select(*at, F.col("vehicle_id").alias("id")).withColumnRenamed("speed_mps", "v").hint("merge")
+    met = own.join(cost, ["t", "edge", "lane", "dist"]).where(F.col("v").eqNullSafe(F.col("speed_mps")))
+    return met.groupBy("t", "id", "lane").agg(F.sum("cost").alias("cost"))
 
 
 def incident_lifecycle(incidents: DataFrame, events: DataFrame) -> DataFrame:

@@ -56,6 +56,20 @@ def test_clock_without_a_pair_for_each_hold(spark):
     assert df.count() == 10 and df.columns == ["node_id", "t", "tag", "clock_sec"]
 
 
+def test_lane_cost_counts_equal_vehicles_once(spark):
+    rows = [(0, k, 1, 0, float(k % 3), None if k == 7 else float(5 + k % 2)) for k in range(40)]
+    states = spark.createDataFrame(rows, "t long, vehicle_id long, edge long, lane long, dist double, speed_mps double")
+    df = telemetry.lane_vision_cost(states, 2.0)
+    assert "count(1)" in plan(df)
+    got = {r["id"]: r["cost"] for r in df.collect()}
+    want = {}
+    for _, a, _, _, d, v in rows:
+        for _, _, _, _, e, u in rows:
+            if 0 < e - d < 2.0:
+                want[a] = want.get(a, 0) + (max(0.0, v - u) if None not in (u, v) else 0.0) * (1 - (e - d) / 2.0)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_stream_files_come_in_order(spark, monkeypatch, tmp_path):
     from roadspark import queries_live
 
