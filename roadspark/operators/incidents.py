@@ -50,11 +50,13 @@ def place_incidents(attempts: DataFrame, buildings: DataFrame, ways: DataFrame,
     chosen = attempts.withColumn("kind", kind).withColumn("pool", F.when(on_road, "road").otherwise(own))
     chosen = chosen.withColumn("idx", F.when(on_road, _pick(F.lit(n_roads), 1, seed)).otherwise(_pick(size, 1, seed)))
     housed = chosen.join(pools, ["pool", "idx"], "left")
-    j = housed.join(roads.select(F.lit("road").alias("pool"), "idx", "way_id", "nodes"), ["pool", "idx"], "left")
-    step = F.floor(drawn(F.col("attempt"), F.lit(2), seed=seed) * (F.size("nodes") - 1) / MODULUS).cast("int")
-    ends = j.withColumns({"a": F.when(F.col("pool") == "road", F.get("nodes", step)), "b": F.when(F.col("pool") == "road", F.get("nodes", step + 1)), "share": drawn(F.col("attempt"), F.lit(3), seed=seed) / F.lit(float(MODULUS))})
-    spot = lambda c: nodes.select(F.col("node_id").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"))
-    met = ends.join(spot("a"), "a", "left").join(spot("b"), "b", "left")
+    # the stops of roads are rows: an attempt meets the two it needs, not the whole of a long road
+    on = F.when(F.col("pool") == "road", F.col("idx"))
+    step = F.floor(drawn(F.col("attempt"), F.lit(2), seed=seed) * (F.col("stops") - 1) / MODULUS)
+    j = housed.withColumn("road", on).hint("merge").join(roads.select(F.col("idx").alias("road"), F.size("nodes").alias("stops")), "road", "left").withColumn("step", step)
+    at_road = roads.select(F.col("idx").alias("road"), F.posexplode("nodes").alias("seq", "node_id")).hint("merge").join(nodes.select("node_id", "x", "y"), "node_id")
+    stop = lambda c, k: at_road.select("road", (F.col("seq").cast("long") - k).alias("step"), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y")).hint("merge")
+    met = j.withColumn("share", drawn(F.col("attempt"), F.lit(3), seed=seed) / F.lit(float(MODULUS))).join(stop("a", 0), ["road", "step"], "left").join(stop("b", 1), ["road", "step"], "left")
     at = lambda c: F.coalesce(F.col(f"of_{c}"), F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * F.col("share")).alias(c)
     return met.select(*attempts.columns, "kind", at("x"), at("y"))
 

@@ -80,3 +80,17 @@ def test_stream_files_come_in_order(spark, monkeypatch, tmp_path):
     files = sorted((p for p in tmp_path.glob("source-*/*.parquet") if "ranges" not in str(p.parent)), key=lambda p: p.stat().st_mtime_ns)
     spans = [spark.read.parquet(str(p)).agg(F.min("t"), F.max("t"), F.count("t")).first() for p in files]
     assert len(files) >= 8 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False)) and sum(x[2] for x in spans) == 20_001
+
+
+def test_accidents_meet_stops_and_not_whole_roads(spark):
+    from roadspark.operators.incidents import place_incidents
+
+    nodes, ways = road(spark)
+    spots = nodes.where("node_id <> 'n3'")
+    none = spark.createDataFrame([], "building_id string, tags map<string,string>, polygon array<struct<x:double,y:double>>")
+    df = place_incidents(spark.range(400).selectExpr("id AS attempt"), none, ways, spots, 5)
+    assert "posexplode(nodes" in plan(df)
+    rows = df.collect()
+    found = [r for r in rows if r["x"] is not None]
+    assert len(rows) == 400 and 0 < len(found) < 400 and {r["kind"] for r in found} == {"accident", "medical"}
+    assert all(0 <= r["x"] <= 120 and 0 <= r["y"] <= 150 for r in found)
