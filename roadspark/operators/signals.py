@@ -46,12 +46,12 @@ def lamp_state_phases(signals: DataFrame, asks: DataFrame) -> DataFrame:
     key = ["node_id", "way_id", "t"]
     local = F.pmod(F.col("t").cast("double"), F.col("cycle_sec"))
     mine = F.coalesce(F.array_contains("way_ids", F.col("way_id")), F.lit(False))
-    both = asks.select(*key).distinct().join(segs, "node_id").withColumns({"local": local, "mine": mine})
+    both = asks.select(*key).distinct().hint("merge").join(segs, "node_id").withColumns({"local": local, "mine": mine})  # asks are many, however few Spark takes them for
     on = F.col("mine") & (F.col("start") <= F.col("local")) & (F.col("local") < F.col("end"))
     until = F.col("start") - F.col("local")
     wait = F.when(F.col("mine") & (F.col("color") == "green"), F.when(until <= 0, until + F.col("cycle_sec")).otherwise(until))
     told = both.groupBy(*key).agg(F.max(F.when(on, F.col("color"))).alias("now"), F.max(F.when(on, F.col("end") - F.col("local"))).alias("left"), F.min(wait).alias("wait"), F.max("cycle_sec").alias("cycle_sec"))
-    full = asks.join(told, key, "left")
+    full = asks.hint("merge").join(told, key, "left")
     return full.select(*asks.columns, F.coalesce("now", F.lit("red")).alias("color"), F.when(F.col("now").isNotNull(), F.col("left")).otherwise(F.coalesce("wait", "cycle_sec", F.lit(0.0))).alias("remaining_sec"))
 
 

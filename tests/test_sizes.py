@@ -82,6 +82,17 @@ def test_stream_files_come_in_order(spark, monkeypatch, tmp_path):
     assert len(files) >= 8 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False)) and sum(x[2] for x in spans) == 20_001
 
 
+def test_lamp_asks_are_not_broadcast(spark):
+    from roadspark.operators.signals import lamp_state_phases
+
+    phase = "array(named_struct('id', 'p', 'wayIds', array('w'), 'greenSec', 10.0D, 'yellowSec', 3.0D))"
+    signals = spark.range(1).selectExpr("'n' AS node_id", "'phases' AS scheme", "2.0D AS all_red_sec", f"{phase} AS phases", "CAST(NULL AS struct<yellowSec:double,pairs:array<struct<wayIds:array<string>,stepSec:double>>>) AS paired")
+    asks = spark.range(15).selectExpr("'n' AS node_id", "'w' AS way_id", "CAST(id AS DOUBLE) AS t")
+    df = lamp_state_phases(signals, asks)
+    assert "BroadcastHashJoin" not in plan(df)
+    assert [r["color"] for r in df.orderBy("t").collect()] == ["green"] * 10 + ["yellow"] * 3 + ["red"] * 2
+
+
 def test_accidents_meet_stops_and_not_whole_roads(spark):
     from roadspark.operators.incidents import place_incidents
 
