@@ -51,7 +51,7 @@ def place_incidents(attempts: DataFrame, buildings: DataFrame, ways: DataFrame,
     chosen = chosen.withColumn("idx", F.when(on_road, _pick(F.lit(n_roads), 1, seed)).otherwise(_pick(size, 1, seed)))
     housed = chosen.join(pools, ["pool", "idx"], "left")
     # the stops of roads are rows: an attempt meets the two it needs, not the whole of a long road
-    on = F.when(F.col("pool") == "road", F.col("idx"))
+    on = F.when(F.col("pool") == "road", F.col("idx")).otherwise(-1 - F.pmod(F.col("attempt"), F.lit(1 << 40)))  # others spread over all tasks, and meet none
     step = F.floor(drawn(F.col("attempt"), F.lit(2), seed=seed) * (F.col("stops") - 1) / MODULUS)
     j = housed.withColumn("road", on).hint("merge").join(roads.select(F.col("idx").alias("road"), F.size("nodes").alias("stops")), "road", "left").withColumn("step", step)
     at_road = roads.select(F.col("idx").alias("road"), F.posexplode("nodes").alias("seq", "node_id")).hint("merge").join(nodes.select("node_id", "x", "y"), "node_id")
