@@ -105,3 +105,13 @@ def test_accidents_meet_stops_and_not_whole_roads(spark):
     found = [r for r in rows if r["x"] is not None]
     assert len(rows) == 400 and 0 < len(found) < 400 and {r["kind"] for r in found} == {"accident", "medical"}
     assert all(0 <= r["x"] <= 120 and 0 <= r["y"] <= 150 for r in found)
+
+
+def test_retagging_broadcasts_no_cells(spark):
+    nodes, ways = road(spark)
+    square = "array(named_struct('x', x, 'y', y), named_struct('x', x + 5, 'y', y), named_struct('x', x + 5, 'y', y + 5), named_struct('x', x, 'y', y + 5))"
+    buildings = grid(spark).selectExpr("concat('b', id) AS building_id", "id AS ord", "map('building', 'yes') AS tags", f"{square} AS polygon")
+    amenities = spark.createDataFrame([], "amenity_id string, ord long, x double, y double, tags map<string,string>, building_id string")
+    df = spatial.retag_buildings(buildings, amenities, nodes, ways)
+    assert not any("BroadcastHashJoin" in line and "cx" in line for line in plan(df).splitlines())
+    assert {r["building"] for r in df.collect()} == {"commercial"}
