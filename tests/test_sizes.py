@@ -115,3 +115,11 @@ def test_retagging_broadcasts_no_cells(spark):
     df = spatial.retag_buildings(buildings, amenities, nodes, ways)
     assert not any("BroadcastHashJoin" in line and "cx" in line for line in plan(df).splitlines())
     assert {r["building"] for r in df.collect()} == {"commercial"}
+
+
+def test_footprints_are_not_broadcast(spark):
+    square = "array(named_struct('x', x, 'y', y), named_struct('x', x + 5, 'y', y), named_struct('x', x + 5, 'y', y + 5), named_struct('x', x, 'y', y + 5))"
+    buildings = grid(spark).selectExpr("concat('b', id) AS building_id", "id AS ord", f"{square} AS polygon")
+    df = spatial.point_in_building(grid(spark).selectExpr("id", "x + 1 AS x", "y + 1 AS y"), buildings)
+    assert "BroadcastHashJoin" not in plan(df)
+    assert {(r["id"], r["building_id"]) for r in df.collect()} == {(k, f"b{k}") for k in range(30)}
