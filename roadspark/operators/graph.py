@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspark.functions import constants as C
-from roadspark.functions.tags import backward, distance, forward, lookup, speed_kmh, tag
+from roadspark.functions.tags import atan2, backward, distance, forward, lookup, speed_kmh, tag
 from roadspark.operators.mapbuild import class_speed_rank, located, routable_ways, way_nodes
 from roadspark.plans.store import discard, stored
 
@@ -98,7 +98,7 @@ def classify_movement(df: DataFrame) -> DataFrame:
     """Adds movement and speed_factor from arr_x, arr_y, dep_x, dep_y."""
     dot = F.col("arr_x") * F.col("dep_x") + F.col("arr_y") * F.col("dep_y")
     cross = F.col("arr_x") * F.col("dep_y") - F.col("arr_y") * F.col("dep_x")
-    movement = F.when(dot < C.UTURN_DOT, "uturn").when(F.atan2(cross, dot) < C.RIGHT_ANGLE_RAD, "right").otherwise("through")
+    movement = F.when(dot < C.UTURN_DOT, "uturn").when(atan2(cross, dot) < C.RIGHT_ANGLE_RAD, "right").otherwise("through")
     return df.withColumn("movement", movement).withColumn("speed_factor", lookup(C.MOVEMENT_FACTOR, F.col("movement")))
 
 
