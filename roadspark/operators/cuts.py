@@ -22,20 +22,27 @@ def _whole(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _along(df: DataFrame) -> DataFrame:
-    """Adds u, px, py, d: the point (x, y) brought onto its segment (ax, ay)-(bx, by)."""
+    """Adds u, px, py, d: the point (x, y) brought onto its segment (ax, ay)-(bx, by).
+
+    u divides by the square of the rounded length: the SQL does, and whether a foot at the far end counts as short of it hangs on that bit.
+    """
     ex, ey = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    l2 = ex * ex + ey * ey
+    length = distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    l2 = length * length
     u = F.when(l2 > 1e-9, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * ex + (F.col("y") - F.col("ay")) * ey) / l2))).otherwise(0.0)
     on = df.withColumn("u", u).withColumns({"px": F.col("ax") + F.col("u") * ex, "py": F.col("ay") + F.col("u") * ey})
-    return on.withColumn("d", distance(F.col("x"), F.col("y"), F.col("px"), F.col("py")))
+    # from the segment's own beginning: far from the origin, px and py have lost the digits that tell two segments apart
+    return on.withColumn("d", distance(F.col("x") - F.col("ax"), F.col("y") - F.col("ay"), F.col("u") * ex, F.col("u") * ey))
 
 
 def place_on_ways(points: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """point_id, way_id, x, y, ax, ay, bx, by, seq, u, px, py: the nearest segment of each point's own way (ties: the first).
 
-    points: point_id, way_id, x, y. A point meets the segments of one way; those of ways with unknown nodes go.
+    points: point_id, way_id, x, y. A point meets the segments of one way; those of ways with unknown nodes go. Points are dealt
+    over all shuffle partitions, which Spark would merge into few by the size of what comes before the join.
     """
-    near = _along(points.select("point_id", "way_id", "x", "y").join(segments(_whole(ways, nodes), nodes), "way_id"))
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = _along(points.select("point_id", "way_id", "x", "y").repartition(parts, "way_id").join(segments(_whole(ways, nodes), nodes), "way_id"))
     kept = ("ax", "ay", "bx", "by", "u", "px", "py")
     best = near.groupBy("point_id", "way_id", "x", "y").agg(F.min(F.struct(F.round("d", 9).alias("near"), "seq", *kept)).alias("b"))
     return best.select("point_id", "way_id", "x", "y", "b.seq", *(f"b.{c}" for c in kept))
