@@ -191,11 +191,26 @@ def classes_of(rows: DataFrame, k: int) -> DataFrame:
     return stored(least.groupBy("h1", "h2").agg(F.min("vec_id").alias("class_id"), F.min_by("embedding", "vec_id").alias("embedding"), F.array_sort(F.collect_list("vec_id")).alias("members")), "classes")
 
 
+def least_hashes(classes: DataFrame, most: int) -> DataFrame:
+    """h, class_id, embedding of some 2 * most classes, the `most` least hashes of ids among them: what may be sorted for a limit of `most`.
+
+    Each task of such a sort sends the driver as many rows as the limit, so without this the driver would get most rows of every task.
+    """
+    hashed, n = classes.select(F.xxhash64("class_id").alias("h"), "class_id", "embedding"), classes.count()
+    share = 2 * most
+    while share < n:
+        low = hashed.where(F.col("h") < int(share / n * 2**64) - 2**63)
+        if low.count() >= most:
+            return low
+        share *= 2
+    return hashed
+
+
 def sampled(classes: DataFrame) -> np.ndarray:
     """Unit vectors of at most SAMPLE classes and SAMPLE_BYTES, picked by the hash of their ids; goes to the driver and every worker."""
     width = classes.select(F.size("embedding")).first()
     most = min(SAMPLE, max(64, SAMPLE_BYTES // (4 * max(1, width[0] if width else 1))))
-    picked = classes.select(F.xxhash64("class_id").alias("h"), "class_id", "embedding").orderBy("h", "class_id").limit(most).toArrow()
+    picked = least_hashes(classes, most).orderBy("h", "class_id").limit(most).toArrow()
     return unit(_matrix(picked["embedding"].combine_chunks())) if picked.num_rows else np.zeros((0, 1))
 
 

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from roadspark.llm import hamming_index
 from roadspark.llm.hamming_index import TABLES, _within, nearest_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, score double, rank int"
@@ -83,3 +84,11 @@ def test_few_rows(spark):
     assert nearest_vectors(df.where("vec_id < 0"), df.where("vec_id < 0")).count() == 0
     alone = df.where("vec_id = 0")
     assert nearest_vectors(alone, alone).count() == 0
+
+
+def test_the_sample_takes_few_rows_of_each_task(spark):
+    classes = spark.range(20_000).repartition(16).selectExpr("id AS class_id", "array(CAST(id AS FLOAT)) AS embedding")
+    low = hamming_index.least_hashes(classes, 64)
+    least = lambda df: [r["class_id"] for r in df.selectExpr("class_id", "xxhash64(class_id) AS h").orderBy("h", "class_id").limit(64).collect()]
+    assert 64 <= low.count() < 512 and least(low) == least(classes)
+    assert hamming_index.least_hashes(classes.limit(100), 64).count() == 100
