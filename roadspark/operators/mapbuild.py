@@ -82,8 +82,8 @@ def road_defaults(ways: DataFrame, maxspeed: str = "60", avg_min_speed: str = "2
 
 
 def located(ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """way_id, seq, node_id, x, y of known nodes."""
-    return way_nodes(ways).join(nodes.select("node_id", "x", "y"), "node_id").select("way_id", "seq", "node_id", "x", "y")
+    """way_id, seq, node_id, x, y of known nodes. By sorted merge: by the size of its compressed file, a large table of nodes would go to the driver."""
+    return way_nodes(ways).hint("merge").join(nodes.select("node_id", "x", "y"), "node_id").select("way_id", "seq", "node_id", "x", "y")
 
 
 def way_geometry(ways: DataFrame, nodes: DataFrame) -> DataFrame:
