@@ -205,7 +205,7 @@ def fresh_routes(vehicles: DataFrame, steps: DataFrame, edges: DataFrame, live:
     their last step, or at the end of whose edge their destination is. new_sec and path are null and empty unless the
     route from the end of the current edge costs less than factor of what is left: no search goes further than that.
     """
-    from roadspark.operators.graph import shortest_paths
+    from roadspark.operators.routes import route_paths
 
     costs = live_edge_cost(edges, live)
     priced = steps.join(edges.select("edge_id", F.col("dst").alias("to")), "edge_id").join(costs, "edge_id")
@@ -214,7 +214,7 @@ def fresh_routes(vehicles: DataFrame, steps: DataFrame, edges: DataFrame, live:
     asked = stored(current.where("NOT inside AND n > 1 AND src <> dest_node").select("vehicle_id", "src", F.col("dest_node").alias("dst"), "current_sec"), "asked")
     arcs = edges.join(costs, "edge_id").select("src", "dst", F.col("cost_sec").alias("weight_sec"))
     od = asked.select(F.col("vehicle_id").alias("od_id"), "src", "dst", (factor * F.col("current_sec")).alias("most_sec"))
-    found = shortest_paths(arcs, od, hops, paths=True).select(F.col("od_id").alias("vehicle_id"), F.col("cost_sec").alias("new_sec"), "path")
+    found = route_paths(arcs, od, hops=hops).select(F.col("od_id").alias("vehicle_id"), F.col("cost_sec").alias("new_sec"), "path")
     return asked.select("vehicle_id", "current_sec").join(found, "vehicle_id").select("vehicle_id", "current_sec", "new_sec", F.col("new_sec").isNotNull().alias("switch"), "path")
 
 

@@ -95,3 +95,12 @@ def test_seeded_costs(spark):
     od = spark.createDataFrame([(1, 1, 2), (2, 1, 3), (3, 3, 4), (4, 3, 1), (5, 5, 1)], "od_id long, start_id long, end_id long")
     got = {r.od_id: r.cost_sec for r in N.seeded_costs(edges, od, ends).collect()}
     assert got == {1: 5.0, 2: 9.0, 3: 4.0, 4: None, 5: None}
+
+
+def test_a_limit_of_costs_by_joins_and_by_search(spark):
+    draw = random.Random(5)
+    edges = spark.createDataFrame([(f"n{draw.randrange(14)}", f"n{draw.randrange(14)}", float(draw.choice((0, 1, 1, 2, 5)))) for _ in range(40)], "src string, dst string, weight_sec double")
+    od = [(f"v{k}", f"n{k % 14}", f"n{k * 5 % 15}", draw.choice((None, 0.0, 1.0, 2.0, 3.5))) for k in range(120)]
+    table = spark.createDataFrame(od, "od_id string, src string, dst string, most_sec double")
+    by_joins, by_search = (sorted(tuple(r) for r in P.route_paths(edges, table, most_edges=n).select("od_id", "found", "cost_sec", "path").collect()) for n in (0, P.MOST_EDGES))
+    assert by_joins == by_search and 0 < sum(r[1] for r in by_search) < 120
