@@ -22,32 +22,10 @@ from roadspark.llm.common import stored
 
 # The pre-token pattern of byte-level BPE.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_WORDS = 150_000
 SALT_ROWS = 200_000
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
-class _Wide(Exception):
-    """A space beside other white space: words between spaces can't be encoded on their own."""
-
-
-class _Words(dict):
-    """Word -> its ids as little-endian bytes; filled on demand, bounded."""
-
-    def __init__(self, encode, lead: str):
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, word: str) -> bytes:
-        if self.lead and (not word or word[0].isspace()):
-            raise _Wide
-        ids = np.array(self.encode(self.lead + word), dtype="<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) > KEPT_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class Encoder:
     """Whole texts to ids for a byte-level BPE file of the tokenizers library, its special strings included."""
 
@@ -63,14 +41,10 @@ class Encoder:
         ranks = {bytes(symbol[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in self.special}
         self.plain = tiktoken.Encoding("words", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.first, self.later = _Words(self.plain, ""), _Words(self.plain, " ")
 
     def _part(self, text: str) -> bytes:
-        head, *rest = text.split(" ")
-        try:
-            return b"".join([self.first[head], *[self.later[w] for w in rest]])
-        except _Wide:
-            return np.array(self.plain(text), dtype="<u4").tobytes()
+        # whole texts at once: 24 % of all words at sf0.1 were not in a memory of words, and a call for each costs more than the memory saves
+        return np.array(self.plain(text), dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         if self.cut is not None and any(s in text for s in self.special):
