@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -48,10 +48,10 @@ def words_of(text: str) -> list[str]:
     return [w[k : k + WORD_CHARS] for w in found for k in range(0, len(w), WORD_CHARS)]
 
 
-def _grams(word: str) -> set[str]:
+def _grams(word: str, sizes: Iterable[int] = GRAM) -> set[str]:
     """Beginnings and ends of a word, with the space before or after it."""
     padded = f" {word} "
-    sizes = [n for n in GRAM if n <= len(padded)]
+    sizes = [n for n in sizes if n <= len(padded)]
     return {padded[:n] for n in sizes} | {padded[-n:] for n in sizes} | {padded[1 : n + 1] for n in sizes if n < len(padded)}
 
 
@@ -64,29 +64,35 @@ def _segments(toxic: list[str], ordinary: list[str]) -> list[str]:
         common.update(set(WORD.findall(t.lower())))
     often = 0.02 * len(ordinary)
     # Copies of a text repeat whatever it holds: what counts is in how many contexts (words before it) a word stands.
-    contexts: dict[str, set[str]] = defaultdict(set)
+    # A context is a number, one for each pair of words.
+    frequently = {w for w, n in common.items() if n > often}
+    del common
+    pairs: dict[tuple[str, str], int] = {}
+    contexts: dict[str, set[int]] = defaultdict(set)
     holders: dict[str, set[int]] = defaultdict(set)
     for k, t in enumerate(toxic):
         last = ""
         for w in WORD.findall(t.lower()):
-            if common[w] <= often:
-                contexts[w].add(last)
+            if w not in frequently:
+                contexts[w].add(pairs.setdefault((last, w), len(pairs)))
                 holders[w].add(k)
             last = w
+    del pairs
     least = max(4, len(toxic) // 100)
-    count: Counter = Counter()
-    for w, cs in contexts.items():
-        for g in _grams(w):
-            count[g] += len(cs)
-    frequent = {g for g, n in count.items() if n >= least}
-    del count
-    where: dict[str, set[tuple[str, str]]] = defaultdict(set)
-    texts: dict[str, set[int]] = defaultdict(set)
-    for w in contexts:
-        for g in _grams(w) & frequent:
-            where[g].update((c, w) for c in contexts[w])
-            texts[g] |= holders[w]
-    texts = {g: ks for g, ks in texts.items() if len(ks) >= least}
+    texts: dict[str, set[int]] = {}
+    where: dict[str, set[int]] = {}
+    for n in GRAM:  # one size after the other, for memory
+        count: Counter = Counter()
+        for w, cs in contexts.items():
+            for g in _grams(w, (n,)):
+                count[g] += len(cs)
+        frequent = {g for g, times in count.items() if times >= least}
+        del count
+        held: dict[str, set[int]] = defaultdict(set)
+        for w, ks in holders.items():
+            for g in _grams(w, (n,)) & frequent:
+                held[g] |= ks
+        texts |= {g: ks for g, ks in held.items() if len(ks) >= least}
     if not texts:
         return []
     seen: Counter = Counter()
@@ -99,7 +105,11 @@ def _segments(toxic: list[str], ordinary: list[str]) -> list[str]:
         seen.update({g for _, g in automaton.iter(plain)})
     ratio = lambda g: math.log((len(texts[g]) + 0.5) / (len(toxic) + 1) * (len(ordinary) + 1) / (seen[g] + 0.5))
     # A segment has to be odds of e^3 likelier in toxic texts, by more than its own count could bring about by chance.
-    good = {g for g in texts if ratio(g) > 3 and min(len(texts[g]), len(where[g])) * ratio(g) > 40}
+    good = {g for g in texts if ratio(g) > 3 and len(texts[g]) * ratio(g) > 40}
+    for w, cs in contexts.items():
+        for g in _grams(w) & good:
+            where.setdefault(g, set()).update(cs)
+    good = {g for g in good if len(where[g]) * ratio(g) > 40}
     chosen, size = [], 0
     while good and size < TOXIC_BYTES:
         best = max(good, key=lambda g: (len(where[g]) * min(len(g), 10), len(g), g))

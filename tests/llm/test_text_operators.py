@@ -510,3 +510,19 @@ def test_bitmap_hash_is_sparks(spark):
     x = [0, 1, -1, 2**63 - 1, -(2**63), 123456789]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x long").select(F.xxhash64("x")).collect()]
     assert spark_hash(np.array(x, dtype=np.int64)).view(np.int64).tolist() == want
+
+
+def test_toxic_segments_are_counted_size_after_size():
+    """The grams of all words at once took the driver some hundred MB."""
+    import random
+    import tracemalloc
+
+    from roadspark.llm import toxicity
+
+    draw = random.Random(5)
+    texts = [" ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=10)) + (" vexspite" if k % 9 == 0 else "") for k in range(200)) for _ in range(100)]
+    tracemalloc.start()
+    found = toxicity._segments(texts, ["plain words only"] * 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "vexspite" in "".join(found) and peak < 45e6
