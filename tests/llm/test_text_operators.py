@@ -526,3 +526,39 @@ def test_toxic_segments_are_counted_size_after_size():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert "vexspite" in "".join(found) and peak < 45e6
+
+
+def test_search_looks_up_all_keys(spark, monkeypatch):
+    """A query whose rarer half has many places, and whose other half is shared by more recordings, which a budget of places lost."""
+    from collections import Counter
+
+    import numpy as np
+
+    from roadspark.llm import media as M
+
+    monkeypatch.setattr(M, "QUERY_CODES", 300, raising=False)  # several blocks of each
+    monkeypatch.setattr(M, "INDEX_CODES", 2000, raising=False)
+    rng = random.Random(5)
+    some = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    left, right = some(60), some(60)
+    texts = [(0, f"{left} {right}"), *((k, f"{left} {some(3)}") for k in range(1, 40)), *((k, f"{right} {some(3)}") for k in range(41, 120)), (200, "ha " * 400), (201, "ha " * 390 + "ho"), (220, some(80)), (240, "")]
+    prints = M.fingerprint_played(spark.createDataFrame(texts, "rec_id long, text string"), "rec_id", "text", F.col("rec_id") % 20 == 0).cache()
+    found = M.search(prints.select("rec_id", "codes"), prints.where("sample IS NOT NULL").select("rec_id", F.col("sample").alias("codes"))).collect()
+    rows, want = sorted(prints.collect()), set()
+    first = lambda column: {r[column]: r.rec_id for r in reversed(rows) if r[column]}
+    for a, q in first("sample").items():
+        x = np.frombuffer(a, "<u4").tolist()
+        for b, c in first("codes").items():
+            y = np.frombuffer(b, "<u4").tolist()
+            at = {}
+            for p in range(len(y) - M.STEP):
+                at.setdefault((y[p], y[p + M.STEP]), []).append(p)
+            votes = Counter(p - k for k in range(len(x) - M.STEP) for p in at.get((x[k], x[k + M.STEP]), []))
+            if votes and max(votes.values()) >= 3:
+                o, n = min(votes.items(), key=lambda v: (-v[1], abs(v[0]), v[0]))
+                both = range(max(0, -o), min(len(x), len(y) - o))
+                rate = round(sum((x[k] ^ y[k + o]).bit_count() for k in both) / (32 * len(both)), 4)
+                if rate <= 0.35:
+                    want.add((q, c, o, n, rate))
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+    assert {c for q, c, *_ in want if q == 0} >= set(first("codes").values()) & {*range(1, 40), *range(41, 120)}
