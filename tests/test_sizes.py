@@ -136,3 +136,20 @@ def test_footprints_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
     tasks = [int(n) for n in re.findall(r"hashpartitioning\(cx#\w+, cy#\w+, (\d+)\)", plan(df))]
     assert len(tasks) == 2 and min(tasks) >= 6
     assert df.count() == 30
+
+
+def test_close_pairs_compare_spots_not_vehicles(spark, monkeypatch):
+    """Distances were worked out, and rounded, for each pair of vehicles; those at one spot have the same."""
+    monkeypatch.setattr(spatial, "IDS_A_ROW", 3, raising=False)
+    rows = [(t, v, float(v % 7 * 9), float(v % 3 * 8 - 8)) for t in (0, 1) for v in range(0, 90, 1 + t)]
+    rows += [(0, 3, 27.0, -8.0), (0, 5, 300.0, 0.0), (0, None, 0.0, 0.0), (None, 7, 0.0, 0.0), (0, 91, None, 0.0), (0, 92, float("nan"), 0.0), (0, 93, -0.0, 0.0), (0, 94, 0.0, -8.0)]
+    states = spark.createDataFrame(rows, "t long, id long, x double, y double")
+    want = []
+    for t, i, x, y in rows:
+        for u, j, z, w in rows:
+            if None not in (t, i, x, u, j, z) and t == u and i < j and ((x - z) ** 2 + (y - w) ** 2) ** 0.5 < 20:
+                want.append((t, i, j, round(((x - z) ** 2 + (y - w) ** 2) ** 0.5, 4)))
+    df = spatial.close_pairs(states, 20.0, 4)
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want) and df.columns == ["t", "id_a", "id_b", "dist_m"]
+    lines = plan(df).splitlines()
+    assert next(k for k, line in enumerate(lines) if "explode(ids_b" in line) < next(k for k, line in enumerate(lines) if "SortMergeJoin" in line)
