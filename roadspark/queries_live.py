@@ -32,8 +32,8 @@ EPOCH = 1704067200
 ROWS_A_FILE = 250_000
 
 
-def as_stream(df, last=None, order=None):
-    """df, stored, as a stream that takes one file at a time. last: rows of a file of their own, which comes after all others.
+def as_stream(df, last=None, order=None, files=1):
+    """df, stored, as a stream that takes so many files at a time. last: rows of a file of their own, which comes after all others.
 
     order: a column in whose order the files come. A source takes files by the time they were written, and tasks that write at once
     end in any order; so ranges of the column are written one after the other, as many as keep a file below some ROWS_A_FILE rows.
@@ -49,7 +49,7 @@ def as_stream(df, last=None, order=None):
             dealt.where(F.col("__part") == part).select(df.columns).coalesce(1).write.mode("append").parquet(path)
     if last is not None:
         last.select(df.columns).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def state_messages(s, d):
@@ -79,7 +79,7 @@ _JOINED = """SELECT t::DOUBLE AS t, CASE WHEN vehicle_id % 10 = 9 THEN -1000000
 @query("stream_state_join", _JOINED)
 def stream_state_join(s, d):
     """All ticks through a stream, joined to the trip manifest, rows appended as they come."""
-    out = Z.stream_state_join(as_stream(state_messages(s, d).repartition(4)), _manifest(s, d), EPOCH, "10 minutes")
+    out = Z.stream_state_join(as_stream(state_messages(s, d).repartition(48), files=12), _manifest(s, d), EPOCH, "10 minutes")
     return _joined(W.run_once(out, shared_dir(s), "append"))
 
 

@@ -153,3 +153,16 @@ def test_close_pairs_compare_spots_not_vehicles(spark, monkeypatch):
     assert sorted(tuple(r) for r in df.collect()) == sorted(want) and df.columns == ["t", "id_a", "id_b", "dist_m"]
     lines = plan(df).splitlines()
     assert next(k for k, line in enumerate(lines) if "explode(ids_b" in line) < next(k for k, line in enumerate(lines) if "SortMergeJoin" in line)
+
+
+def test_vehicles_of_a_message_are_read_behind_the_shuffle(spark):
+    """A source's few files were parsed by as few tasks, twins and all."""
+    from roadspark.streaming import states
+
+    value = ['{"t":1.0,"vehicles":[{"id":1,"x":2.5},{"id":2}]}'] * 2 + ['{"t":2.0,"vehicles":[]}', '{"t":3.0}', '{"vehicles":[{"id":9}]}', "{", None, '{"t":4.0,"vehicles":[{"id":1}]}']
+    raw = spark.createDataFrame([(v,) for v in value], "value string")
+    df = states.stream_state_join(raw, spark.createDataFrame([(1, "bus"), (1, "car")], "id long, kind string"))
+    lines = plan(df).splitlines()  # before it runs, without a final plan beside it
+    assert sorted(((r["t"], r["id"], r["x"], r["kind"]) for r in df.collect()), key=str) == [(1.0, 1, 2.5, "bus"), (1.0, 2, None, None), (4.0, 1, None, "bus")]
+    parsed = [k for k, line in enumerate(lines) if "StructField(vehicles" in line]
+    assert parsed and max(parsed) < next(k for k, line in enumerate(lines) if "Exchange hashpartitioning(ts" in line)
