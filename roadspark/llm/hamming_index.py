@@ -4,7 +4,11 @@ A bounded sample fits rotations that bring vectors close to the corners of a cub
 after rotation are a vector's code. Codes are cut into substrings and listed under each of them. A query's radius follows
 from its k-th nearest vector of the sample: codes of vectors nearer than that lie within it, but for a small share. By
 the pigeonhole principle a code within radius r agrees with the query in some substring j up to (r - j) // m bits, so the lists
-probed there hold every code within the radius; those are reranked by the vectors themselves.
+probed there hold every code within the radius; those are reranked by the vectors themselves. A query whose radius reaches
+most lists reads the codes once instead of every list of every table, with the same codes found.
+
+Blocks of queries meet blocks of vectors in a task each, which has an index of its own and hands on the k nearest that it
+finds for each query: pairs within a radius, whose number grows with the square of the vectors, are never rows.
 
 Equal vectors are one class throughout, so a vector that very many rows share is indexed and searched for once.
 """
@@ -27,9 +31,10 @@ TABLES = BITS // WIDE
 SAMPLE, SAMPLE_BYTES = 8192, 16 << 20
 ROUNDS = 10
 MARGIN = 0.9  # standard deviations of the differing bits beyond their mean
-LIST = 16384  # postings that a bucket is meant to hold
-PROBES = 1024  # queries in a row
-PAIRS = 1 << 22  # pairs of codes compared at once
+LIST = 512  # codes that a list is meant to hold
+PAIRS = 1 << 18  # pairs of codes compared at once
+QUERY_BYTES, INDEX_BYTES = 64 << 20, 32 << 20  # of the vectors of a block, in double precision
+LEAST_BLOCK = 4096  # vectors below which a block isn't split for more tasks
 
 
 class Codes(NamedTuple):
@@ -83,62 +88,10 @@ def radii(vectors: np.ndarray, codes: Codes, k: int) -> np.ndarray:
     return out
 
 
-def _lists(bucket: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, places) for each bucket, at most `most` places at once."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    for own in np.split(order, cuts):
-        for k in range(0, len(own), most):
-            yield int(bucket[own[0]]), own[k : k + most]
-
-
 def _prefix(words: np.ndarray, j: int, bits: int) -> np.ndarray:
     return (words[:, j] >> np.uint32(WIDE - bits)).astype(np.int64) if bits else np.zeros(len(words), dtype=np.int64)
 
 
-_POSTINGS = pa.schema([("j", pa.int32()), ("bucket", pa.int32()), ("ids", pa.binary()), ("codes", pa.binary())])
-_PROBES = pa.schema([("j", pa.int32()), ("bucket", pa.int32()), ("query_ids", pa.binary()), ("query_codes", pa.binary()), ("radii", pa.binary())])
-
-
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
-def _postings(codes: Broadcast, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ids, words = batch.column(0).to_numpy().astype("<i8"), encode(unit(_matrix(batch.column(1))), codes.value)
-                yield _rows([(j, b, ids[at].tobytes(), words[at].tobytes()) for j in range(TABLES) for b, at in _lists(_prefix(words, j, bits), LIST)], _POSTINGS)
-
-    return run
-
-
-def _probes(codes: Broadcast, bits: int, k: int):
-    masks = np.arange(1 << bits)
-    flips = np.bitwise_count(masks)
-    masks, upto = masks[np.argsort(flips, kind="stable")], np.cumsum(np.bincount(flips, minlength=bits + 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, PAIRS >> bits)
-        for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                vectors = unit(_matrix(part.column(1)))
-                ids, words, r = part.column(0).to_numpy().astype("<i8"), encode(vectors, codes.value), radii(vectors, codes.value, k)
-                for j in range(TABLES):
-                    within = (r - j) // TABLES
-                    asked = np.flatnonzero(within >= 0)
-                    n = upto[np.minimum(within[asked], bits)]
-                    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    query = np.repeat(asked, n)
-                    rows = [(j, b, ids[query[o]].tobytes(), words[query[o]].tobytes(), r[query[o]].astype("<u2").tobytes()) for b, o in _lists(_prefix(words, j, bits)[query] ^ masks[place], PROBES)]
-                    if rows:
-                        yield _rows(rows, _PROBES)
-
-    return run
-
-
 def _within(j: int, a: np.ndarray, r: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places (in a, in b) of codes within the radii r, that substring j finds and none before it."""
     near, out = ((r - j) // TABLES).astype(np.int64), []
@@ -157,23 +110,94 @@ def _within(j: int, a: np.ndarray, r: np.ndarray, b: np.ndarray) -> tuple[np.nda
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists that meet probes -> pairs of a query and a code within its radius, each once."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids, b = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["codes"], "<u4").reshape(-1, TABLES)
-            asked, a = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["query_codes"], "<u4").reshape(-1, TABLES)
-            q, p = _within(row["j"], a, np.frombuffer(row["radii"], "<u2").astype(np.int64), b)
-            yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(ids[p])], names=["query_class", "class_id"])
+def _scanned(a: np.ndarray, r: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in a, in b) of codes within the radii r, some queries at a time."""
+    a, b = np.ascontiguousarray(a).view("<u8"), np.ascontiguousarray(np.ascontiguousarray(b).view("<u8").T)
+    step = max(1, PAIRS // b.shape[1])
+    for at in range(0, len(a), step):
+        far = np.zeros((len(a[at : at + step]), b.shape[1]), np.uint16)
+        for t in range(len(b)):
+            far += np.bitwise_count(a[at : at + step, t, None] ^ b[t])
+        q, p = np.nonzero(far <= r[at : at + step, None])
+        yield q + at, p
+
+
+def _probed(a: np.ndarray, r: np.ndarray, b: np.ndarray, bits: int, masks: np.ndarray, upto: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same by the lists that the radii reach in each table."""
+    for j in range(TABLES):
+        near = (r - j) // TABLES
+        asked = np.flatnonzero(near >= 0)
+        n = upto[np.minimum(near[asked], bits)]
+        query, place = np.repeat(asked, n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        bucket = _prefix(a, j, bits)[query] ^ masks[place]
+        order, listed = np.argsort(bucket, kind="stable"), np.argsort(_prefix(b, j, bits), kind="stable")
+        ends = [np.searchsorted(x, np.arange((1 << bits) + 1)) for x in (bucket[order], _prefix(b, j, bits)[listed])]
+        for k in np.unique(bucket).tolist():
+            own, there = query[order[ends[0][k] : ends[0][k + 1]]], listed[ends[1][k] : ends[1][k + 1]]
+            if len(there):
+                q, p = _within(j, a[own], r[own], b[there])
+                yield own[q], there[p]
+
+
+def _near(a: np.ndarray, r: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in a, in b) of codes within the radii r, each once: by the lists where the radius reaches few, else by all codes."""
+    bits = min(16, ((len(b) - 1) // LIST).bit_length())
+    masks = np.arange(1 << bits)
+    flips = np.bitwise_count(masks)
+    masks, upto = masks[np.argsort(flips, kind="stable")], np.cumsum(np.bincount(flips, minlength=bits + 1))
+    few = TABLES * upto[np.clip(r // TABLES, 0, bits)] * 4 <= 1 << bits
+    for part, search in ((np.flatnonzero(few), lambda x, y: _probed(x, y, b, bits, masks, upto)), (np.flatnonzero(~few), lambda x, y: _scanned(x, y, b))):
+        if len(part):
+            for q, p in search(a[part], r[part]):
+                yield part[q], p
+
+
+def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = (x / np.abs(x).max(axis=1, keepdims=True) for x in (a, b))
+    dot = lambda x, y: np.einsum("ij,ij->i", x, y)
+    return dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
+
+
+def _best(q: np.ndarray, p: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `most` best of each q, ties to the smaller p."""
+    order = np.lexsort((p, -score, q))
+    q, p, score = q[order], p[order], score[order]
+    kept = np.arange(len(q)) - np.searchsorted(q, q) < most
+    return q[kept], p[kept], score[kept]
+
 
+FOUND = pa.schema([("query_class", pa.int64()), ("class_id", pa.int64()), ("score", pa.float64())])
 
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = _matrix(batch.column(2)), _matrix(batch.column(3))
-        a, b = (x / np.abs(x).max(axis=1, keepdims=True) for x in (a, b))
-        dot = lambda x, y: np.einsum("ij,ij->i", x, y)
-        score = dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_class", "class_id", "score"])
+
+def _searched(codes: Broadcast, k: int):
+    """Queries (class_id, embedding, radius) and vectors (class_id, embedding) of a block each -> the k + 1 nearest found for each query."""
+
+    def run(queries: pa.Table, index: pa.Table) -> pa.Table:
+        if not queries.num_rows or not index.num_rows:
+            return FOUND.empty_table()
+        index = index.sort_by("class_id")
+        x, y = (_matrix(t["embedding"].combine_chunks()) for t in (queries, index))
+        a, b = (encode(unit(v), codes.value) for v in (x, y))
+        best, held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)], []
+        rows = max(1, PAIRS // x.shape[1])
+        for q, p in _near(a, queries["radius"].to_numpy().astype(np.int64), b):
+            for at in range(0, len(q), rows):
+                held.append((q[at : at + rows], p[at : at + rows], _scores(x[q[at : at + rows]], y[p[at : at + rows]])))
+            if sum(len(h[0]) for h in held) >= PAIRS:
+                best, held = list(_best(*(np.concatenate(c) for c in zip(best, *held, strict=True)), k + 1)), []
+        q, p, score = _best(*(np.concatenate(c) for c in zip(best, *held, strict=True)), k + 1)
+        return pa.table([pa.array(queries["class_id"].to_numpy()[q]), pa.array(index["class_id"].to_numpy()[p]), pa.array(score)], schema=FOUND)
+
+    return run
+
+
+def _with_radii(codes: Broadcast, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r = radii(unit(_matrix(batch.column(1))), codes.value, k) if batch.num_rows else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(r.astype(np.int32))], names=["class_id", "embedding", "radius"])
+
+    return run
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -221,14 +245,17 @@ def search_classes(classes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     if not n:
         return spark.createDataFrame([], "query_class long, class_id long, score double")
     codes = spark.sparkContext.broadcast(fit_codes(sample))
-    bits = min(16, max(0, (n - 1) // LIST).bit_length())
-    queries = stored(classes.select("class_id", "embedding").join(asked.select("class_id"), "class_id", "left_semi"), "queries")
-    listed = classes.select("class_id", "embedding").mapInArrow(_postings(codes, bits), "j int, bucket int, ids binary, codes binary")
-    blocks = max(1, queries.count() // 4096)
-    probed = queries.repartition(blocks).mapInArrow(_probes(codes, bits, k), "j int, bucket int, query_ids binary, query_codes binary, radii binary")
-    pairs = probed.join(listed, ["j", "bucket"]).mapInArrow(_met, "query_class long, class_id long")
-    vectors = pairs.join(queries.select(F.col("class_id").alias("query_class"), F.col("embedding").alias("own")), "query_class").join(classes.select("class_id", "embedding"), "class_id")
-    scored = vectors.select("query_class", "class_id", "own", "embedding").mapInArrow(_scores, "query_class long, class_id long, score double")
+    own, kind = classes.select("class_id", "embedding").join(asked.select("class_id"), "class_id", "left_semi"), classes.schema["embedding"].dataType.simpleString()
+    queries = stored(own.mapInArrow(_with_radii(codes, k), f"class_id long, embedding {kind}, radius int"), "queries")
+    wide = 8 * sample.shape[1]
+    parts, blocks = 1 + queries.count() * wide // QUERY_BYTES, max(1 + n * wide // INDEX_BYTES, min(2 * spark.sparkContext.defaultParallelism, 1 + n // LEAST_BLOCK))
+    block = lambda m: F.pmod(F.xxhash64("class_id"), F.lit(m))
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    q = queries.select(block(parts).alias("asked"), every(blocks).alias("held"), "class_id", "embedding", "radius")
+    c = classes.select(every(parts).alias("asked"), block(blocks).alias("held"), "class_id", "embedding")
+    # by number, as few tasks of a size are dealt to more of them than there are, and Spark would merge some
+    q, c = (t.repartition(4 * parts * blocks, "asked", "held") for t in (q, c))
+    scored = q.groupBy("asked", "held").cogroup(c.groupBy("asked", "held")).applyInArrow(_searched(codes, k), "query_class long, class_id long, score double")
     nearest = Window.partitionBy("query_class").orderBy(F.desc("score"), "class_id")
     return scored.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1).drop("n")
 

@@ -92,3 +92,31 @@ def test_the_sample_takes_few_rows_of_each_task(spark):
     least = lambda df: [r["class_id"] for r in df.selectExpr("class_id", "xxhash64(class_id) AS h").orderBy("h", "class_id").limit(64).collect()]
     assert 64 <= low.count() < 512 and least(low) == least(classes)
     assert hamming_index.least_hashes(classes.limit(100), 64).count() == 100
+
+
+def test_lists_and_scans_find_the_same_codes(monkeypatch):
+    monkeypatch.setattr(hamming_index, "LIST", 4)
+    rng = np.random.default_rng(3)
+    b = rng.integers(0, 1 << 32, (900, TABLES), dtype=np.uint64).astype(np.uint32)
+    r = rng.choice([0, 5, 11, 30, 150, 384], 80)
+    flips = np.packbits(rng.random((80, 32 * TABLES)) < (r / 384 * 0.8)[:, None], axis=1).view("<u4")
+    a = b[:80] ^ flips
+    found = sorted(pair for q, p in hamming_index._near(a, r, b) for pair in zip(q.tolist(), p.tolist(), strict=True))
+    far = np.bitwise_count(a[:, None, :] ^ b[None]).sum(axis=2)
+    assert found == sorted(zip(*(x.tolist() for x in np.nonzero(far <= r[:, None])), strict=True))
+
+
+def test_pairs_within_a_radius_are_not_rows(spark, monkeypatch):
+    """They were, with both their vectors, and grew with the square of the table."""
+    monkeypatch.setattr(hamming_index, "INDEX_BYTES", 1 << 15)
+    monkeypatch.setattr(hamming_index, "QUERY_BYTES", 1 << 11)
+    x = np.random.default_rng(4).normal(size=(900, 16)).tolist()
+    classes = hamming_index.classes_of(hamming_index.usable(table(spark, list(enumerate(x)))), 5)
+    found = hamming_index.search_classes(classes, classes.where("class_id % 50 = 0"), 5)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for row in found.collect():
+        got.setdefault(row["query_class"], []).append(row["class_id"])
+    want = brute(list(enumerate(x)))
+    assert set(got) == set(want) and all(len(v) == 6 and q in v for q, v in got.items())
+    assert sum(len({i for _, i in want[q]} & set(v)) for q, v in got.items()) >= 0.9 * 5 * len(want)
