@@ -1,5 +1,6 @@
 """Work that has to grow no faster than the tables: no broadcast of exploded rows, no pair for each two of equal rows, files in order."""
 
+import math
 import re
 
 import pytest
@@ -155,6 +156,32 @@ def test_close_pairs_compare_spots_not_vehicles(spark, monkeypatch):
     assert next(k for k, line in enumerate(lines) if "explode(ids_b" in line) < next(k for k, line in enumerate(lines) if "SortMergeJoin" in line)
 
 
+def _cone(rows, half_angle, range_m):
+    """t, id, other_id, dist_m, bearing, closing_mps of rows (t, id, x, y, heading, speed_mps), pair by pair."""
+    for t, i, x, y, h, _ in rows:
+        for u, j, z, w, g, v in rows:
+            if None in (t, i, x, u, j, z, h) or t != u or i == j or not math.dist((x, y), (z, w)) <= range_m:
+                continue
+            d, turn = math.dist((x, y), (z, w)), (math.atan2(w - y, z - x) - h + math.pi) % (2 * math.pi) - math.pi
+            if abs(turn) <= half_angle:
+                yield t, i, j, d, turn, None if None in (g, v) else v * (math.cos(g) * (x - z) + math.sin(g) * (y - w)) / max(1e-6, d)
+
+
+def test_vision_cone_has_closing_speeds_and_compares_lists(spark, monkeypatch):
+    """There were no closing speeds, and each pair of vehicles was compared by itself."""
+    monkeypatch.setattr(spatial, "IDS_A_ROW", 3)
+    rows = [(t, v, float(v % 7 * 9), float(v % 3 * 8 - 8), v % 5 * 1.3, v % 4 * 2.5) for t in (0, 1) for v in range(0, 60, 1 + t)]
+    rows += [(0, 3, 27.0, -8.0, 0.2, 1.0), (0, 91, None, 0.0, 0.0, 1.0), (0, 92, 1.0, 1.0, None, 1.0), (0, 93, 2.0, 1.0, 0.1, None), (0, None, 0.0, 0.0, 0.0, 1.0), (None, 7, 0.0, 0.0, 0.0, 1.0)]
+    states = spark.createDataFrame(rows, "t long, id long, x double, y double, heading double, speed_mps double")
+    df = spatial.vision_cone(states, states, 0.45, 30.0)
+    close = lambda found: sorted(((*r[:3], *(None if v is None else round(v, 9) + 0.0 for v in r[3:])) for r in found), key=str)
+    assert close(tuple(r) for r in df.collect()) == close(_cone(rows, 0.45, 30.0)) and df.columns == ["t", "id", "other_id", "dist_m", "bearing", "closing_mps"]
+    lines = plan(spatial.vision_cone(states, states, 0.45, 30.0, 4)).splitlines()
+    assert next(k for k, line in enumerate(lines) if "explode(ids_b" in line) < next(k for k, line in enumerate(lines) if "SortMergeJoin" in line)
+    ahead = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0, 5.0), (0, 2, 10.0, 0.0, math.pi, 3.0)], states.schema)
+    assert [(r["id"], round(r["closing_mps"], 9)) for r in spatial.vision_cone(ahead, ahead, 0.45, 30.0).orderBy("id").collect()] == [(1, 3.0), (2, 5.0)]
+
+
 def test_vehicles_of_a_message_are_read_behind_the_shuffle(spark):
     """A source's few files were parsed by as few tasks, twins and all."""
     from roadspark.streaming import states
