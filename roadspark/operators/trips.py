@@ -78,19 +78,32 @@ def uniform(low, high, *parts, seed: int = 1):
 
 
 def sample_endpoints(ids: DataFrame, nodes: DataFrame, seed: int, min_m: float, tries: int = 50) -> DataFrame:
-    """id, start_node, end_node: for each id the first drawn pair of different nodes at least min_m apart, else the last different one."""
+    """id, start_node, end_node: for each id the first drawn pair of different nodes at least min_m apart, else the last different one.
+
+    Stored rounds of one, two, four, ... tries; only ids without a far pair go on.
+    """
     from roadspark.operators.spatial import meet
-    from roadspark.plans.store import numbered
+    from roadspark.plans.store import numbered, stored
 
-    order = numbered(nodes.select("node_id", "x", "y"), "node_id")
+    order = stored(numbered(nodes.select("node_id", "x", "y"), "node_id"), "order")
     n = order.count()
-    pairs = ids.select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tries - 1).cast("long"))).alias("try"))
     pick = lambda which: F.floor(drawn(F.col("id"), F.col("try"), F.lit(which), seed=seed) * F.lit(n).cast("long") / MODULUS)
     a, b = (order.select(F.col("idx").alias(f"i{k}"), F.col("node_id").alias(f"n{k}"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")) for k in (0, 1))
-    drawn_pairs = meet(meet(pairs.withColumns({"i0": pick(0), "i1": pick(1)}).where("i0 <> i1"), a, ["i0"]), b, ["i1"])
     far = (F.col("x0") - F.col("x1")) ** 2 + (F.col("y0") - F.col("y1")) ** 2 >= min_m**2
-    best = drawn_pairs.groupBy("id").agg(F.min_by(F.struct("n0", "n1"), F.when(far, F.col("try"))).alias("good"), F.max_by(F.struct("n0", "n1"), "try").alias("last"))
-    chosen = best.withColumn("p", F.coalesce("good", "last"))
+    none = F.lit(None).cast(f"struct<n0:{dict(nodes.dtypes)['node_id']},n1:{dict(nodes.dtypes)['node_id']}>")
+    todo, done, at, some = ids.select("id").distinct().withColumn("last", none), None, 0, 1
+    while at < tries:
+        upto = min(tries, at + some)
+        pairs = todo.select("id", F.explode(F.sequence(F.lit(at).cast("long"), F.lit(upto - 1).cast("long"))).alias("try"))
+        drawn_pairs = meet(meet(pairs.withColumns({"i0": pick(0), "i1": pick(1)}).where("i0 <> i1"), a, ["i0"]), b, ["i1"])
+        best = drawn_pairs.groupBy("id").agg(F.min_by(F.struct("n0", "n1"), F.when(far, F.col("try"))).alias("good"), F.max_by(F.struct("n0", "n1"), "try").alias("now"))
+        went = stored(todo.hint("merge").join(best, "id", "left").select("id", "good", F.coalesce("now", "last").alias("last")), "drawn")
+        found, todo = went.where("good IS NOT NULL").select("id", F.col("good").alias("p")), went.where("good IS NULL").select("id", "last")
+        done, at, some = (found if done is None else done.unionByName(found)), upto, 2 * some
+        if todo.isEmpty():
+            break
+    rest = todo.where("last IS NOT NULL").select("id", F.col("last").alias("p"))
+    chosen = rest if done is None else done.unionByName(rest)
     return chosen.select("id", F.col("p.n0").alias("start_node"), F.col("p.n1").alias("end_node"))
 
 

@@ -47,6 +47,23 @@ def test_endpoints_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(df) and df.count() == 40
 
 
+def test_endpoints_have_all_tries(spark, monkeypatch):
+    """The query drew 12 tries of the operator's 50, and all of them for every id."""
+    import roadspark.queries_more as Q
+
+    nodes = spark.range(250).selectExpr("concat('n', lpad(id, 3, '0')) AS node_id", "CAST(id AS DOUBLE) AS x", "0.0D AS y")
+    monkeypatch.setattr(Q.X, "nodes", lambda s, d: nodes)
+    monkeypatch.setattr(Q.X, "trips", lambda s, d: spark.range(400).selectExpr("id AS trip_id"))
+    got = {r["id"]: (int(r["start_node"][1:]), int(r["end_node"][1:])) for r in Q.sample_endpoints(spark, "").collect()}
+    grown = lambda x: (x % 2**31 * 1103515245 + 12345) % 2**31
+    draw = lambda *parts: (lambda once: grown(once ^ once >> 15))(grown(5 + sum(p * m for p, m in zip(parts, (7919, 104729, 1299709), strict=True)))) * 250 // 2**31
+    for i in range(400):
+        drawn = [p for p in ((draw(i, t, 0), draw(i, t, 1)) for t in range(50)) if p[0] != p[1]]
+        assert got[i] == next((p for p in drawn if abs(p[0] - p[1]) >= 200), drawn[-1])
+    assert len(got) == 400 and sum(abs(a - b) >= 200 for a, b in got.values()) > 300
+    assert trips.sample_endpoints(spark.range(3), nodes.limit(1), 3, 10.0).count() == 0
+
+
 def test_clock_without_a_pair_for_each_hold(spark):
     from roadspark.operators.signals import signal_clock
 
