@@ -3,6 +3,7 @@
 import heapq
 import random
 
+import numpy as np
 import pytest
 
 from roadspark.operators import endpoints as N
@@ -119,3 +120,52 @@ def test_a_limit_of_costs_by_joins_and_by_search(spark):
     table = spark.createDataFrame(od, "od_id string, src string, dst string, most_sec double")
     by_joins, by_search = (sorted(tuple(r) for r in P.route_paths(edges, table, most_edges=n).select("od_id", "found", "cost_sec", "path").collect()) for n in (0, P.MOST_EDGES))
     assert by_joins == by_search and 0 < sum(r[1] for r in by_search) < 120
+
+
+def _graph(arcs, n):
+    a, b, w = (np.array(x) for x in zip(*arcs, strict=True))
+
+    def listed(at, far):
+        order = np.lexsort((far, at))
+        return np.searchsorted(at[order], np.arange(n + 1)).astype(np.int32), far[order].astype(np.int32), w[order].astype(float)
+
+    return P._Graph(*listed(a, b), *listed(b, a))
+
+
+@pytest.mark.parametrize("weights", [(0.0, 1.0, 1.0, 2.0), (0.1, 0.2, 0.3, 0.7)])
+def test_origins_searched_for_together(weights):
+    """Each origin's rows were searched for by themselves."""
+    rng, n = np.random.default_rng(8), 150
+    arcs = {(int(a), int(b)): weights[int(k)] for a, b, k in zip(rng.integers(0, n, 420), rng.integers(0, n - 5, 420), rng.integers(0, 4, 420), strict=True) if a != b}
+    arcs |= {(k, k + 1): weights[k % 4] for k in range(0, 60)}
+    graph = _graph([(a, b, w) for (a, b), w in arcs.items()], n)
+    origins = np.arange(20, 50)
+    rows = [(s, t) for s in origins.tolist() for t in range(0, n, 7) if s != t]
+    together = P._Searches(graph, origins)
+    cost, begins, flat = together.routes(np.array([s - 20 for s, _ in rows]), np.array([t for _, t in rows]))
+    alone = {s: P._Search(graph, s) for s in origins.tolist()}
+    for k, (s, t) in enumerate(rows):
+        want, path = alone[s].route(t, None)
+        assert flat[begins[k] : begins[k + 1]].tolist() == path and (cost[k] == want if path else np.isinf(cost[k]))
+    assert any(begins[1:] == begins[:-1]) and any(np.diff(begins) > 4)
+
+
+def test_origins_are_grouped_with_their_neighbours():
+    wide, deep = 20, 40
+    arcs = [(r * wide + c, x * wide + y, 1.0) for r in range(deep) for c in range(wide) for x, y in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)) if 0 <= x < deep and 0 <= y < wide]
+    n = wide * deep
+    graph = _graph(arcs, n)
+    dealt, group, split = P._dealt(graph, np.arange(n), np.full(n, 3 * P.ROWS_A_SEARCH // n))
+    assert len(dealt) == n + len(split) + 1 and sorted(dealt[:n].tolist()) == list(range(n)) and len(split) <= 3 * n // P.TOGETHER
+    for k in range(len(split)):
+        own = np.flatnonzero(group == k)
+        assert sorted(dealt[dealt[n + k] : dealt[n + k + 1]].tolist()) == own.tolist() and len(own) <= 2 * P.TOGETHER
+        assert np.ptp(own // wide) <= 30
+    assert max(P._dealt(graph, np.array([5]), np.array([4 * P.ROWS_A_SEARCH]))[2]) == 5
+
+
+def test_routes_of_a_large_graph_are_not_searched_by_joins():
+    """A graph of 3,400,000 edges was beyond the bound; what goes to the workers is numbers, and each node's id once."""
+    assert P.MOST_EDGES >= 3_500_000
+    graph = _graph([(k, k + 1, 1.0) for k in range(1000)], 1001)
+    assert sum(x.nbytes for x in graph) <= 28 * 1000 + 4 * 1001 * 2
